@@ -56,14 +56,11 @@ def text_similarity(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(F.levenshtein(a, b), longer)
 
 
-def word_similarity(a: Column, b: Column) -> Column:
-    """Jaccard index of the word sets; null when one of them is empty."""
-    return set_similarity(tokens(a), tokens(b))
-
-
 def set_similarity(a: Column, b: Column) -> Column:
+    """Jaccard index of two arrays of distinct words; null when one is empty."""
     common = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common))
+    both = F.size(a) + F.size(b)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.try_divide(common, both - common))
 
 
 def _compared(field: Field) -> Column:
@@ -71,7 +68,27 @@ def _compared(field: Field) -> Column:
         doi = normalize_doi(field.name)
         return F.when(doi != "n/a", doi)
     cleaned = clean_value(field.name)
-    return tokens(cleaned) if field.comparator == "words" else cleaned
+    return F.array_sort(tokens(cleaned)) if field.comparator == "words" else cleaned
+
+
+def compared_fields(fields: Sequence[Field] = DEFAULT_FIELDS) -> Column:
+    """Struct of the cleaned values that scores are computed from."""
+    return F.struct(*[_compared(f).alias(f.name) for f in fields])
+
+
+def comparable(
+    records: DataFrame, fields: Sequence[Field], gate: str, id_col: str = "record_id"
+) -> DataFrame:
+    """``(id, v, words)``: compared values and gate words, computed once.
+
+    Cleaning and cutting texts costs more than writing the result, and every
+    later step reads it.
+    """
+    same = next((f for f in fields if f.name == gate and f.comparator == "words"), None)
+    table = records.select(F.col(id_col).alias("id"), compared_fields(fields).alias("v"), gate)
+    words = F.col(f"v.{gate}") if same else F.array_sort(tokens(clean_value(gate)))
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    return cut_lineage(table.select("id", "v", words.alias("words")))
 
 
 def _field_score(field: Field, a: Column, b: Column) -> Column:
@@ -82,29 +99,37 @@ def _field_score(field: Field, a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), (a == b).cast("double"))
 
 
-def pair_score(fields: Sequence[Field], left: str = "l", right: str = "r") -> Column:
-    """Weighted mean over the fields both sides have; 0 when there is none."""
+def with_score(pairs: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """Add ``score`` to pairs with structs ``l`` and ``r``.
+
+    It is the weighted mean over the fields both sides have; 0 without any.
+    """
+    names = {f"_s{i}": f for i, f in enumerate(fields)}
+    parts = pairs.withColumns(
+        {n: _field_score(f, F.col(f"l.{f.name}"), F.col(f"r.{f.name}")) for n, f in names.items()}
+    )
     total, weight = F.lit(0.0), F.lit(0.0)
-    for f in fields:
-        s = _field_score(f, F.col(f"{left}.{f.name}"), F.col(f"{right}.{f.name}"))
-        total = total + F.coalesce(s * f.weight, F.lit(0.0))
-        weight = weight + F.when(s.isNotNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
-    return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+    for n, f in names.items():
+        total = total + F.coalesce(F.col(n) * f.weight, F.lit(0.0))
+        weight = weight + F.when(F.col(n).isNotNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
+    score = F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+    return parts.withColumn("score", score).drop(*names)
 
 
-def identity_links(
-    records: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS, id_col: str = "record_id"
-) -> DataFrame:
+def identity_links(table: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -> DataFrame:
     """``(src, dst)``: each record to the lowest id it shares an identity with.
 
-    Identities are the digest of all compared fields and, where there is a DOI
-    field, the normalised DOI.
+    Identities are the digest of all compared values and, where there is a DOI
+    field, the normalised DOI. ``table`` comes from :func:`comparable`.
     """
-    values = [F.coalesce(_compared(f).cast("string"), F.lit("\u0000")) for f in fields]
-    keys = [F.concat(F.lit("="), F.sha2(F.concat_ws("\u0001", *values), 256))]
-    keys += [F.concat(F.lit("doi:"), _compared(f)) for f in fields if f.comparator == "doi"]
-    keyed = records.select(
-        F.col(id_col).alias("src"), F.explode(F.array_compact(F.array(*keys))).alias("key")
+    values = [
+        F.coalesce(F.concat(F.lit("="), F.col(f"v.{f.name}").cast("string")), F.lit("-"))
+        for f in fields
+    ]
+    keys = [F.sha2(F.concat_ws("\u0001", *values), 256)]
+    keys += [F.concat(F.lit("doi:"), f"v.{f.name}") for f in fields if f.comparator == "doi"]
+    keyed = table.select(
+        F.col("id").alias("src"), F.explode(F.array_compact(F.array(*keys))).alias("key")
     )
     shared = (
         keyed.groupBy("key")
@@ -112,34 +137,49 @@ def identity_links(
         .where(F.col("n") > 1)
         .select("key", "dst")
     )
-    return keyed.join(shared, "key").where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    links = keyed.join(shared, "key").where(F.col("src") != F.col("dst")).select("src", "dst")
+    return links.distinct() if len(keys) > 1 else links
+
 
+def identity_groups(table: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -> DataFrame:
+    """``(id, component)`` of the records that are the same by identity."""
+    links = cut_lineage(identity_links(table, fields))
+    if any(f.comparator == "doi" for f in fields):
+        return connected_components(links)
+    # With one kind of identity every link goes to the lowest id already.
+    return links.select(F.col("src").alias("id"), F.col("dst").alias("component"))
 
-def _word_sets(records: DataFrame, gate: str, id_col: str) -> DataFrame:
+
+def variants(table: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows without the copies that ``same (id, component)`` puts under a lower id."""
+    copies = same.where(F.col("id") != F.col("component")).select("id")
+    return table.join(copies, "id", "left_anti")
+
+
+def _word_sets(table: DataFrame) -> DataFrame:
     """``(id, words)`` with the words of a record from rare to frequent."""
-    words = records.select(
-        F.col(id_col).alias("id"), F.explode(tokens(clean_value(gate))).alias("word")
-    )
+    words = table.select("id", F.explode("words").alias("word"))
     frequency = words.groupBy("word").agg(F.count("*").alias("n"))
     # At most RANKED_WORDS rows, hence safe to send to every task.
     frequent = F.broadcast(
         frequency.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(RANKED_WORDS)
     )
+    ranked = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")
     return (
         words.join(frequent, "word", "left")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("_w"))
+        .agg(F.array_sort(F.collect_list(ranked)).alias("_w"))
         .select("id", F.transform("_w", lambda w: w["word"]).alias("words"))
     )
 
 
-def _prefixes(records: DataFrame, gate: str, least: float, id_col: str) -> DataFrame:
+def _prefixes(table: DataFrame, least: float) -> DataFrame:
     """``(id, n, at, word)``: the rare words a record may be found by.
 
     Two sets with Jaccard at least t share a word among the rarest
     ``n - ceil(t n) + 1`` words of each.
     """
-    sets = _word_sets(records, gate, id_col).withColumn("n", F.size("words"))
+    sets = _word_sets(table).withColumn("n", F.size("words"))
     kept = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     return sets.select(
         "id", "n", F.posexplode(F.slice("words", F.lit(1), kept.cast("int"))).alias("at", "word")
@@ -158,11 +198,9 @@ def _may_match(least: float) -> Column:
     return sizes & (possible >= needed)
 
 
-def candidate_pairs(
-    records: DataFrame, gate: str, least: float, id_col: str = "record_id"
-) -> DataFrame:
+def candidate_pairs(table: DataFrame, least: float) -> DataFrame:
     """All pairs ``(left_id, right_id)`` whose gate words may reach Jaccard ``least``."""
-    prefix = _prefixes(records, gate, least, id_col)
+    prefix = cut_lineage(_prefixes(table, least))
     a, b = prefix.alias("a"), prefix.alias("b")
     return (
         a.join(b, F.col("a.word") == F.col("b.word"))
@@ -173,60 +211,42 @@ def candidate_pairs(
 
 
 def score_pairs(
-    pairs: DataFrame,
-    records: DataFrame,
-    fields: Sequence[Field],
-    gate: str,
-    least: float,
-    threshold: float,
-    id_col: str = "record_id",
+    pairs: DataFrame, table: DataFrame, fields: Sequence[Field], least: float, threshold: float
 ) -> DataFrame:
     """The candidate pairs that match, with their score."""
-    compared = compared_fields(fields)
-    sides = records.select(
-        F.col(id_col).alias("id"), compared.alias("v"), tokens(clean_value(gate)).alias("gate")
-    )
-    left = sides.select(F.col("id").alias("left_id"), F.col("v").alias("l"), F.col("gate").alias("lg"))
-    right = sides.select(F.col("id").alias("right_id"), F.col("v").alias("r"), F.col("gate").alias("rg"))
-    return (
+    left = table.select(F.col("id").alias("left_id"), F.col("words").alias("lw"))
+    right = table.select(F.col("id").alias("right_id"), F.col("words").alias("rw"))
+    # The gate test needs the words only; the other values follow for the few
+    # pairs that pass.
+    passed = (
         pairs.join(left, "left_id")
         .join(right, "right_id")
-        .where(set_similarity(F.col("lg"), F.col("rg")) >= least)
-        .select("left_id", "right_id", pair_score(fields).alias("score"))
-        .where(F.col("score") >= threshold)
+        .where(set_similarity(F.col("lw"), F.col("rw")) >= least)
+        .select("left_id", "right_id")
     )
+    left = table.select(F.col("id").alias("left_id"), F.col("v").alias("l"))
+    right = table.select(F.col("id").alias("right_id"), F.col("v").alias("r"))
+    scored = with_score(passed.join(left, "left_id").join(right, "right_id"), fields)
+    return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
 def similar_pairs(
-    records: DataFrame,
+    table: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
-    gate: str = "title",
     least: float = 0.5,
     threshold: float = 0.5,
-    id_col: str = "record_id",
 ) -> DataFrame:
     """``(left_id, right_id, score)`` of the pairs that match.
 
     A pair matches when the gate words reach Jaccard ``least`` and the score
-    over all fields reaches ``threshold``. Give it variants: copies should be
-    linked by :func:`identity_links`, not compared.
+    over all fields reaches ``threshold``. Give it :func:`variants`: copies are
+    linked by their identity, not compared.
     """
-    pairs = candidate_pairs(records, gate, least, id_col)
-    return score_pairs(pairs, records, fields, gate, least, threshold, id_col)
-
-
-def variants(records: DataFrame, same: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """Records without the copies that ``same (id, component)`` links to a lower id."""
-    return records.join(same.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    return score_pairs(candidate_pairs(table, least), table, fields, least, threshold)
 
 
 def match_links(
-    records: DataFrame,
-    fields: Sequence[Field],
-    gate: str,
-    least: float,
-    threshold: float,
-    id_col: str = "record_id",
+    table: DataFrame, fields: Sequence[Field], least: float, threshold: float
 ) -> DataFrame:
     """Links ``(src, dst)`` that give the same clusters as all matching pairs.
 
@@ -236,10 +256,10 @@ def match_links(
     square. The second pass compares the records a word leaves outside the
     cluster of its lowest id with all records that have the word.
     """
-    prefix = cut_lineage(_prefixes(records, gate, least, id_col))
+    prefix = cut_lineage(_prefixes(table, least))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        matched = score_pairs(pairs.distinct(), records, fields, gate, least, threshold, id_col)
+        matched = score_pairs(pairs.distinct(), table, fields, least, threshold)
         return cut_lineage(
             matched.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
         )
@@ -253,9 +273,10 @@ def match_links(
         .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
     )
     star_links = scored(star)
-    joined = cut_lineage(connected_components(star_links))
-    placed = prefix.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut_lineage(placed)
+    joined = connected_components(star_links)
+    placed = cut_lineage(
+        prefix.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    )
     centre = placed.groupBy("word").agg(F.min_by("component", "id").alias("centre"))
     known = placed.join(centre, "word").withColumn("inside", F.col("component") == F.col("centre"))
     a, b = known.where(~F.col("inside")).alias("a"), known.alias("b")
@@ -291,7 +312,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             both.where(F.col("low") > F.col("high"))
             .join(lowest, "high")
             .select(F.col("low").alias("high"), F.col("m").alias("low"))
-            .distinct()
         )
         # Small star: the lower neighbours of a node, and itself, link to the lowest one.
         least_low = large.groupBy("high").agg(F.min("low").alias("m"))
@@ -328,41 +348,51 @@ def clusters(
 
 
 def with_confidence(
-    clustered: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS, id_col: str = "record_id"
+    clustered: DataFrame, bags: DataFrame, id_col: str = "record_id"
 ) -> DataFrame:
     """Add ``confidence``: Dice similarity of a record's words with its cluster's.
 
-    It is twice the words shared with all members, over the words on both sides
-    of those comparisons: 1 for equal members and for a record alone. One pass
-    over word counts replaces the comparison of all members with each other.
+    ``bags (id, bag)`` holds the distinct words of each record. The confidence
+    is twice the words shared with all members, over the words on both sides of
+    those comparisons: 1 for equal members and for a record alone. Word counts
+    per cluster replace the comparison of all members with each other.
     """
-    text = F.concat_ws(" ", *[clean_value(f.name) for f in fields])
-    worded = clustered.select(id_col, "cluster_id", tokens(text).alias("words"))
-    sizes = worded.groupBy("cluster_id").agg(
-        F.count("*").alias("members"), F.sum(F.size("words")).alias("total")
-    )
-    shared_clusters = sizes.where(F.col("members") > 1)
-    words = worded.join(shared_clusters.select("cluster_id"), "cluster_id", "left_semi").select(
-        id_col, "cluster_id", F.explode("words").alias("word")
+    placed = clustered.select(F.col(id_col).alias("id"), "cluster_id")
+    members = placed.groupBy("cluster_id").agg(F.count("*").alias("members"))
+    shared_clusters = members.where(F.col("members") > 1)
+    worded = cut_lineage(
+        placed.join(shared_clusters, "cluster_id").join(bags, "id").where(F.size("bag") > 0)
     )
+    total = worded.groupBy("cluster_id").agg(F.sum(F.size("bag")).alias("total"))
+    words = worded.select("id", "cluster_id", "members", F.explode("bag").alias("word"))
     frequency = words.groupBy("cluster_id", "word").agg(F.count("*").alias("n"))
-    shared = (
+    scored = (
         words.join(frequency, ["cluster_id", "word"])
-        .groupBy("cluster_id", id_col)
+        .groupBy("cluster_id", "id", "members")
         .agg(F.sum("n").alias("shared"), F.count("*").alias("own"))
-        .join(shared_clusters, "cluster_id")
-    )
-    scored = shared.select(
-        id_col,
-        F.try_divide(2 * F.col("shared"), F.col("own") * F.col("members") + F.col("total")).alias(
-            "confidence"
-        ),
+        .join(total, "cluster_id")
+        .select(
+            F.col("id").alias(id_col),
+            F.try_divide(
+                2 * F.col("shared"), F.col("own") * F.col("members") + F.col("total")
+            ).alias("confidence"),
+        )
     )
     return clustered.join(scored, id_col, "left").withColumn(
         "confidence", F.coalesce("confidence", F.lit(1.0))
     )
 
 
+def word_bags(table: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """``(id, bag)``: the distinct words of all compared fields."""
+    lists = [
+        F.col(f"v.{f.name}") if f.comparator == "words" else tokens(F.col(f"v.{f.name}"))
+        for f in fields
+    ]
+    known = [F.coalesce(words, F.array().cast("array<string>")) for words in lists]
+    return table.select("id", F.array_distinct(F.concat(*known)).alias("bag"))
+
+
 def resolve(
     records: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
@@ -372,18 +402,19 @@ def resolve(
     id_col: str = "record_id",
 ) -> DataFrame:
     """Cluster records: adds ``cluster_id`` and ``confidence`` to every row."""
-    identity = cut_lineage(identity_links(records, fields, id_col))
-    same = cut_lineage(connected_components(identity))
-    singles = variants(records, same, id_col)
-    matches = match_links(singles, fields, gate, least, threshold, id_col)
+    table = comparable(records, fields, gate, id_col)
+    same = identity_groups(table, fields)
+    matches = match_links(variants(table, same), fields, least, threshold)
     edges = same.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(matches)
-    clustered = cut_lineage(clusters(records, edges, id_col))
-    return with_confidence(clustered, fields, id_col)
+    clustered = cut_lineage(clusters(records.select(id_col), edges, id_col))
+    placed = cut_lineage(with_confidence(clustered, word_bags(table, fields), id_col))
+    return records.join(placed, id_col)
 
 
 def label_candidates(pairs: DataFrame, count: int, boundary: float = 0.5) -> DataFrame:
     """The pairs nearest to the decision boundary, to be labelled next."""
-    return pairs.orderBy(F.abs(F.col("score") - boundary), "left_id", "right_id").limit(count)
+    distance = F.round(F.abs(F.col("score") - boundary), 9)
+    return pairs.orderBy(distance, "left_id", "right_id").limit(count)
 
 
 def url_relevance(url: Column | str) -> Column:
@@ -499,11 +530,6 @@ def labelled_pairs_model(
     return names, model
 
 
-def compared_fields(fields: Sequence[Field] = DEFAULT_FIELDS) -> Column:
-    """Struct of the cleaned values that scores are computed from."""
-    return F.struct(*[_compared(f).alias(f.name) for f in fields])
-
-
 def pair_features(pairs: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -> DataFrame:
     """Add a score and an absence flag per field to pairs with ``l`` and ``r``."""
     columns = {}

@@ -15,8 +15,7 @@ PATCH_SCHEMA = (
 
 def write_batch(batch: DataFrame, epoch: int, folder: str) -> None:
     """One file set per micro-batch, replaced when the batch is run again."""
-    latest = latest_patches(batch).withColumn("epoch", F.lit(epoch))
-    latest.write.mode("overwrite").parquet(f"{folder}/accepted/epoch={epoch}")
+    latest_patches(batch).write.mode("overwrite").parquet(f"{folder}/accepted/epoch={epoch}")
     refused = batch.withColumn("code", patch_problem()).where(F.col("code").isNotNull())
     refused.write.mode("overwrite").parquet(f"{folder}/refused/epoch={epoch}")
 
