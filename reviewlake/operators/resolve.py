@@ -30,6 +30,10 @@ from reviewlake.scale import PART_ROWS, cut_lineage, id_index, list_parts
 # Frequent words are told apart from rare ones by this many ranked words. The
 # choice only changes which words are compared first, never the result.
 RANKED_WORDS = 5_000
+# A word that more records are found by is handled as a hot one.
+HOT_WORD = 200
+# A pair has to share one more rare word per this many words of its sets.
+WORDS_PER_SHARED = 25
 
 
 @dataclass(frozen=True)
@@ -82,10 +86,13 @@ def comparable(
     """``(id, v, words)``: compared values and gate words, computed once.
 
     Cleaning and cutting texts costs more than writing the result, and every
-    later step reads it.
+    later step reads it. The rows are placed by id, so the joins and groups on
+    the id that follow find them in place.
     """
-    same = next((f for f in fields if f.name == gate and f.comparator == "words"), None)
-    table = records.select(F.col(id_col).alias("id"), compared_fields(fields).alias("v"), gate)
+    read = dict.fromkeys([*[f.name for f in fields], gate])
+    placed = records.select(F.col(id_col).alias("id"), *read).repartition("id")
+    table = placed.select("id", compared_fields(fields).alias("v"), gate)
+    same = any(f.name == gate and f.comparator == "words" for f in fields)
     words = F.col(f"v.{gate}") if same else F.array_sort(tokens(clean_value(gate)))
     words = F.coalesce(words, F.array().cast("array<string>"))
     return cut_lineage(table.select("id", "v", words.alias("words")))
@@ -99,21 +106,35 @@ def _field_score(field: Field, a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), (a == b).cast("double"))
 
 
-def with_score(pairs: DataFrame, fields: Sequence[Field]) -> DataFrame:
+def _once(c: Column) -> Column:
+    """Evaluate a costly value once per row.
+
+    A filter on the output of a generator stays above it; a filter on a plain
+    column would be pushed down together with a copy of its expression.
+    """
+    return F.explode(F.array(c))
+
+
+def with_score(
+    pairs: DataFrame, fields: Sequence[Field], known: dict[str, Column] | None = None
+) -> DataFrame:
     """Add ``score`` to pairs with structs ``l`` and ``r``.
 
     It is the weighted mean over the fields both sides have; 0 without any.
+    ``known`` gives field scores that are computed already.
     """
-    names = {f"_s{i}": f for i, f in enumerate(fields)}
-    parts = pairs.withColumns(
-        {n: _field_score(f, F.col(f"l.{f.name}"), F.col(f"r.{f.name}")) for n, f in names.items()}
-    )
+    known = known or {}
+    scores = [
+        known[f.name] if f.name in known else _field_score(f, F.col(f"l.{f.name}"), F.col(f"r.{f.name}"))
+        for f in fields
+    ]
+    parts = pairs.select("*", _once(F.array(*scores)).alias("_s"))
     total, weight = F.lit(0.0), F.lit(0.0)
-    for n, f in names.items():
-        total = total + F.coalesce(F.col(n) * f.weight, F.lit(0.0))
-        weight = weight + F.when(F.col(n).isNotNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
-    score = F.coalesce(F.try_divide(total, weight), F.lit(0.0))
-    return parts.withColumn("score", score).drop(*names)
+    for i, f in enumerate(fields):
+        s = F.col("_s")[i]
+        total = total + F.coalesce(s * f.weight, F.lit(0.0))
+        weight = weight + F.when(s.isNotNull(), F.lit(f.weight)).otherwise(F.lit(0.0))
+    return parts.withColumn("score", F.coalesce(F.try_divide(total, weight), F.lit(0.0))).drop("_s")
 
 
 def identity_links(table: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -> DataFrame:
@@ -174,15 +195,20 @@ def _word_sets(table: DataFrame) -> DataFrame:
 
 
 def _prefixes(table: DataFrame, least: float) -> DataFrame:
-    """``(id, n, at, word)``: the rare words a record may be found by.
+    """``(id, n, at, word, need)``: the rare words a record may be found by.
 
-    Two sets with Jaccard at least t share a word among the rarest
-    ``n - ceil(t n) + 1`` words of each.
+    Two sets with Jaccard at least t share ``m`` words among the rarest
+    ``n - ceil(t n) + m`` words of each, for every m they have in common. Long
+    sets use a larger m, ``need``, which rules out most chance meetings.
     """
     sets = _word_sets(table).withColumn("n", F.size("words"))
-    kept = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    need = F.floor(F.col("n") / WORDS_PER_SHARED) + 1
+    kept = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + need
     return sets.select(
-        "id", "n", F.posexplode(F.slice("words", F.lit(1), kept.cast("int"))).alias("at", "word")
+        "id",
+        "n",
+        need.alias("need"),
+        F.posexplode(F.slice("words", F.lit(1), kept.cast("int"))).alias("at", "word"),
     )
 
 
@@ -198,41 +224,63 @@ def _may_match(least: float) -> Column:
     return sizes & (possible >= needed)
 
 
+def _meetings(a: DataFrame, b: DataFrame, rule: Column, least: float) -> DataFrame:
+    """Pairs that meet on enough of their rare words."""
+    met = a.alias("a").join(b.alias("b"), F.col("a.word") == F.col("b.word"))
+    return (
+        met.where(rule & _may_match(least))
+        .groupBy(
+            F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id")
+        )
+        .agg(F.count("*").alias("met"), F.min(F.least("a.need", "b.need")).alias("need"))
+        .where(F.col("met") >= F.col("need"))
+        .select("left_id", "right_id")
+    )
+
+
 def candidate_pairs(table: DataFrame, least: float) -> DataFrame:
     """All pairs ``(left_id, right_id)`` whose gate words may reach Jaccard ``least``."""
     prefix = cut_lineage(_prefixes(table, least))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    return (
-        a.join(b, F.col("a.word") == F.col("b.word"))
-        .where((F.col("a.id") < F.col("b.id")) & _may_match(least))
-        .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
-        .distinct()
-    )
+    return _meetings(prefix, prefix, F.col("a.id") < F.col("b.id"), least)
 
 
 def score_pairs(
-    pairs: DataFrame, table: DataFrame, fields: Sequence[Field], least: float, threshold: float
+    pairs: DataFrame,
+    table: DataFrame,
+    fields: Sequence[Field],
+    gate: str,
+    least: float,
+    threshold: float,
 ) -> DataFrame:
     """The candidate pairs that match, with their score."""
     left = table.select(F.col("id").alias("left_id"), F.col("words").alias("lw"))
     right = table.select(F.col("id").alias("right_id"), F.col("words").alias("rw"))
+    both = F.size("lw") + F.size("rw")
     # The gate test needs the words only; the other values follow for the few
     # pairs that pass.
     passed = (
         pairs.join(left, "left_id")
         .join(right, "right_id")
-        .where(set_similarity(F.col("lw"), F.col("rw")) >= least)
-        .select("left_id", "right_id")
+        .select(
+            "left_id",
+            "right_id",
+            both.alias("both"),
+            _once(F.size(F.array_intersect("lw", "rw"))).alias("common"),
+        )
+        .withColumn("gate", F.try_divide(F.col("common"), F.col("both") - F.col("common")))
+        .where(F.col("gate") >= least)
     )
     left = table.select(F.col("id").alias("left_id"), F.col("v").alias("l"))
     right = table.select(F.col("id").alias("right_id"), F.col("v").alias("r"))
-    scored = with_score(passed.join(left, "left_id").join(right, "right_id"), fields)
+    known = {f.name: F.col("gate") for f in fields if f.name == gate and f.comparator == "words"}
+    scored = with_score(passed.join(left, "left_id").join(right, "right_id"), fields, known)
     return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
 def similar_pairs(
     table: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
+    gate: str = "title",
     least: float = 0.5,
     threshold: float = 0.5,
 ) -> DataFrame:
@@ -242,52 +290,57 @@ def similar_pairs(
     over all fields reaches ``threshold``. Give it :func:`variants`: copies are
     linked by their identity, not compared.
     """
-    return score_pairs(candidate_pairs(table, least), table, fields, least, threshold)
+    return score_pairs(candidate_pairs(table, least), table, fields, gate, least, threshold)
 
 
 def match_links(
-    table: DataFrame, fields: Sequence[Field], least: float, threshold: float
+    table: DataFrame, fields: Sequence[Field], gate: str, least: float, threshold: float
 ) -> DataFrame:
     """Links ``(src, dst)`` that give the same clusters as all matching pairs.
 
-    Records that share a rare word are first compared with the lowest id among
+    Records with the same hot word are first compared with the lowest id among
     them only. Whatever that joins needs no further comparison, so in a family
     of near copies the number of comparisons grows with its size, not with its
-    square. The second pass compares the records a word leaves outside the
-    cluster of its lowest id with all records that have the word.
+    square. Then records meet on all their words, except where both belong to
+    the cluster around a hot word.
     """
-    prefix = cut_lineage(_prefixes(table, least))
+    prefix = cut_lineage(_prefixes(table, least).repartition("word"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        matched = score_pairs(pairs.distinct(), table, fields, least, threshold)
+        matched = score_pairs(pairs, table, fields, gate, least, threshold)
         return cut_lineage(
             matched.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
         )
 
-    first = prefix.groupBy("word").agg(F.min_by(F.struct("id", "n", "at"), "id").alias("p"))
-    first = first.select("word", "p.*")
+    words = prefix.groupBy("word").agg(
+        F.count("*").alias("rows"), F.min_by(F.struct("id", "n", "at"), "id").alias("first")
+    )
+    hot = cut_lineage(words.where(F.col("rows") > HOT_WORD).select("word", "first.*"))
+    ordered = F.col("a.id") < F.col("b.id")
+    if hot.isEmpty():
+        return scored(_meetings(prefix, prefix, ordered, least))
     star = (
-        first.alias("a")
+        hot.alias("a")
         .join(prefix.alias("b"), F.col("a.word") == F.col("b.word"))
-        .where((F.col("a.id") < F.col("b.id")) & _may_match(least))
+        .where(ordered & _may_match(least))
         .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+        .distinct()
     )
     star_links = scored(star)
     joined = connected_components(star_links)
     placed = cut_lineage(
         prefix.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
-    centre = placed.groupBy("word").agg(F.min_by("component", "id").alias("centre"))
-    known = placed.join(centre, "word").withColumn("inside", F.col("component") == F.col("centre"))
-    a, b = known.where(~F.col("inside")).alias("a"), known.alias("b")
-    rest = (
-        a.join(b, F.col("a.word") == F.col("b.word"))
-        .where(F.col("a.component") != F.col("b.component"))
-        .where((F.col("b.inside") | (F.col("a.id") < F.col("b.id"))) & _may_match(least))
-        .select(
-            F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id")
-        )
+    centre = placed.join(hot.select("word", F.col("id").alias("first_id")), "word").where(
+        F.col("id") == F.col("first_id")
+    )
+    centre = centre.select("word", F.col("component").alias("centre"))
+    known = placed.join(centre, "word", "left").withColumn(
+        "inside", F.coalesce(F.col("component") == F.col("centre"), F.lit(False))
     )
+    apart = F.col("a.component") != F.col("b.component")
+    rule = apart & (F.col("b.inside") | ordered)
+    rest = _meetings(known.where(~F.col("inside")), known, rule, least)
     return star_links.unionByName(scored(rest))
 
 
@@ -404,7 +457,8 @@ def resolve(
     """Cluster records: adds ``cluster_id`` and ``confidence`` to every row."""
     table = comparable(records, fields, gate, id_col)
     same = identity_groups(table, fields)
-    matches = match_links(variants(table, same), fields, least, threshold)
+    single = cut_lineage(variants(table, same))
+    matches = match_links(single, fields, gate, least, threshold)
     edges = same.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(matches)
     clustered = cut_lineage(clusters(records.select(id_col), edges, id_col))
     placed = cut_lineage(with_confidence(clustered, word_bags(table, fields), id_col))

@@ -1,6 +1,16 @@
 """Queries on the driver's tables, one per operator or small group of them."""
 
-from reviewlake.plans import agreement, graph, resolution, search, workload  # noqa: F401
+from reviewlake.plans import (  # noqa: F401
+    agreement,
+    assistant,
+    exports,
+    graph,
+    pages,
+    resolution,
+    search,
+    values,
+    workload,
+)
 from reviewlake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -114,7 +114,7 @@ def dedup_identity(spark, folder):
 def _pairs(spark, folder):
     table_ = rs.comparable(records_of(spark, folder), FIELDS, "title")
     single = rs.variants(table_, rs.identity_groups(table_, FIELDS))
-    return rs.similar_pairs(single, FIELDS, LEAST, THRESHOLD)
+    return rs.similar_pairs(single, FIELDS, "title", LEAST, THRESHOLD)
 
 
 @query(f"WITH {PAIRS} SELECT left_id, right_id, round(score, 6) AS score FROM pairs")

@@ -146,16 +146,16 @@ def list_parts(
         F.col(position).alias("_position"),
         F.col(value).alias("_value"),
     )
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    parts = counts.select(
-        *keys,
-        "_slice",
-        F.floor(_running_before("_n", list(keys), "_slice") / F.lit(part_rows))
-        .cast("int")
-        .alias("part"),
+    # Written once: the part numbers and the parts themselves both read it.
+    pieces = cut_lineage(
+        sliced.groupBy(*keys, "_slice").agg(
+            F.count("*").alias("_n"),
+            F.array_sort(F.collect_list(F.struct("_position", "_value"))).alias("_items"),
+        )
     )
-    pieces = sliced.groupBy(*keys, "_slice").agg(
-        F.array_sort(F.collect_list(F.struct("_position", "_value"))).alias("_items")
+    before = _running_before("_n", list(keys), "_slice")
+    parts = pieces.select(
+        *keys, "_slice", F.floor(before / F.lit(part_rows)).cast("int").alias("part")
     )
     return (
         pieces.join(parts, [*keys, "_slice"])
