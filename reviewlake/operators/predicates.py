@@ -86,7 +86,9 @@ def wildcard_pattern(value: str) -> str:
 
 def _over_fields(own: Sequence[str], test: Callable[[Column], Column]) -> Clause:
     def bind(scope: Scope) -> Column | None:
-        found = [F.coalesce(test(F.col(f)), F.lit(False)) for f in scope.usable(own)]
+        # Left nullable, so that comparisons reach the scan: a filter drops null
+        # like false, and a negation turns null into false first.
+        found = [test(F.col(f)) for f in scope.usable(own)]
         return reduce(lambda a, b: a | b, found) if found else None
 
     return Clause(bind)
@@ -118,10 +120,9 @@ def approx(value: str, *fields: str, max_edits: int | None = None) -> Clause:
     """Like :func:`term`; with ``max_edits`` a word may differ by that many edits."""
     if max_edits is None:
         return term(value, *fields)
-    wanted = F.lit(value.lower())
 
     def test(c: Column) -> Column:
-        words = F.split(F.lower(c), r"(?U)\W+")
+        words, wanted = F.split(F.lower(c), r"(?U)\W+"), F.lit(value.lower())
         # The bounded distance is -1 beyond the bound.
         return F.exists(words, lambda w: F.levenshtein(w, wanted, max_edits) >= 0)
 
