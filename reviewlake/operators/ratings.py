@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.scale import config_rows
+from reviewlake.scale import config_rows, cut_lineage
 
 Metric = Callable[[Column, Column], Column]
 NAN = float("nan")
@@ -164,11 +164,12 @@ def random_matrix(ratings: DataFrame, seed: int = 0, order: Column | None = None
 
 def with_evaluated(matrix: DataFrame, evaluated: DataFrame, name: str = "evaluated") -> DataFrame:
     """Add the evaluated rater as the last one; only common records stay."""
-    last = evaluated.select(*KEYS, F.lit(name).alias("rater"), "value")
-    ids = list(KEYS)
-    return matrix.join(last.select(*ids), ids, "left_semi").unionByName(
-        last.join(matrix.select(*ids), ids, "left_semi")
-    )
+    last = evaluated.select(*KEYS, F.col("value").alias("_last"))
+    own = F.struct("rater", "value")
+    # The first rater's row of a record brings in the evaluated one.
+    extra = F.struct(F.lit(name).alias("rater"), F.col("_last").alias("value"))
+    rows = F.when(F.col("rater") == "rater_0", F.array(own, extra)).otherwise(F.array(own))
+    return matrix.join(last, list(KEYS)).select(*KEYS, F.inline(rows))
 
 
 def mean_squares(ratings: DataFrame) -> DataFrame:
@@ -230,24 +231,22 @@ MATRIX_METRICS: Mapping[str, tuple[MatrixMetric, bool]] = {
 }
 
 
-def matrix_metric(ratings: DataFrame, metric: MatrixMetric, name: str) -> DataFrame:
-    """``(attribute, n, k, name)``; NaN without two records and two raters."""
-    squares = mean_squares(ratings)
-    value = metric({c: F.col(c) for c in squares.columns})
-    return squares.select("attribute", "n", "k", F.round(F.coalesce(value, F.lit(NAN)), 4).alias(name))
-
-
-def icc(ratings: DataFrame) -> DataFrame:
-    """The three coefficients of one complete rating table."""
+def matrix_metrics(ratings: DataFrame, metrics: Mapping[str, MatrixMetric]) -> DataFrame:
+    """``(attribute, n, k, names…)``; NaN without two records and two raters."""
     squares = mean_squares(ratings)
     columns = {c: F.col(c) for c in squares.columns}
     values = [
-        F.round(F.coalesce(metric(columns), F.lit(NAN)), 4).alias(name.lower())
-        for name, (metric, _) in MATRIX_METRICS.items()
+        F.round(F.coalesce(metric(columns), F.lit(NAN)), 4).alias(name)
+        for name, metric in metrics.items()
     ]
     return squares.select("attribute", "n", "k", *values)
 
 
+def icc(ratings: DataFrame) -> DataFrame:
+    """The three coefficients of one complete rating table."""
+    return matrix_metrics(ratings, {n.lower(): metric for n, (metric, _) in MATRIX_METRICS.items()})
+
+
 def matrix_report(
     ratings: DataFrame,
     evaluated: DataFrame,
@@ -258,14 +257,20 @@ def matrix_report(
     metrics: Mapping[str, tuple[MatrixMetric, bool]] = MATRIX_METRICS,
 ) -> DataFrame:
     """One row per metric, one column per attribute."""
-    drawn = with_evaluated(random_matrix(ratings, seed, order), evaluated)
-    fixed = with_evaluated(fixed_matrix(ratings, rater_names(ratings)), evaluated)
     table = None
-    for name, (metric, random) in metrics.items():
-        row = matrix_metric(drawn if random else fixed, metric, "value").select(
-            F.lit(name).alias("metric"), "attribute", "value"
-        )
-        table = row if table is None else table.unionByName(row)
+    for random in (True, False):
+        chosen = {n: metric for n, (metric, drawn) in metrics.items() if drawn == random}
+        if not chosen:
+            continue
+        if random:
+            matrix = random_matrix(ratings, seed, order)
+        else:
+            matrix = fixed_matrix(ratings, rater_names(ratings))
+        # Row and column means both read the cells; build them once.
+        values = matrix_metrics(cut_lineage(with_evaluated(matrix, evaluated)), chosen)
+        items = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in chosen]
+        rows = values.select("attribute", F.inline(F.array(*items)))
+        table = rows if table is None else table.unionByName(rows)
     return (
         table.groupBy("metric")
         .pivot("attribute", list(attributes))

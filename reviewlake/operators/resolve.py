@@ -72,7 +72,10 @@ def _compared(field: Field) -> Column:
         doi = normalize_doi(field.name)
         return F.when(doi != "n/a", doi)
     cleaned = clean_value(field.name)
-    return F.array_sort(tokens(cleaned)) if field.comparator == "words" else cleaned
+    if field.comparator != "words":
+        return cleaned
+    words = F.array_sort(tokens(cleaned))
+    return F.when(F.size(words) > 0, words)
 
 
 def compared_fields(fields: Sequence[Field] = DEFAULT_FIELDS) -> Column:
@@ -147,7 +150,9 @@ def identity_links(table: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -
         F.coalesce(F.concat(F.lit("="), F.col(f"v.{f.name}").cast("string")), F.lit("-"))
         for f in fields
     ]
-    keys = [F.sha2(F.concat_ws("\u0001", *values), 256)]
+    # Without any value there is no evidence that two records are the same.
+    filled = F.coalesce(*[F.when(F.col(f"v.{f.name}").isNotNull(), F.lit(1)) for f in fields])
+    keys = [F.when(filled == 1, F.sha2(F.concat_ws("\u0001", *values), 256))]
     keys += [F.concat(F.lit("doi:"), f"v.{f.name}") for f in fields if f.comparator == "doi"]
     keyed = table.select(
         F.col("id").alias("src"), F.explode(F.array_compact(F.array(*keys))).alias("key")

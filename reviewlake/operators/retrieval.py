@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import comparison_key
+from reviewlake.scale import cut_lineage
 
 DEFAULT_COLUMNS = ("doi",)
 
@@ -36,16 +37,29 @@ def search_quality(
     With ``judgment`` one row per judgement set in that column, else one row.
     Blank keys match each other unless ``drop_blank`` is set.
     """
-    group = [judgment] if judgment else []
-    judged = key_set(judgments, columns, *group, drop_blank=drop_blank)
     found = key_set(results, columns, drop_blank=drop_blank)
-    matched = judged.join(found.withColumn("hit", F.lit(1)), "key", "left")
-    counts = matched.groupBy(*group).agg(
-        F.count("hit").alias("tp"), (F.count("*") - F.count("hit")).alias("fn")
-    )
-    # The result size is one number, so it comes in as a scalar subquery.
-    total = found.agg(F.count("*")).scalar()
-    counts = counts.withColumn("fp", total - F.col("tp"))
+    if judgment is None:
+        judged = key_set(judgments, columns, drop_blank=drop_blank)
+        # One outer join counts all three sets in one pass over both sides.
+        sides = judged.withColumn("j", F.lit(1)).join(found.withColumn("r", F.lit(1)), "key", "full")
+        counts = sides.agg(
+            F.count_if(F.col("j").isNotNull() & F.col("r").isNotNull()).alias("tp"),
+            F.count_if(F.col("r").isNull()).alias("fn"),
+            F.count_if(F.col("j").isNull()).alias("fp"),
+        )
+        group = []
+    else:
+        judged = key_set(judgments, columns, judgment, drop_blank=drop_blank)
+        # The keys are read twice, the search behind them should run once.
+        found = cut_lineage(found)
+        counts = (
+            judged.join(found.withColumn("r", F.lit(1)), "key", "left")
+            .groupBy(judgment)
+            .agg(F.count("r").alias("tp"), (F.count("*") - F.count("r")).alias("fn"))
+        )
+        # The result size is one number, so it comes in as a scalar subquery.
+        counts = counts.withColumn("fp", found.agg(F.count("*")).scalar() - F.col("tp"))
+        group = [judgment]
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     scored = counts.withColumns(
         {"precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators import agreement as ag
 from reviewlake.operators import ratings as rt
 from reviewlake.plans.registry import query, table
+from reviewlake.scale import cut_lineage
 
 _BAND = """
     CASE WHEN score IS NULL THEN 'undefined' WHEN score <= 0 THEN 'chance agreement'
@@ -148,7 +149,8 @@ def _ratings(spark, folder):
         rater = F.concat(F.lit("line"), F.col("line").cast("string"))
         return rt.mean_of_repeats(rt.long_ratings(rows, "id", rater, ["quantity", "tax"]))
 
-    trusted = rated(lines.where(F.col("line") <= 3))
+    # The queries read the ratings more than once.
+    trusted = cut_lineage(rated(lines.where(F.col("line") <= 3)))
     evaluated = rated(lines.where(F.col("line") == 4)).drop("rater")
     return trusted, evaluated.join(trusted.select(*rt.KEYS), list(rt.KEYS), "left_semi")
 
@@ -268,7 +270,7 @@ def _icc_sql(matrix: str) -> str:
 def icc_forms(spark, folder):
     trusted, evaluated = _ratings(spark, folder)
     matrix = rt.fixed_matrix(trusted, rt.rater_names(trusted))
-    return rt.icc(rt.with_evaluated(matrix, evaluated))
+    return rt.icc(cut_lineage(rt.with_evaluated(matrix, evaluated)))
 
 
 @query(

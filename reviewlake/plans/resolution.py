@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from reviewlake.operators import resolve as rs
 from reviewlake.plans.registry import query, table
 from reviewlake.plans.search import N
-from reviewlake.scale import cut_lineage
 
 FIELDS = (
     rs.Field("title", "words", 0.8),
@@ -65,7 +64,7 @@ VARIANTS = f"""
     sets AS (SELECT record_id, s, a, list_sort(list_distinct(list_filter(
                string_split_regex(coalesce(t, ''), '{N}+'), lambda x: x <> ''))) AS words FROM cleaned),
     keyed AS (SELECT record_id, min(record_id) OVER (
-                PARTITION BY s, a, t IS NULL, array_to_string(words, ' ')) AS first_id
+                PARTITION BY s, a, array_to_string(words, ' ')) AS first_id
               FROM sets JOIN cleaned USING (record_id, s, a))
 """
 PAIRS = f"""
@@ -181,4 +180,4 @@ def dedup_clusters(spark, folder):
     """
 )
 def golden_record(spark, folder):
-    return rs.golden_records(cut_lineage(_resolved(spark, folder)))
+    return rs.golden_records(_resolved(spark, folder))

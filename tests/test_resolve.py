@@ -165,11 +165,12 @@ def test_same_doi_is_one_publication(spark):
 
 
 def test_null_fields_are_no_evidence(spark):
-    rows = [(0, "same title here", None), (1, "same title here", "s"), (2, None, None)]
+    rows = [(0, "same title here", None), (1, "same title here", "s"), (2, None, None), (3, "?!", None)]
     df = spark.createDataFrame(rows, "record_id long, title string, source string")
     table = rs.comparable(df, FIELDS, "title")
     pairs = rs.similar_pairs(table, FIELDS, "title", 0.5, 0.5).collect()
     assert [(p["left_id"], p["right_id"], p["score"]) for p in pairs] == [(0, 1, 1.0)]
+    assert rs.identity_links(table, FIELDS).count() == 0
 
 
 def test_label_candidates(spark):
