@@ -40,8 +40,8 @@ def strip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """Null, empty or only white space."""
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """Null, empty or only white space; stops at the first other character."""
+    return ~F.coalesce(_col(c).cast("string").rlike(r"(?U)\S"), F.lit(False))
 
 
 def is_usable(c: Column | str) -> Column:
@@ -63,7 +63,7 @@ def clean_value(c: Column | str) -> Column:
     A null stays null: a missing field is no evidence for or against a match.
     """
     lowered = F.lower(_col(c).cast("string"))
-    return F.nullif(F.regexp_replace(lowered, r"^[\"' \t\n\r]+|[\"' \t\n\r]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(lowered, F.lit("\"' \t\n\r")), F.lit(""))
 
 
 def normalize_doi(c: Column | str) -> Column:

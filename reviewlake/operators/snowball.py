@@ -24,6 +24,7 @@ DETAIL_COLUMNS = (
 )
 RELATIONS = {"backward": "references", "forward": "citations"}
 LINKED_IDS = "referencing_paper_ids"
+BATCH_SIZE = 500
 
 
 def read_ids(df: DataFrame, id_column: str = "doi") -> DataFrame:
@@ -140,6 +141,12 @@ def snowball_records(
     )
 
 
+def id_batches(ids: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """``(doi, batch)``: sorted ids in batches of a fixed size, for outside calls."""
+    placed = range_index(ids.select("doi").distinct(), ["doi"], "place")
+    return placed.select("doi", F.floor(F.col("place") / size).alias("batch"))
+
+
 def missing_inputs(papers: DataFrame, seeds: DataFrame) -> DataFrame:
     """Seed ids that have no paper row."""
     known = papers.select(normalize_doi("doi").alias("doi"))

@@ -93,6 +93,16 @@ def missing_inputs(spark, folder):
     return sb.missing_inputs(papers.select(_doi("c_custkey").alias("doi")), seeds)
 
 
+@query(
+    """
+    SELECT doi, (row_number() OVER (ORDER BY doi) - 1) // 500 AS batch FROM (
+      SELECT DISTINCT '10.1/' || l_partkey AS doi FROM lineitem)
+    """
+)
+def id_batches(spark, folder):
+    return sb.id_batches(table(spark, folder, "lineitem").select(_doi("l_partkey").alias("doi")))
+
+
 @query(
     """
     SELECT page_id, nullif(regexp_replace(lower(trim(raw)),

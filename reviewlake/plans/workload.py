@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from reviewlake.operators import assign as asg
 from reviewlake.operators import screening as sc
 from reviewlake.plans.registry import query, table
+from reviewlake.scale import work_folder
+from reviewlake.streaming import patches as pt
 
 _INDEXED = "(SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS j FROM documents)"
 
@@ -100,11 +102,11 @@ _PATCHES = """
 _CUSTOMERS = "customer WHERE c_mktsegment <> 'MACHINERY'"
 
 
-def patches_of(spark, folder):
+def patches_of(events):
     kind = F.col("event_type")
     key = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
     reasons = F.array(F.lit(" Off Topic"), key, F.lit("off topic "), F.lit(" "))
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("record_index"),
         "ts",
@@ -128,8 +130,7 @@ def base_of(spark, folder):
     )
 
 
-@query(
-    f"""
+_PATCHED = f"""
     WITH {_PATCHES}
     SELECT c_custkey AS record_index,
       CASE WHEN decision IS NULL THEN CASE WHEN c_acctbal > 9000 THEN 'include' END
@@ -138,10 +139,25 @@ def base_of(spark, folder):
       CASE WHEN decision IS NULL THEN NULL
            WHEN decision = 'excluded' THEN 'off topic;' || trim(reasons[2]) ELSE '' END AS exclude_reasons
     FROM (SELECT * FROM {_CUSTOMERS}) LEFT JOIN latest ON record_index = c_custkey
-    """
-)
+"""
+
+
+@query(_PATCHED)
 def screen_patch(spark, folder):
-    return sc.apply_patches(base_of(spark, folder), patches_of(spark, folder))
+    patches = patches_of(table(spark, folder, "events"))
+    return sc.apply_patches(base_of(spark, folder), patches)
+
+
+@query(_PATCHED)
+def screen_patch_stream(spark, folder):
+    """The same decisions, read as a stream and reduced batch by batch."""
+    schema = table(spark, folder, "events").schema
+    # A stream reads folders or patterns, not single files.
+    events = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    out = work_folder(spark)
+    run = pt.stream_patches(patches_of(events), out, f"{out}/state")
+    run.awaitTermination()
+    return pt.apply_stored(base_of(spark, folder), spark.read.parquet(f"{out}/accepted"))
 
 
 @query(
@@ -155,7 +171,8 @@ def screen_patch(spark, folder):
     """
 )
 def screen_rejects(spark, folder):
-    refused = sc.rejected_patches(patches_of(spark, folder), base_of(spark, folder))
+    patches = patches_of(table(spark, folder, "events"))
+    refused = sc.rejected_patches(patches, base_of(spark, folder))
     return refused.groupBy("code").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 

@@ -8,9 +8,10 @@ summary row per slice ever meets the others.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows that share a slice of 2**SLICE_BITS consecutive integer positions.
@@ -21,12 +22,11 @@ PART_ROWS = 10_000
 CONFIG_ROWS = 10_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of ``spark.checkpoint.dir``.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
 
     A folder is made here only in local mode and only when none is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,9 +35,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="reviewlake-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so a lost executor costs no recomputation."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder for tables of one run."""
+    return f"{_checkpoint_folder(spark)}/reviewlake-{uuid.uuid4().hex}"
+
+
 def config_rows(df: DataFrame, what: str, limit: int = CONFIG_ROWS) -> list[Row]:
     """Read a table that must be small by its nature; refuse a larger one."""
     rows = df.limit(limit + 1).collect()
