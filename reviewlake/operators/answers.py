@@ -7,6 +7,8 @@ a lost executor or a later action does not ask again what has been answered.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,7 +21,9 @@ from reviewlake.scale import CONFIG_ROWS, config_rows, cut_lineage
 
 AnswerFn = Callable[[str, str], str]
 
-# Shape of the two kinds of answers.
+# A code fence around a JSON object, shape of the two kinds of
+# answers.
+FENCE = r"`+\w*\s*([{].+[}])\s*`+"
 VERDICT_SCHEMA = "answer STRING, justification STRING"
 SCORE_SCHEMA = "score DOUBLE, reason STRING"
 UNSCORED = "left unscored: no usable score was returned"
@@ -173,7 +177,7 @@ def split_failures(asked: DataFrame, parsed: str = "parsed") -> tuple[DataFrame,
 def strip_fence(text: Column | str) -> Column:
     """JSON object inside a code fence, or the text as it is."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(c, r"(?sU)`+\w*\s*([{].+[}])\s*`+", "$1")
+    return F.regexp_replace(c, f"(?sU){FENCE}", "$1")
 
 
 def parse_answer(text: Column | str, schema: str) -> Column:
@@ -256,11 +260,8 @@ def assess_quality(
     )
 
     def scored(raw: str) -> bool:
-        import json
-        import re
-
         try:
-            found = json.loads(re.sub(r"`+\w*\s*([{].+[}])\s*`+", r"\1", raw, flags=re.S))
+            found = json.loads(re.sub(FENCE, r"\1", raw, flags=re.S))
             return bool(found.get("score")) or (zero_is_valid and found.get("score") == 0)
         except (ValueError, AttributeError):
             return False

@@ -199,7 +199,7 @@ def _word_sets(table: DataFrame) -> DataFrame:
     )
 
 
-def _prefixes(table: DataFrame, least: float) -> DataFrame:
+def _rare_words(table: DataFrame, least: float) -> DataFrame:
     """``(id, n, at, word, need)``: the rare words a record may be found by.
 
     Two sets with Jaccard at least t share ``m`` words among the rarest
@@ -244,9 +244,14 @@ def _meetings(a: DataFrame, b: DataFrame, rule: Column, least: float) -> DataFra
 
 
 def candidate_pairs(table: DataFrame, least: float) -> DataFrame:
-    """All pairs ``(left_id, right_id)`` whose gate words may reach Jaccard ``least``."""
-    prefix = cut_lineage(_prefixes(table, least))
-    return _meetings(prefix, prefix, F.col("a.id") < F.col("b.id"), least)
+    """All pairs ``(left_id, right_id)`` whose gate words may reach Jaccard ``least``.
+
+    Exact: a pair that reaches it is never missed, see :func:`_rare_words`. The
+    number of pairs met on a hot word grows with the square of its records;
+    :func:`match_links` avoids that where only clusters are wanted.
+    """
+    rare = cut_lineage(_rare_words(table, least))
+    return _meetings(rare, rare, F.col("a.id") < F.col("b.id"), least)
 
 
 def score_pairs(
@@ -309,7 +314,7 @@ def match_links(
     square. Then records meet on all their words, except where both belong to
     the cluster around a hot word.
     """
-    prefix = cut_lineage(_prefixes(table, least).repartition("word"))
+    rare = cut_lineage(_rare_words(table, least))
 
     def scored(pairs: DataFrame) -> DataFrame:
         matched = score_pairs(pairs, table, fields, gate, least, threshold)
@@ -317,16 +322,16 @@ def match_links(
             matched.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
         )
 
-    words = prefix.groupBy("word").agg(
+    words = rare.groupBy("word").agg(
         F.count("*").alias("rows"), F.min_by(F.struct("id", "n", "at"), "id").alias("first")
     )
     hot = cut_lineage(words.where(F.col("rows") > HOT_WORD).select("word", "first.*"))
     ordered = F.col("a.id") < F.col("b.id")
     if hot.isEmpty():
-        return scored(_meetings(prefix, prefix, ordered, least))
+        return scored(_meetings(rare, rare, ordered, least))
     star = (
         hot.alias("a")
-        .join(prefix.alias("b"), F.col("a.word") == F.col("b.word"))
+        .join(rare.alias("b"), F.col("a.word") == F.col("b.word"))
         .where(ordered & _may_match(least))
         .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
         .distinct()
@@ -334,7 +339,7 @@ def match_links(
     star_links = scored(star)
     joined = connected_components(star_links)
     placed = cut_lineage(
-        prefix.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rare.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
     centre = placed.join(hot.select("word", F.col("id").alias("first_id")), "word").where(
         F.col("id") == F.col("first_id")

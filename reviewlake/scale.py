@@ -153,7 +153,7 @@ def list_parts(
     """
     sliced = df.select(
         *keys,
-        F.floor(F.col(position) / F.lit(part_rows)).alias("_slice"),
+        F.expr(f"`{position}` div {int(part_rows)}").alias("_slice"),
         F.col(position).alias("_position"),
         F.col(value).alias("_value"),
     )

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows sent to Python hold whole texts, so a batch has few of them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

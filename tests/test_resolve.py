@@ -144,6 +144,17 @@ def test_resolution_equals_brute_force(spark, monkeypatch, hot_word):
     assert all(r["confidence"] == 1.0 for r in rows if alone.count(r["cluster_id"]) == 1)
 
 
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(rs, "HOT_WORD", 20)
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [row(i, f"{base} own{i}") for i in range(300)]
+    table = rs.comparable(spark.createDataFrame(rows, DDL), FIELDS, "title")
+    links = rs.match_links(table, FIELDS, "title", 0.6, 0.6)
+    # All 44 850 pairs match.
+    assert 299 <= links.count() < 900
+    assert rs.connected_components(links).select("component").distinct().count() == 1
+
+
 def test_pairs_equal_brute_force_on_long_texts(spark):
     rng = random.Random(3)
     base = [f"t{i}" for i in range(120)]
