@@ -25,7 +25,7 @@ from reviewlake.functions.text import (
     strip,
     tokens,
 )
-from reviewlake.scale import PART_ROWS, cut_lineage, id_index, list_parts
+from reviewlake.scale import PART_ROWS, cut_lineage, id_index, list_parts, lookup
 
 # Frequent words are told apart from rare ones by this many ranked words. The
 # choice only changes which words are compared first, never the result.
@@ -157,13 +157,10 @@ def identity_links(table: DataFrame, fields: Sequence[Field] = DEFAULT_FIELDS) -
     keyed = table.select(
         F.col("id").alias("src"), F.explode(F.array_compact(F.array(*keys))).alias("key")
     )
-    shared = (
-        keyed.groupBy("key")
-        .agg(F.min("src").alias("dst"), F.count("*").alias("n"))
-        .where(F.col("n") > 1)
-        .select("key", "dst")
-    )
-    links = keyed.join(shared, "key").where(F.col("src") != F.col("dst")).select("src", "dst")
+    shared = keyed.groupBy("key").agg(F.min("src").alias("dst"), F.count("*").alias("n"))
+    shared = shared.where(F.col("n") > 1)
+    found = lookup(keyed, shared, ["key"], "n", "src", how="inner")
+    links = found.where(F.col("src") != F.col("dst")).select("src", "dst")
     return links.distinct() if len(keys) > 1 else links
 
 
@@ -325,14 +322,15 @@ def match_links(
     words = rare.groupBy("word").agg(
         F.count("*").alias("rows"), F.min_by(F.struct("id", "n", "at"), "id").alias("first")
     )
-    hot = cut_lineage(words.where(F.col("rows") > HOT_WORD).select("word", "first.*"))
+    hot = cut_lineage(words.where(F.col("rows") > HOT_WORD).select("word", "rows", "first.*"))
     ordered = F.col("a.id") < F.col("b.id")
     if hot.isEmpty():
         return scored(_meetings(rare, rare, ordered, least))
+    first = hot.select("word", "rows", F.struct("id", "n", "at").alias("a"))
+    met = lookup(rare, first, ["word"], "rows", "id", how="inner")
+    met = met.select("a", F.struct("id", "n", "at").alias("b"))
     star = (
-        hot.alias("a")
-        .join(rare.alias("b"), F.col("a.word") == F.col("b.word"))
-        .where(ordered & _may_match(least))
+        met.where(ordered & _may_match(least))
         .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
         .distinct()
     )
@@ -341,11 +339,12 @@ def match_links(
     placed = cut_lineage(
         rare.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
-    centre = placed.join(hot.select("word", F.col("id").alias("first_id")), "word").where(
-        F.col("id") == F.col("first_id")
+    centre = (
+        hot.select("word", "rows", "id")
+        .join(joined, "id", "left")
+        .select("word", "rows", F.coalesce("component", "id").alias("centre"))
     )
-    centre = centre.select("word", F.col("component").alias("centre"))
-    known = placed.join(centre, "word", "left").withColumn(
+    known = lookup(placed, cut_lineage(centre), ["word"], "rows", "id").withColumn(
         "inside", F.coalesce(F.col("component") == F.col("centre"), F.lit(False))
     )
     apart = F.col("a.component") != F.col("b.component")
@@ -368,18 +367,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
-        lowest = both.groupBy("high").agg(F.min("low").alias("m"))
-        lowest = lowest.select("high", F.least("high", "m").alias("m"))
+        lowest = both.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n"))
+        lowest = lowest.select("high", F.least("high", "m").alias("m"), "n")
         # Large star: the higher neighbours of a node link to its lowest one.
-        large = (
-            both.where(F.col("low") > F.col("high"))
-            .join(lowest, "high")
-            .select(F.col("low").alias("high"), F.col("m").alias("low"))
+        upward = both.where(F.col("low") > F.col("high"))
+        large = lookup(upward, lowest, ["high"], "n", "low", how="inner").select(
+            F.col("low").alias("high"), F.col("m").alias("low")
         )
         # Small star: the lower neighbours of a node, and itself, link to the lowest one.
-        least_low = large.groupBy("high").agg(F.min("low").alias("m"))
+        least_low = large.groupBy("high").agg(F.min("low").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least_low, "high")
+            lookup(large, least_low, ["high"], "n", "low")
             .select(F.explode(F.array("low", "high")).alias("high"), F.col("m").alias("low"))
             .where(F.col("high") != F.col("low"))
             .distinct()
@@ -405,9 +403,9 @@ def clusters(
     )
     if not dense:
         return joined.withColumnRenamed("component", "cluster_id")
-    # A component is numbered where it starts, at its lowest member.
-    starts = joined.where(F.col("component") == F.col(id_col)).select("component")
-    return joined.join(id_index(starts, "component", "cluster_id"), "component").drop("component")
+    sizes = joined.groupBy("component").agg(F.count("*").alias("n"))
+    numbered = id_index(sizes, "component", "cluster_id")
+    return lookup(joined, numbered, ["component"], "n", id_col).drop("component")
 
 
 def with_confidence(
@@ -421,25 +419,25 @@ def with_confidence(
     per cluster replace the comparison of all members with each other.
     """
     placed = clustered.select(F.col(id_col).alias("id"), "cluster_id")
-    members = placed.groupBy("cluster_id").agg(F.count("*").alias("members"))
-    shared_clusters = members.where(F.col("members") > 1)
-    worded = cut_lineage(
-        placed.join(shared_clusters, "cluster_id").join(bags, "id").where(F.size("bag") > 0)
+    members = placed.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    members = members.where(F.col("n") > 1).withColumn("members", F.col("n"))
+    several = lookup(placed, members, ["cluster_id"], "n", "id", how="inner")
+    worded = cut_lineage(several.join(bags, "id").where(F.size("bag") > 0))
+    total = worded.groupBy("cluster_id").agg(
+        F.sum(F.size("bag")).alias("total"), F.count("*").alias("n")
     )
-    total = worded.groupBy("cluster_id").agg(F.sum(F.size("bag")).alias("total"))
     words = worded.select("id", "cluster_id", "members", F.explode("bag").alias("word"))
     frequency = words.groupBy("cluster_id", "word").agg(F.count("*").alias("n"))
-    scored = (
-        words.join(frequency, ["cluster_id", "word"])
-        .groupBy("cluster_id", "id", "members")
-        .agg(F.sum("n").alias("shared"), F.count("*").alias("own"))
-        .join(total, "cluster_id")
-        .select(
-            F.col("id").alias(id_col),
-            F.try_divide(
-                2 * F.col("shared"), F.col("own") * F.col("members") + F.col("total")
-            ).alias("confidence"),
-        )
+    frequency = frequency.withColumn("f", F.col("n"))
+    counted = lookup(words, frequency, ["cluster_id", "word"], "n", "id")
+    shared = counted.groupBy("cluster_id", "id", "members").agg(
+        F.sum("f").alias("shared"), F.count("*").alias("own")
+    )
+    scored = lookup(shared, total, ["cluster_id"], "n", "id").select(
+        F.col("id").alias(id_col),
+        F.try_divide(
+            2 * F.col("shared"), F.col("own") * F.col("members") + F.col("total")
+        ).alias("confidence"),
     )
     return clustered.join(scored, id_col, "left").withColumn(
         "confidence", F.coalesce("confidence", F.lit(1.0))
@@ -508,6 +506,7 @@ def golden_records(
         F.max_by(F.struct("title", "authors", "source", "year", "abstract"), best).alias("rep"),
         F.max_by("doi", F.struct(F.length("doi"), order)).alias("doi"),
         F.max_by("url", F.struct(url_relevance("url"), order)).alias("url"),
+        F.count("*").alias("n"),
     )
     provenance = clustered.select(
         "cluster_id",
@@ -529,10 +528,10 @@ def golden_records(
         .agg(F.min(F.struct("row", "at")).alias("first"))
         .select("cluster_id", F.lit("keywords").alias("kind"), F.col("first").alias("place"), "item")
     )
-    gaps = single.where(~is_usable("rep.abstract")).select("cluster_id")
+    gaps = single.where(~is_usable("rep.abstract")).select("cluster_id", "n", F.lit(True).alias("gap"))
+    told = clustered.where(is_usable("abstract")).select("cluster_id", id_col, "abstract")
     abstracts = (
-        clustered.where(is_usable("abstract"))
-        .join(gaps, "cluster_id", "left_semi")
+        lookup(told, gaps, ["cluster_id"], "n", id_col, how="inner")
         .groupBy("cluster_id", F.col("abstract").alias("item"))
         .agg(F.min(F.struct(F.col(id_col).alias("row"), F.lit(0).alias("at"))).alias("place"))
         .select("cluster_id", F.lit("abstract").alias("kind"), "place", "item")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import doi_url, normalize_doi
-from reviewlake.scale import PART_ROWS, cut_lineage, list_parts, range_index
+from reviewlake.scale import PART_ROWS, cut_lineage, heavy_keys, list_parts, members, range_index
 
 # Columns of a discovered paper and the citation lists to follow.
 DETAIL_COLUMNS = (
@@ -52,10 +52,6 @@ class Discovery:
     links: DataFrame  # (src, dst), distinct
 
 
-def _without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    return df.join(ids.select(F.col("doi").alias(column)), column, "left_anti")
-
-
 def snowball(
     papers: DataFrame,
     edges: DataFrame,
@@ -73,12 +69,19 @@ def snowball(
     banned = (excluded if excluded is not None else seeds.limit(0)).select("doi").distinct()
     visited = seeds.select("doi").unionByName(banned).distinct()
     frontier = seeds.select("doi").distinct().join(known, "doi", "left_semi")
+    sources = heavy_keys(edges, "src")
     found, links = None, None
     for level in range(1, depth + 1):
-        step = cut_lineage(
-            edges.join(frontier.select(F.col("doi").alias("src")), "src", "left_semi")
+        ids = frontier.select(F.col("doi").alias("src"))
+        step = cut_lineage(members(edges, ids, "src", sources, "dst"))
+        kept = members(
+            step, banned.withColumnRenamed("doi", "dst"), "dst", heavy_keys(step, "dst"), "src", inside=False
         )
-        kept = _without(_without(step, "dst", banned), "src", banned)
+        if level == 1:
+            # Later frontiers hold no excluded paper, since those count as visited.
+            kept = members(
+                kept, banned.withColumnRenamed("doi", "src"), "src", sources, "dst", inside=False
+            )
         links = kept if links is None else links.unionByName(kept)
         fresh = cut_lineage(
             step.select(F.col("dst").alias("doi")).distinct().join(visited, "doi", "left_anti")
@@ -94,10 +97,9 @@ def snowball(
 
 def linked_ids(result: Discovery, name: str = LINKED_IDS, part_rows: int = PART_ROWS) -> DataFrame:
     """``(doi, part, name)``: sorted linking ids of each paper, ``;``-joined."""
-    links = result.links.join(
-        result.found.select(F.col("doi").alias("dst")), "dst", "left_semi"
-    ).select("dst", "src")
-    placed = range_index(links, ["dst", "src"], "position")
+    found = result.found.select(F.col("doi").alias("dst"))
+    links = members(result.links, found, "dst", heavy_keys(result.links, "dst"), "src")
+    placed = range_index(links.select("dst", "src"), ["dst", "src"], "position")
     return list_parts(placed, ["dst"], "position", "src", ";", name, part_rows).withColumnRenamed(
         "dst", "doi"
     )

@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 SLICE_BITS = 16
 # Most items that are concatenated into one text value.
 PART_ROWS = 10_000
+# So many keys, those with most rows, are joined by broadcast; any other key
+# then has less than one thousandth of the rows.
+HEAVY_KEYS = 1_000
+# Rows of heavy keys go through a shuffle under so many salts.
+SALTS = 4_096
 # Most rows a configuration table (criteria, labels, raters) may have.
 CONFIG_ROWS = 10_000
 
@@ -57,6 +62,65 @@ def config_rows(df: DataFrame, what: str, limit: int = CONFIG_ROWS) -> list[Row]
     return rows
 
 
+def _salted(df: DataFrame, heavy: Column, spread: str) -> DataFrame:
+    """Salt 0 for light rows, a spread-out one that matches nothing for heavy rows."""
+    salt = 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    return df.withColumn("_salt", F.when(heavy, salt).otherwise(F.lit(0).cast("long")))
+
+
+def lookup(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: str, how: str = "left"
+) -> DataFrame:
+    """Add the columns of a table with unique keys, however skewed ``df`` is.
+
+    ``weight`` is the number of rows a key has in ``df``. The heaviest keys, a
+    fixed number of rows, are broadcast; the others are joined by a shuffle,
+    which the rows of heavy keys pass evenly spread by the column ``spread``.
+    """
+    keys = list(keys)
+    values = [c for c in table.columns if c not in {*keys, weight}]
+    # Reading the weight on both sides lets Spark reuse one aggregation.
+    weighed = table.where(F.col(weight) > 0)
+    top = weighed.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
+    heavy = F.broadcast(top.select(*keys, F.struct(*values).alias("_heavy")))
+    light = weighed.select(
+        *keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_light")
+    )
+    marked = _salted(df.join(heavy, keys, "left"), F.col("_heavy").isNotNull(), spread)
+    joined = marked.join(light, [*keys, "_salt"], "left").withColumn(
+        "_found", F.coalesce("_heavy", "_light")
+    )
+    if how == "inner":
+        joined = joined.where(F.col("_found").isNotNull())
+    return joined.select(*df.columns, *[F.col("_found")[v].alias(v) for v in values])
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys with most rows, a fixed number of them."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    return cut_lineage(counts.orderBy(F.desc("_n"), key).limit(HEAVY_KEYS).select(key))
+
+
+def members(
+    df: DataFrame, ids: DataFrame, key: str, heavy: DataFrame, spread: str, inside: bool = True
+) -> DataFrame:
+    """Rows whose key is (or is not) among unique ids, however skewed ``df`` is.
+
+    ``heavy`` comes from :func:`heavy_keys`; its rows are decided by broadcast.
+    """
+    yes = F.lit(True)
+    known = F.broadcast(
+        heavy.join(ids.select(F.col(key), yes.alias("_in")), key, "left").select(
+            key, yes.alias("_heavy"), "_in"
+        )
+    )
+    light = ids.select(key, F.lit(0).cast("long").alias("_salt"), yes.alias("_light"))
+    marked = _salted(df.join(known, key, "left"), F.coalesce("_heavy", F.lit(False)), spread)
+    joined = marked.join(light, [key, "_salt"], "left")
+    found = F.coalesce("_in", "_light")
+    return joined.where(found.isNotNull() if inside else found.isNull()).select(*df.columns)
+
+
 def slice_of(position: Column | str) -> Column:
     """The slice of an integer position; keeps the order of positions."""
     col = F.col(position) if isinstance(position, str) else position

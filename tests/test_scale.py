@@ -67,3 +67,20 @@ def test_config_rows_refuses_large_tables(spark):
     with pytest.raises(ValueError):
         scale.config_rows(spark.range(11), "rows", limit=10)
     assert len(scale.config_rows(spark.range(10), "rows", limit=10)) == 10
+
+
+@pytest.mark.parametrize("heavy", [0, 1, 3, 1000])
+def test_lookup_and_members_equal_plain_joins(spark, monkeypatch, heavy):
+    monkeypatch.setattr(scale, "HEAVY_KEYS", heavy)
+    rng = random.Random(6)
+    rows = [(rng.choice("aaaaaabbcdef"), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long")
+    counts = df.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    table = counts.where("k <> 'c' AND k <> 'b'")
+    key = lambda x: sorted(map(tuple, x.collect()), key=str)
+    for how in ("left", "inner"):
+        got = scale.lookup(df, table, ["k"], "n", "i", how)
+        assert key(got) == key(df.join(table.drop("n"), "k", how).select("k", "i", "first"))
+    ids, hot = table.select("k"), scale.heavy_keys(df, "k")
+    assert key(scale.members(df, ids, "k", hot, "i")) == key(df.join(ids, "k", "left_semi"))
+    assert key(scale.members(df, ids, "k", hot, "i", inside=False)) == key(df.join(ids, "k", "left_anti"))
