@@ -82,6 +82,8 @@ def snowball(
             kept = members(
                 kept, banned.withColumnRenamed("doi", "src"), "src", sources, "dst", inside=False
             )
+        # Read several times when the linked ids are listed.
+        kept = cut_lineage(kept)
         links = kept if links is None else links.unionByName(kept)
         fresh = cut_lineage(
             step.select(F.col("dst").alias("doi")).distinct().join(visited, "doi", "left_anti")
