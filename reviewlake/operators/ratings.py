@@ -163,7 +163,10 @@ def random_matrix(ratings: DataFrame, seed: int = 0, order: Column | None = None
 
 
 def with_evaluated(matrix: DataFrame, evaluated: DataFrame, name: str = "evaluated") -> DataFrame:
-    """Add the evaluated rater as the last one; only common records stay."""
+    """Add the evaluated rater as the last one; only common records stay.
+
+    ``matrix`` is a fixed or random matrix, whose first rater is ``rater_0``.
+    """
     last = evaluated.select(*KEYS, F.col("value").alias("_last"))
     own = F.struct("rater", "value")
     # The first rater's row of a record brings in the evaluated one.

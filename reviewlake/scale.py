@@ -62,9 +62,14 @@ def config_rows(df: DataFrame, what: str, limit: int = CONFIG_ROWS) -> list[Row]
     return rows
 
 
-def _salted(df: DataFrame, heavy: Column, spread: str) -> DataFrame:
-    """Salt 0 for light rows, a spread-out one that matches nothing for heavy rows."""
+def _salted(df: DataFrame, heavy: Column, keys: Sequence[str], spread: str) -> DataFrame:
+    """Salt 0 for light rows, a spread-out one that matches nothing for the others.
+
+    The others are rows of heavy keys and rows without a key.
+    """
     salt = 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    for key in keys:
+        heavy = heavy | F.col(key).isNull()
     return df.withColumn("_salt", F.when(heavy, salt).otherwise(F.lit(0).cast("long")))
 
 
@@ -86,7 +91,7 @@ def lookup(
     light = weighed.select(
         *keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_light")
     )
-    marked = _salted(df.join(heavy, keys, "left"), F.col("_heavy").isNotNull(), spread)
+    marked = _salted(df.join(heavy, keys, "left"), F.col("_heavy").isNotNull(), keys, spread)
     joined = marked.join(light, [*keys, "_salt"], "left").withColumn(
         "_found", F.coalesce("_heavy", "_light")
     )
@@ -115,7 +120,7 @@ def members(
         )
     )
     light = ids.select(key, F.lit(0).cast("long").alias("_salt"), yes.alias("_light"))
-    marked = _salted(df.join(known, key, "left"), F.coalesce("_heavy", F.lit(False)), spread)
+    marked = _salted(df.join(known, key, "left"), F.col("_heavy").isNotNull(), [key], spread)
     joined = marked.join(light, [key, "_salt"], "left")
     found = F.coalesce("_in", "_light")
     return joined.where(found.isNotNull() if inside else found.isNull()).select(*df.columns)

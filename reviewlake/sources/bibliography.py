@@ -78,13 +78,18 @@ def read_csv(
     path: str | Sequence[str],
     mappings: Mapping[str, str] | None = None,
     tabs: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Records of CSV or TSV exports, tagged with the stem of their file."""
+    """Records of CSV or TSV exports, tagged with the stem of their file.
+
+    Values may go over several lines, which makes a file one task; switch
+    ``multi_line`` off for very large files without such values.
+    """
     raw = spark.read.csv(
         path if isinstance(path, str) else list(path),
         header=True,
         sep="\t" if tabs else ",",
-        multiLine=True,
+        multiLine=multi_line,
         quote='"',
         escape='"',
         encoding="utf-8",
