@@ -11,10 +11,11 @@ without ASCII case, punctuation only separates words.
    within k words of p - o. No passage is lost here.
 2. CGK. A random walk copies the current word and moves on or not by a random
    bit of (step, word); n words become a string whose Hamming distance follows
-   their edit distance. Sampled positions of it are hashed; a window stays if
-   it shares a bucket with its item in one of ``REPEATS`` independent walks.
-3. Every such region is verified by the exact edit distance between the item
-   and its best passage.
+   their edit distance. Sampled positions of it are hashed; a document and an
+   item stay a candidate if one of their windows shares the item's bucket in
+   one of ``REPEATS`` independent walks.
+3. All windows of a candidate are verified by the exact edit distance between
+   the item and its best passage there.
 
 A window misses in all repeats with probability ``(1 - a**SAMPLED)**REPEATS``
 where ``a`` is the share of walk positions that agree; with a = 0.45, as measured at the
@@ -151,17 +152,17 @@ def _proposals(words: np.ndarray, row: np.ndarray, index: Index) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def _collides(words, starts, stops, items, index: Index) -> np.ndarray:
-    """Which windows share a bucket with their item in some repeat."""
+def _collides(words, starts, stops, items, pairs, index: Index) -> np.ndarray:
+    """Which pairs have a window that shares a bucket with its item in some repeat."""
     length = np.array([len(w) for w in index.words], np.int64)[items]
-    found = np.zeros(len(items), bool)
+    found = np.zeros(int(pairs.max(initial=-1)) + 1, bool)
     for r in range(REPEATS):
-        left = np.flatnonzero(~found)
+        left = np.flatnonzero(~found[pairs])
         if len(left) == 0:
             break
         i = items[left]
         got = _walk(words, starts[left], length[left], stops[left], index.sampled[i, r], r)
-        found[left] = got == index.buckets[i, r]
+        found[pairs[left[got == index.buckets[i, r]]]] = True
     return found
 
 
@@ -208,8 +209,10 @@ def _verified(words, begin, stop, proposed, index: Index, base: int):
     floor = begin[spread[:, 1]]
     spread[:, 2] = np.clip(spread[:, 2], floor, np.maximum(stop[spread[:, 1]] - 1, floor))
     spread = np.unique(spread, axis=0)
-    near = _collides(words, spread[:, 2], stop[spread[:, 1]], spread[:, 0], index)
-    spread = spread[near]
+    pair = np.zeros(len(spread), np.int64)
+    pair[1:] = np.cumsum((spread[1:, :2] != spread[:-1, :2]).any(axis=1))
+    near = _collides(words, spread[:, 2], stop[spread[:, 1]], spread[:, 0], pair, index)
+    spread = spread[near[pair]]
     if len(spread) == 0:
         return
     item, text, at = spread.T
