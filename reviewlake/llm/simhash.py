@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.llm.components import connected_components
 from reviewlake.llm.registry import query, table
-from reviewlake.operators.resolve import connected_components
 from reviewlake.scale import cut_lineage
 
 BITS, BITS_APART, SHINGLE, SEED = 64, 3, 3, 42
