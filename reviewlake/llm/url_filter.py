@@ -108,7 +108,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
 def list_of(pages: DataFrame) -> DataFrame:
     """A dated list over the keys of the pages: three entries for two of five keys."""
     keys = pages.select(F.inline(url_keys(F.col("url")))).select("key").distinct()
-    code = F.crc32(F.col("key").cast("binary"))
+    code = F.conv(F.substring(F.md5("key"), 1, 7), 16, 10).cast("long")
     listed = keys.withColumn("code", code).where(F.pmod("code", F.lit(5)) < 2)
     number = F.explode(F.sequence(F.lit(0), F.lit(2)))
     return listed.select("key", "code", number.alias("k")).select(
@@ -122,8 +122,38 @@ def list_of(pages: DataFrame) -> DataFrame:
     )
 
 
-# DuckDB has no crc32: the list is taken from a hash both know.
-@query()
+@query(
+    r"""
+    WITH urls AS (
+        SELECT page_id, url, DATE '2023-01-01' + (((page_id * 7) % 730 + 730) % 730)::INT AS fetched,
+               nullif(regexp_replace(lower(regexp_extract(url,
+                   '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+               nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/', 1), '') AS folder
+        FROM pages
+    ), keyed AS (
+        SELECT page_id, fetched, 0 AS kind, 'path:' || host || '/' || folder AS key FROM urls
+        UNION ALL SELECT page_id, fetched, 1, 'host:' || host FROM urls
+        UNION ALL SELECT page_id, fetched, 2, 'domain:' || regexp_extract(host, '([^.]*\.)?[^.]*$') FROM urls
+    ), coded AS (
+        SELECT key, ('0x' || substr(md5(key), 1, 7))::BIGINT AS code
+        FROM (SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL)
+    ), entries AS (
+        SELECT key, max(['allow', 'block', 'remove'][1 + ((code + 2 * k + 1) % 3)::INT]) AS action,
+               DATE '2022-11-01' + ((code * (k + 1)) % 790)::INT AS day
+        FROM coded, range(3) AS t(k) WHERE code % 5 < 2 GROUP BY key, day
+    ), spans AS (
+        SELECT key, action, day, lead(day) OVER (PARTITION BY key ORDER BY day) AS until FROM entries
+    ), hits AS (
+        SELECT page_id, min_by({'key': keyed.key, 'action': action, 'day': day}, kind) AS hit
+        FROM keyed JOIN spans ON keyed.key = spans.key AND fetched >= day AND (until IS NULL OR fetched < until)
+        WHERE action <> 'remove' GROUP BY page_id
+    )
+    SELECT page_id, fetched,
+           CASE hit.action WHEN 'block' THEN 'blocked' WHEN 'allow' THEN 'allowed' ELSE 'unlisted' END AS verdict,
+           hit.key AS matched, hit.day AS listed
+    FROM urls LEFT JOIN hits USING (page_id)
+    """
+)
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return filter_urls(captures_of(pages), list_of(pages))

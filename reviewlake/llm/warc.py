@@ -138,10 +138,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest
         FROM pages
     ), parts AS (
-        SELECT *, list_transform(range(8), i -> ('0x' || substr(h, 1 + 5 * i::INT, 5))::BIGINT) AS v FROM digests
+        SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, 1 + 5 * i::INT, 5))::BIGINT) AS v FROM digests
     )
     SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
-           list_aggregate(list_transform(range(32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                1 + ((v[1 + (j // 4)] >> (15 - 5 * (j % 4))::BIGINT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
            CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id <> newest THEN newest END AS refers_to
