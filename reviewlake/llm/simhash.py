@@ -199,19 +199,20 @@ def cells(fingerprints: DataFrame, parts: list[tuple[list[int], int]], block: in
     A fingerprint is stored under its own key of each partition and probes the
     higher ones of the keys within the threshold; lower ones probe it.
     """
+
+    def entry(part: int, key: Column, probe: bool) -> Column:
+        return F.struct(F.lit(part).alias("part"), key.alias("key"), F.lit(probe).alias("probe"))
+
+    def near(part: int, own: Column, masks: list[int]) -> Column:
+        flipped = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: own.bitwiseXOR(m))
+        return F.transform(F.filter(flipped, lambda k: k > own), lambda k: entry(part, k, True))
+
     entries = []
     for i, (bits, threshold) in enumerate(parts):
-        own = _key(bits)
-        entries.append(F.array(F.struct(F.lit(i).alias("part"), own.alias("key"), F.lit(False).alias("probe"))))
-        masks = _masks(bits, threshold)
+        own, masks = _key(bits), _masks(bits, threshold)
+        entries.append(F.array(entry(i, own, False)))
         if masks:
-            near = F.transform(
-                F.array(*[F.lit(m) for m in masks]),
-                lambda m, i=i, own=own: F.struct(
-                    F.lit(i).alias("part"), own.bitwiseXOR(m).alias("key"), F.lit(True).alias("probe")
-                ),
-            )
-            entries.append(F.filter(near, lambda e, own=own: e["key"] > own))
+            entries.append(near(i, own, masks))
     rows = fingerprints.select("f", F.inline(F.concat(*entries)))
     # Keys with more rows than a block; what has no stored row there is dropped below.
     large = (
@@ -295,9 +296,9 @@ def _sorted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield run(np.concatenate(rest))
 
 
-def links(fingerprints: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def links(fingerprints: DataFrame, block: int = BLOCK_ROWS, choices: Sequence[int] = (2, 3, 4)) -> DataFrame:
     """``(src, dst)`` links of distinct fingerprints ``f`` that keep all components."""
-    met = cells(fingerprints, plan(fingerprints), block)
+    met = cells(fingerprints, plan(fingerprints, choices), block)
     numbers = met.withColumn("probe", F.col("probe").cast("int"))
     placed = numbers.repartition("part", "key", "cell").sortWithinPartitions("part", "key", "cell")
     return placed.mapInArrow(_sorted_links, "src long, dst long").distinct()
