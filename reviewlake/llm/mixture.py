@@ -26,6 +26,8 @@ LEVELS = ("domain", "language", "source")
 # The order of an epoch is cut in 2**SLICE_BITS slices per leaf.
 SLICE_BITS = 16
 MAX_EPOCHS, SEED = 4, 42
+# Most leaves whose plans, a few numbers each, are broadcast; salts beyond it.
+BROADCAST_LEAVES, SALTS = 50_000, 64
 # The share of the corpus' tokens the mixture has.
 BUDGET_SHARE = 0.5
 
@@ -143,6 +145,19 @@ def leaf_budgets(
     return leaves.join(given, path)
 
 
+def _with_plans(rows: DataFrame, plans: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with the plan of their leaf, whatever share of the rows a leaf has.
+
+    Up to ``BROADCAST_LEAVES`` plans are broadcast, so the texts stay where they
+    are. More are joined by a shuffle under salts that spread every leaf.
+    """
+    if plans.count() <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(plans), names)
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS))
+    spread = plans.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("__mix_salt", salt).join(spread, [*names, "__mix_salt"]).drop("__mix_salt")
+
+
 def _order(seed: int) -> Column:
     """Place of a row in the last epoch: a non-negative 63-bit hash of id and text."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
@@ -193,7 +208,7 @@ def mix(
         )
     )
     edge = (
-        rows.join(plans, names)
+        _with_plans(rows, plans, names)
         .where(F.col("_slice") == F.col("_cut_slice"))
         .select(*names, "_order", "_before", "_rest", tokens(F.col("text")).alias("tokens"))
     )
@@ -207,7 +222,7 @@ def mix(
     plans = cut_lineage(plans.join(last, names, "left"))
     at, slice_ = _order(seed), F.shiftright(_order(seed), 63 - SLICE_BITS)
     in_prefix = (slice_ < F.col("_cut_slice")) | (at <= F.coalesce("_last", F.lit(-1)))
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys).join(plans, names)
+    marked = _with_plans(docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys), plans, names)
     chosen = marked.withColumn("mix_epochs", F.col("_whole") + F.coalesce(in_prefix, F.lit(False)).cast("long"))
     return chosen.where(F.col("mix_epochs") > 0).select(
         *[F.col(f"`{c}`") for c in docs.columns],
