@@ -299,18 +299,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def is_contaminated(text: Column, found_in: list[Index]) -> Column:
     """Whether a text holds a passage of any item; false for null and empty texts."""
-    out = F.lit(False)
-    for index in found_in:
 
+    def holds(index: Index) -> Column:
         @F.arrow_udf("boolean")
-        def holds(texts: pa.Array, index: Index = index) -> pa.Array:
+        def flagged(texts: pa.Array) -> pa.Array:
             flags = np.zeros(len(texts), bool)
             for row, *_ in search(texts, index):
                 flags[row] = True
             return pa.array(flags)
 
-        out = out | holds(text)
-    return out
+        return flagged(text)
+
+    return reduce(Column.__or__, [holds(index) for index in found_in])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
