@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # A piece ends after the text that takes it over so many bytes.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 # An odd multiplier, so it has an inverse modulo 2**64.
 _RADIX = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
