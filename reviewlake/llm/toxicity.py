@@ -22,8 +22,7 @@ from reviewlake.llm.registry import query, table
 
 THRESHOLD = 0.3
 # Most words that get a weight, the documents they must be in, and how far their
-# share among toxic documents
-# must be from chance (chi-squared with one degree of freedom).
+# share among toxic documents must be from chance (chi-squared, one degree of freedom).
 VOCABULARY, LEAST_DOCS, LEAST_CHI2 = 2_048, 8, 30.0
 _STOPS = bt.separators(".!?\n\r")
 _RESULT = pa.struct(
@@ -59,10 +58,8 @@ class Model:
 
     def unharmed(self, bags: Bags, logits: np.ndarray) -> np.ndarray:
         """-log of the probability that no sentence is toxic."""
-        n = len(bags.sentences)
-        known = np.bincount(bags.sentence_row, minlength=n)
-        rest = (bags.sentences - known) * _softplus(np.array(self.bias))
-        return self.leak + np.bincount(bags.sentence_row, _softplus(logits), n) + rest
+        # A sentence without a known word is no cause, so length alone adds nothing.
+        return self.leak + np.bincount(bags.sentence_row, _softplus(logits), len(bags.sentences))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +96,11 @@ def _bags(data, offsets, words) -> tuple[Bags, np.ndarray, np.ndarray]:
 def fit(bags: Bags, y: np.ndarray, words: np.ndarray, steps: int = 400, ridge: float = 1e-5) -> Model:
     """Maximum likelihood of the document labels under noisy-or, by Adam."""
     n, width = len(y), len(words)
-    # The weights, the logit of a sentence without known words, the log of the leak.
+    # The weights, the logit they are added to, the log of the leak.
     # Weights start well above zero: near zero, sentence scores have no slope.
     theta = np.full(width + 2, 4.0)
     theta[-2:] = -9.0, np.log(np.clip(y.mean() if n else 0.0, 0.01, 0.9) / 2)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    known = np.bincount(bags.sentence_row, minlength=n)
     for step in range(1, steps + 1) if n else ():
         model = Model(words, theta[:-2], theta[-2], np.exp(theta[-1]))
         logits = model.sentence_logits(bags)
@@ -112,16 +108,14 @@ def fit(bags: Bags, y: np.ndarray, words: np.ndarray, steps: int = 400, ridge: f
         # d(log likelihood)/d(total): -1 for clean documents.
         slope = np.where(y > 0, 1 / np.expm1(np.minimum(total, 50)), -1.0)
         at = slope[bags.sentence_row] / (1 + np.exp(-logits))
-        rest = (slope * (bags.sentences - known)).sum() / (1 + np.exp(-theta[-2]))
         gradient = np.concatenate(
             [
                 np.bincount(bags.entry_word, at[bags.entry_sentence], width) / n - ridge * theta[:-2],
-                [(at.sum() + rest) / n, slope.sum() * model.leak / n],
+                [at.sum() / n, slope.sum() * model.leak / n],
             ]
         )
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         theta = theta + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
-        # Many sentences of unknown words do not make a document toxic.
         theta[-2] = np.clip(theta[-2], -14, -8)
     return Model(words, theta[:-2], float(theta[-2]), float(np.exp(theta[-1])))
 
