@@ -8,7 +8,6 @@ a lost executor or a later action does not ask again what has been answered.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,9 +20,7 @@ from reviewlake.scale import CONFIG_ROWS, config_rows, cut_lineage
 
 AnswerFn = Callable[[str, str], str]
 
-# A code fence around a JSON object, shape of the two kinds of
-# answers.
-FENCE = r"`+\w*\s*([{].+[}])\s*`+"
+# Shape of the two kinds of answers.
 VERDICT_SCHEMA = "answer STRING, justification STRING"
 SCORE_SCHEMA = "score DOUBLE, reason STRING"
 UNSCORED = "left unscored: no usable score was returned"
@@ -175,9 +172,11 @@ def split_failures(asked: DataFrame, parsed: str = "parsed") -> tuple[DataFrame,
 
 
 def strip_fence(text: Column | str) -> Column:
-    """JSON object inside a code fence, or the text as it is."""
+    """The text from its first to its last brace, or as it is without the two."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(c, f"(?sU){FENCE}", "$1")
+    first, behind = F.instr(c, "{"), F.instr(F.reverse(c), "}")
+    size = F.length(c) - behind - first + 2
+    return F.when((first > 0) & (behind > 0) & (size > 0), F.substring(c, first, size)).otherwise(c)
 
 
 def parse_answer(text: Column | str, schema: str) -> Column:
@@ -261,7 +260,7 @@ def assess_quality(
 
     def scored(raw: str) -> bool:
         try:
-            found = json.loads(re.sub(FENCE, r"\1", raw, flags=re.S))
+            found = json.loads(raw[raw.find("{") : raw.rfind("}") + 1])
             return bool(found.get("score")) or (zero_is_valid and found.get("score") == 0)
         except (ValueError, AttributeError):
             return False

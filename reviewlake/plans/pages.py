@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions import geometry as g
 from reviewlake.operators import layout as ly
 from reviewlake.plans.registry import query, table
-from reviewlake.plans.values import rects
+from reviewlake.plans.values import _RECTS, rects
 
 # Every third item ends in a hyphen, so that it takes in the next one.
 _ITEMS = """
@@ -146,7 +146,37 @@ def placed_text(spark, folder):
     )
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {_RECTS}, pages AS (
+      SELECT vec_id // 200 AS doc_id, vec_id // 20 AS page,
+        list({{'t': [CASE label % 3 WHEN 0 THEN 'Text' WHEN 1 THEN 'List' ELSE 'Title' END],
+              'x0': ax0, 'y0': ay0, 'x1': ax1, 'y1': ay1}} ORDER BY vec_id) AS later
+      FROM r JOIN embeddings USING (vec_id) GROUP BY ALL
+    ), walk AS (
+      SELECT doc_id, page, later[1:0] AS done, later[1:1] AS hand, later[2:] AS later FROM pages
+      UNION ALL
+      SELECT doc_id, page,
+        CASE WHEN hit IS NULL THEN list_concat(done, hand) ELSE done END,
+        CASE WHEN hit IS NULL THEN later[1:1] ELSE [{{
+          't': list_concat(hand[1].t, list_filter(later[hit].t, lambda t: NOT list_contains(hand[1].t, t))),
+          'x0': least(hand[1].x0, later[hit].x0), 'y0': least(hand[1].y0, later[hit].y0),
+          'x1': greatest(hand[1].x1, later[hit].x1), 'y1': greatest(hand[1].y1, later[hit].y1)}}] END,
+        CASE WHEN hit IS NULL THEN later[2:] ELSE list_concat(later[1:hit - 1], later[hit + 1:]) END
+      FROM (SELECT *, list_min(list_filter(range(1, len(later) + 1), lambda i:
+          least((hand[1].x1 - hand[1].x0) * (hand[1].y1 - hand[1].y0),
+                (later[i].x1 - later[i].x0) * (later[i].y1 - later[i].y0)) > 0
+          AND greatest(least(hand[1].x1, later[i].x1) - greatest(hand[1].x0, later[i].x0), 0)
+            * greatest(least(hand[1].y1, later[i].y1) - greatest(hand[1].y0, later[i].y0), 0)
+            / least((hand[1].x1 - hand[1].x0) * (hand[1].y1 - hand[1].y0),
+                    (later[i].x1 - later[i].x0) * (later[i].y1 - later[i].y0)) >= 0.5)) AS hit
+        FROM walk WHERE len(hand) > 0)
+    ), ended AS (SELECT doc_id, page, done FROM walk WHERE len(hand) = 0)
+    SELECT doc_id, page, i - 1 AS box_id, array_to_string(done[i].t, ',') AS types,
+      round((done[i].x1 - done[i].x0) * (done[i].y1 - done[i].y0), 5) AS area
+    FROM (SELECT *, unnest(range(1, len(done) + 1)) AS i FROM ended)
+    """
+)
 def merged_boxes(spark, folder):
     """Order-dependent union of boxes; twenty vectors make a page."""
     boxes = rects(spark, folder).select(

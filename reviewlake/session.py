@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,8 @@ SETTINGS = {
     # Rows sent to Python hold whole texts, so a batch has few of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A checkpoint goes with the last DataFrame that reads it.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,6 +37,7 @@ def local_session(cpus: str | int | None = None, app: str = "reviewlake") -> Spa
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reviewlake-checkpoint-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
