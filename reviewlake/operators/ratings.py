@@ -74,9 +74,13 @@ def compare_with_truth(
     An evaluated record without trusted ratings is an error.
     """
     rated = evaluated.select(*KEYS, F.col("value").alias("predicted"))
-    joined = rated.join(ground_truth(ratings), list(KEYS), "left")
+    truth = ground_truth(ratings).withColumn("_rated", F.lit(True))
+    joined = rated.join(truth, list(KEYS), "left")
     missing = F.raise_error(F.concat(F.lit("no trusted rating for id "), F.col("id").cast("string")))
-    checked = joined.withColumn("avg", F.coalesce("avg", missing.cast("double")))
+    # A record whose trusted ratings are all null is rated, without a value.
+    checked = joined.withColumn(
+        "avg", F.when(F.col("_rated").isNull(), missing.cast("double")).otherwise(F.col("avg"))
+    )
     items = F.array(
         *[
             F.struct(F.lit(label).alias("ground_truth"), F.col(stat).alias("truth"))

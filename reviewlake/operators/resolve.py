@@ -21,7 +21,6 @@ from reviewlake.functions.text import (
     first_non_blank,
     is_usable,
     normalize_doi,
-    parse_list,
     strip,
     tokens,
 )

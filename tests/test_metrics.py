@@ -164,3 +164,11 @@ def test_matrix_report(spark):
     evaluated = long(spark, {"e": EVALUATED}).drop("rater")
     rows = {r["metric"]: r["score"] for r in rt.matrix_report(trusted, evaluated, ["score"], "e").collect()}
     assert rows["ICC3"] == 0.9584 and rows["ICC1"] == 0.9607 and set(rows) == {"ICC1", "ICC2", "ICC3"}
+
+
+def test_null_trusted_ratings_are_no_missing_ones(spark):
+    ddl = "attribute string, id string, rater string, value double"
+    trusted = spark.createDataFrame([("q", "s1", "a", None), ("q", "s2", "a", 2.0)], ddl)
+    evaluated = spark.createDataFrame([("q", "s1", "e", 1.0), ("q", "s2", "e", 3.0)], ddl)
+    got = rt.compare_with_truth(trusted, evaluated).where("ground_truth = 'average score'").first()
+    assert got["mae"] == 1.0
