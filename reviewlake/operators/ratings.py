@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.scale import config_rows, cut_lineage
+from reviewlake.scale import cut_lineage, lookup, range_index
 
 Metric = Callable[[Column, Column], Column]
 NAN = float("nan")
@@ -115,53 +115,57 @@ def unmatched_ids(ratings: DataFrame, evaluated: DataFrame) -> DataFrame:
     return evaluated.select(*KEYS).join(ratings.select(*KEYS), list(KEYS), "left_anti")
 
 
-def rater_names(ratings: DataFrame) -> list[str]:
-    """Rater names in order; there are as many as rater files."""
-    return [r["rater"] for r in config_rows(ratings.select("rater").distinct().orderBy("rater"), "raters")]
+def numbered_raters(ratings: DataFrame) -> DataFrame:
+    """``(rater, n, place)``: the raters in order of their names, with their ratings."""
+    counts = ratings.groupBy("rater").agg(F.count("*").alias("n"))
+    return range_index(counts, ["rater"], "place")
 
 
-def fixed_matrix(ratings: DataFrame, raters: Sequence[str], zero_is_missing: bool = True) -> DataFrame:
+def fixed_matrix(
+    ratings: DataFrame, zero_is_missing: bool = True, raters: DataFrame | None = None
+) -> DataFrame:
     """One rating per record and rater; gaps filled with the record's mean.
 
     A rating of 0 counts as missing, and a record of zeros stays zero, unless
-    ``zero_is_missing`` is off.
+    ``zero_is_missing`` is off. The matrix is in long form and has as many rows
+    as it has cells; ``raters`` comes from :func:`numbered_raters`.
     """
-    wide = ratings.groupBy(*KEYS).pivot("rater", list(raters)).agg(F.avg("value"))
-    values = F.array(*[F.col(f"`{r}`") for r in raters])
-    if zero_is_missing:
-        values = F.transform(values, lambda v: F.nullif(v, F.lit(0.0)))
-    present = F.filter(values, lambda v: v.isNotNull())
-    mean = F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, v: a + v), F.size(present))
-    filled = wide.select(*KEYS, values.alias("_values"), F.coalesce(mean, F.lit(0.0)).alias("_mean"))
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(f"rater_{i}").alias("rater"),
-                F.coalesce(F.get("_values", F.lit(i)), "_mean").alias("value"),
-            )
-            for i in range(len(raters))
-        ]
+    raters = numbered_raters(ratings) if raters is None else raters
+    count = raters.count()
+    value = F.nullif("value", F.lit(0.0)) if zero_is_missing else F.col("value")
+    rated = ratings.groupBy(*KEYS, "rater").agg(F.avg("value").alias("value"))
+    given = lookup(rated.withColumn("value", value), raters, ["rater"], "n", "id", how="inner")
+    given = given.select(*KEYS, "place", "value")
+    last = F.lit(count - 1).cast("long")
+    places = F.sequence(F.lit(0).cast("long"), last) if count else F.array().cast("array<bigint>")
+    grid = given.groupBy(*KEYS).agg(F.avg("value").alias("_mean")).select(
+        *KEYS, "_mean", F.explode(places).alias("place")
+    )
+    return grid.join(given, [*KEYS, "place"], "left").select(
+        *KEYS,
+        F.concat(F.lit("rater_"), F.col("place").cast("string")).alias("rater"),
+        F.coalesce("value", "_mean", F.lit(0.0)).alias("value"),
     )
-    return filled.select(*KEYS, F.inline(items))
 
 
 def random_matrix(ratings: DataFrame, seed: int = 0, order: Column | None = None) -> DataFrame:
     """The same number of ratings per record, drawn in a seeded hash order.
 
-    The number is the least any record of the attribute has. It is read first,
-    as a literal, so Spark trims each record's ratings before the shuffle and a
-    record with very many ratings never fills one task.
+    The number is the least any record of the attribute has. The greatest of
+    these numbers is read first, so Spark trims each record's ratings before the
+    shuffle and a record with very many ratings never fills one task.
     """
     sizes = ratings.groupBy(*KEYS).agg(F.count("*").alias("n")).groupBy("attribute")
-    least = {r["attribute"]: r["k"] for r in config_rows(sizes.agg(F.min("n").alias("k")), "attributes")}
-    if not least:
+    least = cut_lineage(sizes.agg(F.min("n").alias("k"), F.sum("n").alias("n")))
+    greatest = least.agg(F.max("k")).first()[0]
+    if greatest is None:
         return ratings.limit(0)
     draw = order if order is not None else F.xxhash64(F.lit(seed), F.col("id"), F.col("rater"))
     window = Window.partitionBy(*KEYS).orderBy(draw, "rater")
     ranked = ratings.withColumn("_rank", F.row_number().over(window))
-    ranked = ranked.where(F.col("_rank") <= max(least.values()))
-    limits = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    return ranked.where(F.col("_rank") <= limits[F.col("attribute")]).select(
+    ranked = ranked.where(F.col("_rank") <= greatest)
+    drawn = lookup(ranked, least, ["attribute"], "n", "id", how="inner")
+    return drawn.where(F.col("_rank") <= F.col("k")).select(
         *KEYS, F.concat(F.lit("rater_"), (F.col("_rank") - 1).cast("string")).alias("rater"), "value"
     )
 
@@ -272,7 +276,7 @@ def matrix_report(
         if random:
             matrix = random_matrix(ratings, seed, order)
         else:
-            matrix = fixed_matrix(ratings, rater_names(ratings))
+            matrix = fixed_matrix(ratings)
         # Row and column means both read the cells; build them once.
         values = matrix_metrics(cut_lineage(with_evaluated(matrix, evaluated)), chosen)
         items = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in chosen]

@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from reviewlake.functions.text import (
     strip,
     tokens,
 )
-from reviewlake.scale import PART_ROWS, cut_lineage, id_index, list_parts, lookup
+from reviewlake.scale import cut_lineage, id_index, joined_items, lookup, ordered_items
 
 # Frequent words are told apart from rare ones by this many ranked words. The
 # choice only changes which words are compared first, never the result.
@@ -488,16 +488,13 @@ def url_relevance(url: Column | str) -> Column:
     )
 
 
-def golden_records(
-    clustered: DataFrame, id_col: str = "record_id", part_rows: int = PART_ROWS
-) -> DataFrame:
+def golden_records(clustered: DataFrame, id_col: str = "record_id") -> DataFrame:
     """One record per cluster, merged from its members.
 
     Title, authors, source, year and abstract come from the member with the
     highest confidence, the DOI is the longest one, the URL the most specific
-    one. An abstract that is missing there is joined from the other members.
-    Lists of a cluster with more than ``part_rows`` items go on in further rows
-    (``part`` 1, 2, …), which repeat the single values.
+    one. ``members`` counts them. What a cluster has any number of is in
+    :func:`golden_lists`.
     """
     order = -F.col(id_col)
     best = F.struct("confidence", order)
@@ -505,73 +502,103 @@ def golden_records(
         F.max_by(F.struct("title", "authors", "source", "year", "abstract"), best).alias("rep"),
         F.max_by("doi", F.struct(F.length("doi"), order)).alias("doi"),
         F.max_by("url", F.struct(url_relevance("url"), order)).alias("url"),
-        F.count("*").alias("n"),
+        F.count("*").alias("members"),
+    )
+    return single.select(
+        "cluster_id",
+        "members",
+        "rep.title",
+        "rep.authors",
+        "rep.source",
+        F.coalesce(first_non_blank("rep.abstract"), F.lit("")).alias("abstract"),
+        "doi",
+        "url",
+        "rep.year",
+        F.lit(None).cast("string").alias("include"),
     )
+
+
+def listed_words(value: Column) -> Column:
+    """The lower-case words of a ``;``-separated list."""
+    return F.transform(F.split(value, ";"), lambda k: F.lower(strip(k)))
+
+
+def golden_lists(
+    clustered: DataFrame,
+    id_col: str = "record_id",
+    keyword_items: Callable[[Column], Column] = listed_words,
+    abstract_items: Callable[[Column], Column] = F.array,
+) -> DataFrame:
+    """``(cluster_id, kind, ord, item)``: what the members of a cluster add up to.
+
+    ``provenance`` names each member; ``keywords`` are the distinct ones in
+    order of their first place; ``abstract`` holds the distinct abstracts of the
+    other members where the representative has none. The two functions cut a
+    value into its items.
+    """
+    row, none = F.col(id_col).alias("row"), F.lit(0).alias("at")
     provenance = clustered.select(
         "cluster_id",
         F.lit("provenance").alias("kind"),
-        F.col(id_col).alias("position"),
+        row,
+        none,
         F.concat(
             F.lit("("), F.coalesce("filename", F.lit("")), F.lit(","), F.col(id_col), F.lit(")")
         ).alias("item"),
     )
-    # A word list keeps the first place of each keyword over the whole cluster:
-    # the row, then the place inside the row.
+    usable = F.when(is_usable("keywords"), F.col("keywords"))
     keywords = clustered.select(
         "cluster_id",
-        F.col(id_col).alias("row"),
-        F.posexplode(F.transform(F.split(F.when(is_usable("keywords"), F.col("keywords")), ";"), lambda k: F.lower(strip(k)))).alias("at", "item"),
+        F.lit("keywords").alias("kind"),
+        row,
+        F.posexplode(keyword_items(usable)).alias("at", "item"),
     )
-    keywords = (
-        keywords.groupBy("cluster_id", "item")
-        .agg(F.min(F.struct("row", "at")).alias("first"))
-        .select("cluster_id", F.lit("keywords").alias("kind"), F.col("first").alias("place"), "item")
+    best = F.struct("confidence", -F.col(id_col))
+    gaps = clustered.groupBy("cluster_id").agg(
+        F.max_by("abstract", best).alias("own"), F.count("*").alias("n")
     )
-    gaps = single.where(~is_usable("rep.abstract")).select("cluster_id", "n", F.lit(True).alias("gap"))
+    gaps = gaps.where(~is_usable("own")).select("cluster_id", "n", F.lit(True).alias("gap"))
     told = clustered.where(is_usable("abstract")).select("cluster_id", id_col, "abstract")
-    abstracts = (
-        lookup(told, gaps, ["cluster_id"], "n", id_col, how="inner")
-        .groupBy("cluster_id", F.col("abstract").alias("item"))
-        .agg(F.min(F.struct(F.col(id_col).alias("row"), F.lit(0).alias("at"))).alias("place"))
-        .select("cluster_id", F.lit("abstract").alias("kind"), "place", "item")
+    abstracts = lookup(told, gaps, ["cluster_id"], "n", id_col, how="inner").select(
+        "cluster_id",
+        F.lit("abstract").alias("kind"),
+        row,
+        F.posexplode(abstract_items(F.col("abstract"))).alias("at", "item"),
     )
-    lists = (
-        list_parts(provenance, ["cluster_id"], "position", "item", "; ", "source_database_indices", part_rows)
-        .join(_placed_parts(keywords, "; ", "keywords", part_rows), ["cluster_id", "part"], "full")
-        .join(_placed_parts(abstracts, "\n", "abstracts", part_rows), ["cluster_id", "part"], "full")
+    # Equal items of a cluster keep their first place; provenance has none.
+    firsts = (
+        keywords.unionByName(abstracts)
+        .groupBy("cluster_id", "kind", "item")
+        .agg(F.min(F.struct("row", "at")).alias("first"))
+        .select("cluster_id", "kind", "first.row", "first.at", "item")
     )
-    return lists.join(single, "cluster_id").select(
-        "cluster_id",
-        "part",
-        F.coalesce("source_database_indices", F.lit("")).alias("source_database_indices"),
-        "rep.title",
-        "rep.authors",
-        F.coalesce("keywords", F.lit("")).alias("keywords"),
-        "rep.source",
-        F.coalesce(first_non_blank("rep.abstract"), F.col("abstracts"), F.lit("")).alias("abstract"),
-        "doi",
-        "url",
-        "rep.year",
-        F.lit(None).cast("string").alias("include"),
+    items = cut_lineage(provenance.unionByName(firsts))
+    return ordered_items(items, ["cluster_id", "kind"], ["row", "at"]).select(
+        "cluster_id", "kind", "ord", "item"
     )
 
 
-def _placed_parts(items: DataFrame, separator: str, name: str, part_rows: int) -> DataFrame:
-    """Lists ordered by ``place (row, at)``, one row of input after the other.
-
-    The items of one input row stay together, since the words of one record are
-    few; rows are concatenated like any list.
-    """
-    rows = (
-        items.groupBy("cluster_id", F.col("place.row").alias("row"))
-        .agg(F.array_sort(F.collect_list(F.struct("place.at", "item"))).alias("_own"))
-        .select(
-            "cluster_id",
-            "row",
-            F.array_join(F.transform("_own", lambda i: i["item"]), separator).alias("item"),
-        )
+def golden_table(clustered: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """Golden records with their lists as joined texts, where those fit one value."""
+    lists = golden_lists(clustered, id_col)
+    table = golden_records(clustered, id_col)
+    for kind, separator in (("provenance", "; "), ("keywords", "; "), ("abstract", "\n")):
+        own = lists.where(F.col("kind") == kind)
+        table = table.join(joined_items(own, ["cluster_id"], separator, f"_{kind}"), "cluster_id", "left")
+    told = F.when(is_usable("abstract"), F.col("abstract"))
+    return table.select(
+        "cluster_id",
+        F.coalesce("_provenance", F.lit("")).alias("source_database_indices"),
+        "title",
+        "authors",
+        F.coalesce("_keywords", F.lit("")).alias("keywords"),
+        "source",
+        F.coalesce(told, F.col("_abstract"), F.col("abstract")).alias("abstract"),
+        "doi",
+        "url",
+        "year",
+        "include",
     )
-    return list_parts(rows, ["cluster_id"], "row", "item", separator, name, part_rows)
 
 
 def labelled_pairs_model(

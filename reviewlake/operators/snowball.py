@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import doi_url, normalize_doi
-from reviewlake.scale import PART_ROWS, cut_lineage, heavy_keys, list_parts, members, range_index
+from reviewlake.scale import (
+    cut_lineage,
+    heavy_keys,
+    joined_items,
+    members,
+    ordered_items,
+    range_index,
+)
 
 # Columns of a discovered paper and the citation lists to follow.
 DETAIL_COLUMNS = (
@@ -24,6 +31,7 @@ DETAIL_COLUMNS = (
 )
 RELATIONS = {"backward": "references", "forward": "citations"}
 LINKED_IDS = "referencing_paper_ids"
+LINK_COUNT = "linking_papers"
 BATCH_SIZE = 500
 
 
@@ -69,21 +77,21 @@ def snowball(
     banned = (excluded if excluded is not None else seeds.limit(0)).select("doi").distinct()
     visited = seeds.select("doi").unionByName(banned).distinct()
     frontier = seeds.select("doi").distinct().join(known, "doi", "left_semi")
-    sources = heavy_keys(edges, "src")
+    sources, targets = heavy_keys(edges, "src"), heavy_keys(edges, "dst")
     found, links = None, None
     for level in range(1, depth + 1):
         ids = frontier.select(F.col("doi").alias("src"))
-        step = cut_lineage(members(edges, ids, "src", sources, "dst"))
-        kept = members(
-            step, banned.withColumnRenamed("doi", "dst"), "dst", heavy_keys(step, "dst"), "src", inside=False
+        # Excluded papers count as visited, so links to them lead nowhere.
+        step = members(edges, ids, "src", sources, "dst")
+        step = cut_lineage(
+            members(step, banned.withColumnRenamed("doi", "dst"), "dst", targets, "src", inside=False)
         )
+        kept = step
         if level == 1:
-            # Later frontiers hold no excluded paper, since those count as visited.
+            # Later frontiers hold no excluded paper.
             kept = members(
-                kept, banned.withColumnRenamed("doi", "src"), "src", sources, "dst", inside=False
+                step, banned.withColumnRenamed("doi", "src"), "src", sources, "dst", inside=False
             )
-        # Read several times when the linked ids are listed.
-        kept = cut_lineage(kept)
         links = kept if links is None else links.unionByName(kept)
         fresh = cut_lineage(
             step.select(F.col("dst").alias("doi")).distinct().join(visited, "doi", "left_anti")
@@ -97,29 +105,22 @@ def snowball(
     return Discovery(found, links)
 
 
-def linked_ids(result: Discovery, name: str = LINKED_IDS, part_rows: int = PART_ROWS) -> DataFrame:
-    """``(doi, part, name)``: sorted linking ids of each paper, ``;``-joined."""
+def linked_ids(result: Discovery) -> DataFrame:
+    """``(doi, ord, item)``: the linking ids of each paper, sorted, one row each."""
     found = result.found.select(F.col("doi").alias("dst"))
     links = members(result.links, found, "dst", heavy_keys(result.links, "dst"), "src")
-    placed = range_index(links.select("dst", "src"), ["dst", "src"], "position")
-    return list_parts(placed, ["dst"], "position", "src", ";", name, part_rows).withColumnRenamed(
-        "dst", "doi"
-    )
+    placed = ordered_items(links.select("dst", "src"), ["dst"], ["src"])
+    return placed.select(F.col("dst").alias("doi"), "ord", F.col("src").alias("item"))
 
 
-def snowball_records(
-    papers: DataFrame,
-    result: Discovery,
-    linked_ids_column: str = LINKED_IDS,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """Result table in DOI order: index, details, linked ids, empty decision.
-
-    A paper has one row (``part`` 0) unless more than ``part_rows`` papers link
-    to it; then its list goes on in further rows.
+def snowball_records(papers: DataFrame, result: Discovery, count_column: str = LINK_COUNT) -> DataFrame:
+    """Result table in DOI order: index, details, number of links, empty decision.
+
+    One row per paper. The linking ids themselves are a table of their own,
+    :func:`linked_ids`, since a paper may have any number of them.
     """
-    if linked_ids_column in DETAIL_COLUMNS:
-        raise ValueError(f"linked ids column {linked_ids_column!r} conflicts with an output column")
+    if count_column in DETAIL_COLUMNS:
+        raise ValueError(f"linked ids column {count_column!r} conflicts with an output column")
     details = papers.withColumn("doi", normalize_doi("doi")).join(
         result.found.select("doi"), "doi", "left_semi"
     )
@@ -131,16 +132,32 @@ def snowball_records(
         {"authors": F.coalesce("authors", F.lit("")), "url": doi_url("doi")}
     )
     ids = range_index(details.select("doi"), ["doi"], "cluster_id")
-    lists = linked_ids(result, linked_ids_column, part_rows)
+    counts = result.links.groupBy(F.col("dst").alias("doi")).agg(F.count("*").alias(count_column))
     return (
         ids.join(details, "doi")
+        .join(counts, "doi", "left")
+        .select(
+            "cluster_id",
+            *DETAIL_COLUMNS,
+            F.coalesce(count_column, F.lit(0)).alias(count_column),
+            F.lit(None).cast("string").alias("include"),
+        )
+    )
+
+
+def snowball_table(papers: DataFrame, result: Discovery, linked_ids_column: str = LINKED_IDS) -> DataFrame:
+    """The result table with the linking ids ``;``-joined, where they fit one value."""
+    if linked_ids_column in DETAIL_COLUMNS:
+        raise ValueError(f"linked ids column {linked_ids_column!r} conflicts with an output column")
+    lists = joined_items(linked_ids(result), ["doi"], ";", linked_ids_column)
+    return (
+        snowball_records(papers, result)
         .join(lists, "doi", "left")
         .select(
             "cluster_id",
             *DETAIL_COLUMNS,
-            F.coalesce("part", F.lit(0)).alias("part"),
             F.coalesce(linked_ids_column, F.lit("")).alias(linked_ids_column),
-            F.lit(None).cast("string").alias("include"),
+            "include",
         )
     )
 

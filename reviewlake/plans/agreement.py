@@ -167,6 +167,23 @@ def ground_truth(spark, folder):
     return rt.ground_truth(trusted).withColumns({c: F.round(c, 4) for c in ("avg", "min", "max")})
 
 
+@query(
+    """
+    SELECT DISTINCT 'quantity' AS attribute, l_orderkey AS id FROM lineitem l WHERE l_linenumber = 4
+      AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linenumber <> 4)
+    """
+)
+def unmatched_ids(spark, folder):
+    """Orders whose fourth line is the only one have no truth to compare with."""
+    lines = table(spark, folder, "lineitem").select(
+        F.lit("quantity").alias("attribute"),
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linenumber").alias("line"),
+    )
+    evaluated = lines.where(F.col("line") == 4).drop("line").distinct()
+    return rt.unmatched_ids(lines.where(F.col("line") != 4), evaluated)
+
+
 def _metric_sql(value: str) -> str:
     return f"""
     WITH {_RATINGS},
@@ -226,7 +243,7 @@ def _draw():
 )
 def fixed_matrix(spark, folder):
     trusted, _ = _ratings(spark, folder)
-    return rt.fixed_matrix(trusted, rt.rater_names(trusted)).withColumn("value", F.round("value", 4))
+    return rt.fixed_matrix(trusted).withColumn("value", F.round("value", 4))
 
 
 @query(
@@ -270,7 +287,7 @@ def _icc_sql(matrix: str) -> str:
 )
 def icc_forms(spark, folder):
     trusted, evaluated = _ratings(spark, folder)
-    matrix = rt.fixed_matrix(trusted, rt.rater_names(trusted))
+    matrix = rt.fixed_matrix(trusted)
     return rt.icc(cut_lineage(rt.with_evaluated(matrix, evaluated)))
 
 

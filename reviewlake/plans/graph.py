@@ -30,9 +30,8 @@ _GRAPH = """
 _RECORDS = """
     SELECT row_number() OVER (ORDER BY doi) - 1 AS cluster_id, doi, title, authors,
       CAST(NULL AS VARCHAR) AS abstract, source, 'https://doi.org/' || doi AS url, year,
-      CAST(NULL AS VARCHAR) AS has_pdf, CAST(NULL AS VARCHAR) AS pdf_url, 0 AS part,
-      coalesce((SELECT string_agg(src, ';' ORDER BY src) FROM links WHERE dst = found.doi), '')
-        AS referencing_paper_ids,
+      CAST(NULL AS VARCHAR) AS has_pdf, CAST(NULL AS VARCHAR) AS pdf_url,
+      (SELECT count(*) FROM links WHERE dst = found.doi) AS linking_papers,
       CAST(NULL AS VARCHAR) AS include
     FROM found
 """
@@ -81,6 +80,19 @@ def snowball_links(spark, folder):
     return sb.snowball(papers, edges, seeds, banned, depth=2).links.select("src", "dst")
 
 
+@query(
+    "WITH "
+    + _GRAPH.format(src="l_suppkey", dst="l_partkey")
+    + """
+    SELECT dst AS doi, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS ord, src AS item
+    FROM links WHERE dst IN (SELECT doi FROM found)
+    """
+)
+def snowball_linked_ids(spark, folder):
+    papers, edges, seeds, banned = _inputs(spark, folder, "l_suppkey", "l_partkey")
+    return sb.linked_ids(sb.snowball(papers, edges, seeds, banned, depth=2))
+
+
 @query(
     """
     SELECT DISTINCT '10.1/' || o_custkey AS doi FROM orders

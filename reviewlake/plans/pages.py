@@ -26,13 +26,22 @@ def _items(spark, folder):
     )
 
 
+# What an item adds to its run, given the items before and after.
+_PIECES = r"""
+    flagged AS (SELECT *, regexp_matches(text, '-\s*$') AS hyphen, lag(regexp_matches(text, '-\s*$')) OVER v AS glued,
+                  first_value({at}) OVER v AS run_start, lead({at}) OVER v IS NULL AS ends
+                FROM numbered WINDOW v AS (PARTITION BY {key}, run ORDER BY {at})),
+    led AS (SELECT *, CASE WHEN glued IS NULL OR glued THEN regexp_replace(text, '^\s+', '')
+                      ELSE chr(10) || text END AS body FROM flagged),
+    pieces AS (SELECT *, CASE WHEN ends THEN regexp_replace(body, '\s+$', '')
+                 WHEN hyphen THEN regexp_replace(body, '-\s*$', '') ELSE body END AS piece FROM led)
+"""
+
+
 @query(
-    rf"""
-    WITH {_ITEMS}
-    SELECT conv_id, min(turn) AS run_start, role, 0 AS part,
-      replace(regexp_replace(regexp_replace(string_agg(text, chr(1) ORDER BY turn),
-        '-\s*\x01\s*', '', 'g'), '^\s+|\s+$', '', 'g'), chr(1), chr(10)) AS text
-    FROM numbered GROUP BY conv_id, role, run
+    f"""
+    WITH {_ITEMS}, {_PIECES.format(key="conv_id", at="turn")}
+    SELECT conv_id, run_start, role, turn, piece AS text FROM pieces
     """
 )
 def text_runs(spark, folder):
@@ -90,14 +99,11 @@ def item_types(spark, folder):
 
 
 @query(
-    rf"""
-    WITH {_TYPED},
-    rendered AS (SELECT doc_id, run, CASE WHEN box_type = 'Title' THEN chr(10) || chr(10) || '## ' || body
-                   || chr(10) || chr(10) ELSE body END AS shown
-      FROM (SELECT doc_id, run, any_value(box_type) AS box_type, regexp_replace(
-              string_agg(text, chr(10) ORDER BY seq), '^\s+|\s+$', '', 'g') AS body
-            FROM numbered GROUP BY doc_id, run))
-    SELECT doc_id, 0 AS part, string_agg(shown, '' ORDER BY run) AS document FROM rendered GROUP BY doc_id
+    f"""
+    WITH {_TYPED}, {_PIECES.format(key="doc_id", at="seq")}
+    SELECT doc_id, seq, CASE WHEN box_type = 'Title' AND glued IS NULL THEN chr(10) || chr(10) || '## ' ELSE '' END
+      || piece || CASE WHEN box_type = 'Title' AND ends THEN chr(10) || chr(10) ELSE '' END AS text
+    FROM pieces
     """
 )
 def document_text(spark, folder):

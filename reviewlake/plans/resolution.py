@@ -150,34 +150,51 @@ def dedup_clusters(spark, folder):
     )
 
 
-@query(
-    f"""
-    WITH RECURSIVE {CLUSTERS},
+MEMBERS = f"""
+    {CLUSTERS},
     m AS (SELECT records.*, cluster_id, coalesce(confidence, 1.0) AS confidence
           FROM records JOIN numbered USING (record_id) LEFT JOIN conf USING (record_id, cluster_id)),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id
-               ORDER BY confidence DESC, record_id) AS rn FROM m) WHERE rn = 1),
+               ORDER BY confidence DESC, record_id) AS rn FROM m) WHERE rn = 1)
+"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE {MEMBERS},
+    dois AS (SELECT * FROM (SELECT cluster_id, doi, row_number() OVER (PARTITION BY cluster_id
+               ORDER BY length(doi) DESC, record_id) AS rn FROM m) WHERE rn = 1),
+    urls AS (SELECT * FROM (SELECT cluster_id, url, row_number() OVER (PARTITION BY cluster_id
+               ORDER BY CASE WHEN url = 'N/A' THEN 0 WHEN contains(url, 'doi.org') THEN 1 ELSE 2 END DESC,
+                 record_id) AS rn FROM m) WHERE rn = 1)
+    SELECT CAST(cluster_id AS BIGINT) AS cluster_id,
+      (SELECT count(*) FROM m WHERE m.cluster_id = best.cluster_id) AS members, title, authors, source,
+      CASE WHEN trim(coalesce(abstract, '')) <> '' THEN abstract ELSE '' END AS abstract,
+      dois.doi, urls.url, year, CAST(NULL AS VARCHAR) AS include
+    FROM best JOIN dois USING (cluster_id) JOIN urls USING (cluster_id)
+    """
+)
+def golden_record(spark, folder):
+    return rs.golden_records(_resolved(spark, folder))
+
+
+@query(
+    f"""
+    WITH RECURSIVE {MEMBERS},
     words_ AS (SELECT cluster_id, record_id, generate_subscripts(ks, 1) AS spot, unnest(ks) AS k FROM (
                SELECT cluster_id, record_id, list_transform(string_split(keywords, ';'),
                  lambda x: lower(trim(x))) AS ks FROM m)),
-    firsts AS (SELECT cluster_id, k, min(record_id * 1000 + spot) AS place FROM words_ GROUP BY ALL),
-    kw AS (SELECT cluster_id, string_agg(k, '; ' ORDER BY place) AS keywords FROM firsts GROUP BY 1),
-    abs_ AS (SELECT cluster_id, string_agg(abstract, chr(10) ORDER BY place) AS joined FROM (
-               SELECT cluster_id, abstract, min(record_id) AS place FROM m
-               WHERE trim(abstract) <> '' GROUP BY ALL) GROUP BY 1)
-    SELECT CAST(cluster_id AS BIGINT) AS cluster_id, 0 AS part,
-      (SELECT string_agg('(' || filename || ',' || record_id || ')', '; ' ORDER BY record_id)
-       FROM m WHERE m.cluster_id = best.cluster_id) AS source_database_indices,
-      title, authors, kw.keywords, source,
-      CASE WHEN trim(coalesce(abstract, '')) <> '' THEN abstract ELSE coalesce(joined, '') END AS abstract,
-      (SELECT doi FROM m WHERE m.cluster_id = best.cluster_id
-       ORDER BY length(doi) DESC, record_id LIMIT 1) AS doi,
-      (SELECT url FROM m WHERE m.cluster_id = best.cluster_id
-       ORDER BY CASE WHEN url = 'N/A' THEN 0 WHEN contains(url, 'doi.org') THEN 1 ELSE 2 END DESC,
-                record_id LIMIT 1) AS url,
-      year, CAST(NULL AS VARCHAR) AS include
-    FROM best JOIN kw USING (cluster_id) LEFT JOIN abs_ USING (cluster_id)
+    items AS (
+      SELECT cluster_id, 'provenance' AS kind, record_id * 1000 AS place,
+        '(' || filename || ',' || record_id || ')' AS item FROM m
+      UNION ALL SELECT cluster_id, 'keywords', min(record_id * 1000 + spot), k FROM words_ GROUP BY cluster_id, k
+      UNION ALL SELECT m.cluster_id, 'abstract', min(m.record_id * 1000), m.abstract
+        FROM m JOIN best USING (cluster_id)
+        WHERE trim(m.abstract) <> '' AND trim(coalesce(best.abstract, '')) = ''
+        GROUP BY m.cluster_id, m.abstract)
+    SELECT CAST(cluster_id AS BIGINT) AS cluster_id, kind,
+      row_number() OVER (PARTITION BY cluster_id, kind ORDER BY place) - 1 AS ord, item FROM items
     """
 )
-def golden_record(spark, folder):
-    return rs.golden_records(_resolved(spark, folder))
+def golden_lists(spark, folder):
+    return rs.golden_lists(_resolved(spark, folder))

@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 
 # Rows that share a slice of 2**SLICE_BITS consecutive integer positions.
 SLICE_BITS = 16
-# Most items that are concatenated into one text value.
-PART_ROWS = 10_000
 # So many keys, those with most rows, are joined by broadcast; any other key
 # then has less than one thousandth of the rows.
 HEAVY_KEYS = 1_000
 # Rows of heavy keys go through a shuffle under so many salts.
 SALTS = 4_096
-# Most rows a configuration table (criteria, labels, raters) may have.
+# Most rows a table of criteria may have; it is written by hand.
 CONFIG_ROWS = 10_000
 
 
@@ -204,54 +202,71 @@ def range_index(df: DataFrame, order: Sequence[str], name: str = "row_index") ->
     )
 
 
-def list_parts(
-    df: DataFrame,
+def ordered_items(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ord"
+) -> DataFrame:
+    """Number the rows of each key from 0 in the order of other columns.
+
+    Rows are ranged over all tasks by key and order together, which identify a
+    row, so one key may hold any share of them.
+    """
+    placed = range_index(df, [*keys, *order], "_place")
+    firsts = placed.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    return (
+        lookup(placed, firsts, keys, "_n", "_place", how="inner")
+        .withColumn(name, F.col("_place") - F.col("_first"))
+        .drop("_place", "_first")
+    )
+
+
+def joined_items(
+    items: DataFrame,
     keys: Sequence[str],
-    position: str,
-    value: str,
     separator: str,
     name: str,
-    part_rows: int = PART_ROWS,
+    value: str = "item",
+    order: str = "ord",
 ) -> DataFrame:
-    """Concatenate ``value`` in the order of ``position`` inside each key.
+    """One text per key: its items in order, joined.
 
-    Returns ``(keys…, part, name)``. A key with up to ``part_rows`` items has
-    one row, part 0. A larger one continues in parts 1, 2, …, each of bounded
-    size; joining its parts in order with the separator gives the whole list.
-    ``position`` is an integer, unique inside the key.
+    For callers who know that the lists of their keys fit one value. The table
+    of items is the form without that bound, and what the operators return.
     """
-    sliced = df.select(
-        *keys,
-        F.expr(f"`{position}` div {int(part_rows)}").alias("_slice"),
-        F.col(position).alias("_position"),
-        F.col(value).alias("_value"),
-    )
-    # Written once: the part numbers and the parts themselves both read it.
-    pieces = cut_lineage(
-        sliced.groupBy(*keys, "_slice").agg(
-            F.count("*").alias("_n"),
-            F.array_sort(F.collect_list(F.struct("_position", "_value"))).alias("_items"),
-        )
-    )
-    before = _running_before("_n", list(keys), "_slice")
-    parts = pieces.select(
-        *keys, "_slice", F.floor(before / F.lit(part_rows)).cast("int").alias("part")
-    )
-    return (
-        pieces.join(parts, [*keys, "_slice"])
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_slice", "_items"))).alias("_pieces"))
+    ordered = F.array_sort(F.collect_list(F.struct(order, value)))
+    texts = F.transform(ordered, lambda i: i[value])
+    return items.groupBy(*keys).agg(F.array_join(texts, separator).alias(name))
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, before: str, last: str
+) -> DataFrame:
+    """Add the value of the row before, and whether no row follows, inside each key.
+
+    Rows meet inside slices of the position; one row per slice carries its last
+    value over to the next slice.
+    """
+    sliced = df.withColumn("_slice", slice_of(position))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(position)
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    ends = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.max_by(value, position).alias("_end"))
         .select(
             *keys,
-            "part",
-            F.array_join(
-                F.flatten(
-                    F.transform("_pieces", lambda p: F.transform(p["_items"], lambda i: i["_value"]))
-                ),
-                separator,
-            ).alias(name),
+            "_slice",
+            F.lag("_end").over(across).alias("_carried"),
+            F.lead("_slice").over(across).isNull().alias("_final"),
         )
     )
+    return (
+        sliced.withColumn("_opens", F.row_number().over(inside) == 1)
+        .withColumn("_previous", F.lag(value).over(inside))
+        .withColumn("_closes", F.lead(position).over(inside).isNull())
+        .join(ends, [*keys, "_slice"])
+        .withColumn(before, F.when(F.col("_opens"), F.col("_carried")).otherwise(F.col("_previous")))
+        .withColumn(last, F.col("_closes") & F.col("_final"))
+        .drop("_slice", "_opens", "_previous", "_closes", "_carried", "_final")
+    )
 
 
 def runs(df: DataFrame, keys: Sequence[str], position: str, value: str, name: str) -> DataFrame:

@@ -145,9 +145,9 @@ def cells(df):
 
 def test_fixed_matrix(spark):
     ratings = long(spark, {"r1": [1, 2, 0], "r2": [3, None, 0]})
-    got = cells(rt.fixed_matrix(ratings, ["r1", "r2"]))
+    got = cells(rt.fixed_matrix(ratings))
     assert got == {("s0", "rater_0"): 1, ("s0", "rater_1"): 3, ("s1", "rater_0"): 2, ("s1", "rater_1"): 2, ("s2", "rater_0"): 0, ("s2", "rater_1"): 0}
-    kept = cells(rt.fixed_matrix(long(spark, {"r1": [0], "r2": [4]}), ["r1", "r2"], zero_is_missing=False))
+    kept = cells(rt.fixed_matrix(long(spark, {"r1": [0], "r2": [4]}), zero_is_missing=False))
     assert kept == {("s0", "rater_0"): 0, ("s0", "rater_1"): 4}
 
 

@@ -29,7 +29,7 @@ def clustered(spark, rows, clusters, confidence):
 
 
 def test_golden_record_of_one_cluster(spark):
-    gold = rs.golden_records(clustered(spark, TWO, {0: 0, 1: 0}, {0: 0.8, 1: 1.0})).collect()
+    gold = rs.golden_table(clustered(spark, TWO, {0: 0, 1: 0}, {0: 0.8, 1: 1.0})).collect()
     assert len(gold) == 1
     g = gold[0]
     assert g["source_database_indices"] == "(A,0); (B,1)"
@@ -51,19 +51,29 @@ def test_golden_record_fallbacks(spark):
         row(3, abstract="two", url=None),
     ]
     df = clustered(spark, rows, dict.fromkeys(range(4), 0), {0: 1.0, 1: 0.5, 2: 0.5, 3: 0.5})
-    g = rs.golden_records(df).first()
+    g = rs.golden_table(df).first()
     assert g["abstract"] == "two\none" and g["doi"] == "10.12345"
     assert g["url"] == "https://google.com" and g["keywords"] == "k; z"
 
 
-def test_large_clusters_go_on_in_parts(spark):
-    rows = [row(i, keywords=f"k{i};k{i % 3}", abstract=None) for i in range(25)]
-    df = clustered(spark, rows, dict.fromkeys(range(25), 0), dict.fromkeys(range(25), 1.0))
-    parts = sorted(rs.golden_records(df, part_rows=4).collect(), key=lambda r: r["part"])
-    whole = rs.golden_records(df).first()
-    assert len(parts) > 1 and {p["title"] for p in parts} == {"T"}
-    for column in ("source_database_indices", "keywords"):
-        assert "; ".join(p[column] for p in parts if p[column]) == whole[column]
+def test_a_cluster_is_one_record_however_large(spark):
+    count = 10_001
+    df = spark.range(count).selectExpr(
+        "id AS record_id", "'T' AS title", "'A' AS authors", "'S' AS source", "concat('k', id % 7, ';K0') AS keywords",
+        "CAST(NULL AS STRING) AS abstract", "'d' AS doi", "'u' AS url", "2020 AS year", "'f' AS filename",
+        "0L AS cluster_id", "1.0D AS confidence",
+    )
+    assert [(g["members"], g["title"]) for g in rs.golden_records(df).collect()] == [(count, "T")]
+    items = rs.golden_lists(df).orderBy("kind", "ord").collect()
+    assert [r["item"] for r in items if r["kind"] == "keywords"] == [f"k{i}" for i in range(7)]
+    own = [r for r in items if r["kind"] == "provenance"]
+    assert [(r["ord"], r["item"]) for r in own] == [(i, f"(f,{i})") for i in range(count)]
+
+
+def test_items_of_lists_are_cut_by_the_callers_function(spark):
+    df = clustered(spark, TWO, {0: 0, 1: 0}, {0: 1.0, 1: 0.5})
+    items = rs.golden_lists(df, keyword_items=lambda v: F.array(F.upper(v)))
+    assert {r["item"] for r in items.collect() if r["kind"] == "keywords"} == {"K1;K2", "K2;K3"}
 
 
 @pytest.mark.parametrize("url, want", [("https://doi.org/10.1", 1), ("https://google.com", 2), ("N/A", 0), (None, 0), ("", 0)])

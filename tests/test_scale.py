@@ -28,19 +28,26 @@ def test_hash_and_range_index(spark):
     assert [r["row_index"] for r in sorted(rows, key=lambda r: r["name"])] == list(range(500))
 
 
-@pytest.mark.parametrize("part_rows", [1, 3, 7, 1000])
-def test_list_parts_are_the_whole_list_in_bounded_pieces(spark, part_rows):
-    rows = [("hot", i * 3, f"v{i}") for i in range(60)] + [("b", 5, "x"), ("b", 4000, "y")]
+def test_ordered_items_number_every_key(spark):
+    rows = [("hot", f"s{i:03}") for i in range(200)] + [("b", "y"), ("b", "x"), ("c", "z")]
+    df = spark.createDataFrame(rows, "k string, item string").repartition(5)
+    items = scale.ordered_items(df, ["k"], ["item"])
+    got = {(r["k"], r["item"]): r["ord"] for r in items.collect()}
+    own = {k: sorted(v for key, v in rows if key == k) for k in ("hot", "b", "c")}
+    assert got == {(k, v): i for k, values in own.items() for i, v in enumerate(values)}
+    joined = {r["k"]: r["text"] for r in scale.joined_items(items, ["k"], ",", "text").collect()}
+    assert joined == {k: ",".join(values) for k, values in own.items()}
+    assert scale.ordered_items(df.limit(0), ["k"], ["item"]).count() == 0
+
+
+def test_neighbours_across_slices(spark, small_slices):
+    rows = [(k, i, f"{k}{i}") for k in "ab" for i in range(0, 40, 2 if k == "a" else 1)]
     df = spark.createDataFrame(rows, "k string, at long, v string")
-    parts = scale.list_parts(df, ["k"], "at", "v", ",", "text", part_rows).collect()
-    for key in ("hot", "b"):
-        mine = sorted((r["part"], r["text"]) for r in parts if r["k"] == key)
-        whole = ",".join(v for k, _, v in rows if k == key)
-        assert [p for p, _ in mine] == list(range(len(mine)))
-        assert ",".join(t for _, t in mine) == whole
-        assert all(len(t.split(",")) < 2 * part_rows for _, t in mine)
-    if part_rows == 1000:
-        assert len(parts) == 2
+    got = {(r["k"], r["at"]): (r["b"], r["l"]) for r in scale.neighbours(df, ["k"], "at", "v", "b", "l").collect()}
+    for k in "ab":
+        own = [r for r in rows if r[0] == k]
+        for i, (_, at, _) in enumerate(own):
+            assert got[(k, at)] == (own[i - 1][2] if i else None, i == len(own) - 1)
 
 
 def test_runs_go_on_across_slices(spark, small_slices):

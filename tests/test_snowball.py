@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.operators import snowball as sb
 
@@ -20,7 +21,7 @@ def run(spark, table, seeds, excluded=(), direction="backward", depth=2, **kw):
     ids = lambda xs: sb.read_ids(spark.createDataFrame([(x,) for x in xs], "doi string"))
     edges = sb.citation_edges(table, direction)
     result = sb.snowball(table, edges, ids(seeds), ids(excluded), depth)
-    return sb.snowball_records(table, result, **kw)
+    return sb.snowball_table(table, result, **kw)
 
 
 def links(df):
@@ -57,7 +58,7 @@ def test_spellings_of_ids_are_one(spark):
 def test_no_links_keeps_the_columns(spark):
     df = run(spark, papers(spark, {"10/a": []}), ["10/a"])
     assert df.count() == 0
-    assert df.columns == ["cluster_id", *sb.DETAIL_COLUMNS, "part", "referencing_paper_ids", "include"]
+    assert df.columns == ["cluster_id", *sb.DETAIL_COLUMNS, "referencing_paper_ids", "include"]
 
 
 def test_name_clash_and_missing_column(spark):
@@ -92,9 +93,12 @@ def test_random_graph_equals_naive_walk(spark):
     assert links(df) == {d: ";".join(sorted(want.get(d, ()))) for d in found}
 
 
-def test_long_link_lists_go_on_in_parts(spark):
-    refs = {f"10/s{i:02}": ["10/hub"] for i in range(20)}
-    df = run(spark, papers(spark, refs), list(refs), depth=1, part_rows=3)
-    rows = sorted(df.collect(), key=lambda r: r["part"])
-    assert len(rows) > 1 and {r["cluster_id"] for r in rows} == {0}
-    assert ";".join(r["referencing_paper_ids"] for r in rows) == ";".join(sorted(refs))
+def test_a_paper_has_one_row_however_many_link_to_it(spark):
+    count = 10_001
+    edges = spark.range(count).select(F.concat(F.lit("10/s"), "id").alias("src"), F.lit("10/hub").alias("dst"))
+    ids = edges.select(F.col("src").alias("doi")).union(spark.createDataFrame([("10/hub",)], "doi string"))
+    result = sb.snowball(ids, edges, edges.select(F.col("src").alias("doi")))
+    items = sb.linked_ids(result)
+    assert items.agg(F.count("*"), F.min("ord"), F.max("ord"), F.count_distinct("item")).first()[:] == (count, 0, count - 1, count)
+    plain = ids.selectExpr("doi", "'t' AS title", "'a' AS authors", "'s' AS source", "2000 AS year")
+    assert [r["linking_papers"] for r in sb.snowball_records(plain, result).collect()] == [count]
