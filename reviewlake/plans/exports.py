@@ -146,7 +146,7 @@ def web_of_science_records(spark, folder):
 @query(
     """
     SELECT 'The {' || p_name || '} case' AS title, '' AS abstract, 'Doe, J; ' || p_brand AS authors,
-           p_type || '; ' || p_name AS keywords, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS source,
+           p_type || '; ' || p_name AS keywords, CASE WHEN p_size % 2 = 0 THEN p_brand || ' Letters' ELSE '' END AS source,
            CAST(1990 + p_size AS INTEGER) AS year,
            CASE WHEN p_size % 3 = 0 THEN 'N/A' ELSE '10.1/' || p_partkey END AS doi,
            CASE WHEN p_size % 3 = 0 THEN 'N/A' WHEN p_size % 3 = 1 THEN 'https://doi.org/10.1/' || p_partkey
@@ -159,14 +159,20 @@ def bibtex_records(spark, folder):
     size, key = F.col("p_size"), F.col("p_partkey")
     empty = F.lit("")
     entry = F.concat(
-        F.lit("@article{k"),
+        # Every row defines a macro, every third uses that of the row; some use parentheses.
+        F.lit("@string{pub"),
+        key,
+        F.lit(' = "'),
+        "p_brand",
+        F.lit('"}\n'),
+        F.when(size % 5 == 0, "@article(k").otherwise("@article{k"),
         key,
         F.lit(",\n  title = {The {"),
         "p_name",
         F.lit('} case},\n  author = "Doe, J and '),
         "p_brand",
         F.lit('",\n'),
-        F.when(size % 2 == 0, F.concat(F.lit("  journal = {"), "p_brand", F.lit("},\n"))).otherwise(empty),
+        F.when(size % 2 == 0, F.concat(F.lit("  journal = PUB"), key, F.lit(' # { } # "Letters",\n'))).otherwise(empty),
         F.when(size % 3 != 0, F.concat(F.lit("  doi={10.1/"), key, F.lit("},\n"))).otherwise(empty),
         F.when(size % 3 == 2, F.concat(F.lit("  url = {https://example.org/"), key, F.lit("},\n"))).otherwise(empty),
         F.lit("  keywords = {"),
@@ -175,7 +181,7 @@ def bibtex_records(spark, folder):
         "p_name",
         F.lit("},\n  year = "),
         size + 1990,
-        F.lit("\n}\n"),
+        F.when(size % 5 == 0, "\n)\n").otherwise("\n}\n"),
     )
     comment = F.lit("@comment{nothing}\n")
     texts = table(spark, folder, "part").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.text import doi_url
+from reviewlake.scale import cut_lineage, lookup
 
 # The columns of a normalised record.
 RECORD_COLUMNS = (
@@ -50,6 +53,8 @@ HEADERS_BY_STEM = {
     "wos": WEB_OF_SCIENCE_HEADERS,
 }
 MISSING = "N/A"
+# Macros every BibTeX file may use: jan, feb, …
+MONTHS = {name[:3].lower(): name for name in calendar.month_name if name}
 
 
 def file_stem(path: Column) -> Column:
@@ -63,8 +68,11 @@ def normalise(df: DataFrame, mappings: Mapping[str, str] | None = None) -> DataF
     """
     renamed = df.withColumnsRenamed(dict(mappings)) if mappings else df
     # A year may be written 2020 or 2020.0; null is not allowed.
-    year = F.col("year").cast("string").cast("double").cast("int")
-    whole = F.coalesce(year, F.raise_error(F.lit("record without year")).cast("int"))
+    year = F.col("year").cast("string").cast("double")
+    whole = F.coalesce(
+        F.when(year == F.floor(year), year.cast("int")),
+        F.raise_error(F.lit("record without a whole year")).cast("int"),
+    )
     columns = {
         "year": whole,
         "doi": F.coalesce(F.col("doi").cast("string"), F.lit(MISSING)),
@@ -97,71 +105,144 @@ def read_csv(
     return normalise(raw.withColumn("filename", file_stem(F.col("_metadata.file_path"))), mappings)
 
 
-def _entry_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fields of BibTeX entries whose values may nest braces."""
+_HEAD = re.compile(r"\s*@\s*(\w+)\s*[{(]")
+_KEY = re.compile(r"[^,={}()\"]*,")
+_NAME = re.compile(r"[\s,]*([^\s=,{}()\"#]+)\s*=\s*")
+_BARE = re.compile(r"[^\s,#{}()\"]+")
+_JOIN = re.compile(r"\s*#\s*")
+_PARTS = "array<struct<name:string,macro:boolean,text:string>>"
+
+
+def _entry_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Kind of each BibTeX entry and the parts of its values."""
     for batch in batches:
+        cut = [_scan(entry) for entry in batch["entry"]]
         yield pd.DataFrame(
-            {"filename": batch["filename"], "fields": [_scan(e) for e in batch["entry"]]}
+            {
+                "filename": batch["filename"],
+                "kind": [kind for kind, _ in cut],
+                "parts": [parts for _, parts in cut],
+            }
         )
 
 
-def _scan(entry: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    at = entry.find("{")
-    at = entry.find(",", at) + 1
-    while 0 < at < len(entry):
-        equals = entry.find("=", at)
-        if equals < 0:
-            break
-        name = entry[at:equals].strip(" ,\t\r\n}").lower()
-        at = equals + 1
-        while at < len(entry) and entry[at].isspace():
-            at += 1
-        depth, quoted, start = 0, at < len(entry) and entry[at] == '"', at
-        if quoted:
-            at += 1
+def _delimited(text: str, at: int) -> tuple[str, int]:
+    """The braced or quoted part that opens at a place, and the place behind it."""
+    quoted, depth = text[at] == '"', 0
+    for mark in re.finditer(r'[{}"]', text[at + 1 :]):
+        end = at + 1 + mark.start()
+        if depth == 0 and mark.group() == ('"' if quoted else "}"):
+            return text[at + 1 : end], end + 1
+        depth += {"{": 1, "}": -1}.get(mark.group(), 0)
+    return text[at + 1 :], len(text)
+
+
+def _scan(entry: str) -> tuple[str, list[dict]]:
+    """Kind and value parts ``(name, macro, text)``; the last value of a name stays."""
+    head = _HEAD.match(entry)
+    kind, at = head.group(1).lower(), head.end()
+    key = None if kind == "string" else _KEY.match(entry, at)
+    at = key.end() if key else at
+    fields: dict[str, list[dict]] = {}
+    while True:
+        found = _NAME.match(entry, at)
+        if not found:
+            # Text that is no field ends at the next comma.
+            at = entry.find(",", at) + 1
+            if at == 0:
+                break
+            continue
+        name, at = found.group(1).lower(), found.end()
+        own = fields[name] = []
         while at < len(entry):
-            ch = entry[at]
-            if ch == "{":
-                depth += 1
-            elif ch == "}":
-                if depth == 0:
-                    break
-                depth -= 1
-            elif depth == 0 and (ch == '"' if quoted else ch == ","):
+            bare = _BARE.match(entry, at)
+            if bare:
+                text, at = bare.group(), bare.end()
+            elif entry[at] in '{"':
+                text, at = _delimited(entry, at)
+            else:
                 break
-            at += 1
-        value = entry[start:at].strip()
-        if quoted:
-            value, at = value[1:], at + 1
-        elif value.startswith("{") and value.endswith("}"):
-            value = value[1:-1]
-        found[name] = " ".join(value.split())
-        at = entry.find(",", at) + 1
-    return found
+            own.append({"name": name, "macro": bool(bare) and not text.isdigit(), "text": text})
+            more = _JOIN.match(entry, at)
+            if not more:
+                break
+            at = more.end()
+    return kind, [part for own in fields.values() for part in own]
+
+
+def _text_of(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: p["text"]), "")
+
+
+def _without_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
+    """Entries ``(id, filename, parts)`` with the values of their macros filled in.
+
+    Only the uses of macros move; unknown names stand for themselves.
+    """
+    uses = (
+        entries.select("id", "filename", F.explode(F.filter("parts", lambda p: p["macro"])).alias("p"))
+        .select("id", "filename", F.lower("p.text").alias("macro"))
+        .distinct()
+    )
+    counts = uses.groupBy("filename", "macro").agg(F.count("*").alias("n"))
+    weighed = macros.join(counts, ["filename", "macro"])
+    known = lookup(uses, weighed, ["filename", "macro"], "n", "id", how="inner")
+    known = known.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("macro", "value"))).alias("_known")
+    )
+    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+
+    def filled(p: Column) -> Column:
+        name = F.lower(p["text"])
+        value = F.coalesce(F.col("_known")[name], months[name], p["text"])
+        return p.withField("text", F.when(p["macro"], value).otherwise(p["text"]))
+
+    return entries.join(known, "id", "left").select(
+        "id", "filename", F.transform("parts", filled).alias("parts")
+    )
 
 
 def parse_bibtex(texts: DataFrame) -> DataFrame:
     """Records of BibTeX text ``(filename, value)``, one row per file or chunk.
 
-    Entries are cut out and spread by Spark; only the brace scan of one entry
-    runs in Python.
+    Entries are cut out and spread by Spark; only the scan of one entry runs in
+    Python. Macros hold for their file, whatever chunk defines them; a macro may
+    be built from macros that are plain text. Of several definitions the first
+    in text order holds. Parts joined by ``#`` are one value.
     """
     entries = texts.select(
         "filename", F.explode(F.split("value", r"(?m)^\s*(?=@)")).alias("entry")
-    ).where(F.col("entry").rlike(r"(?is)^@(?!comment|preamble|string)\w+\s*\{"))
-    scanned = entries.mapInPandas(_entry_fields, "filename string, fields map<string,string>")
-    f = F.col("fields")
-    doi = f["doi"]
-    return scanned.select(
-        f["title"].alias("title"),
-        F.coalesce(f["abstract"], F.lit("")).alias("abstract"),
-        F.replace(F.coalesce(f["author"], F.lit("")), F.lit(" and"), F.lit(";")).alias("authors"),
-        F.replace(F.coalesce(f["keywords"], F.lit("")), F.lit(", "), F.lit("; ")).alias("keywords"),
-        F.coalesce(f["booktitle"], f["journal"], F.lit("")).alias("source"),
-        f["year"].cast("int").alias("year"),
+    ).where(F.col("entry").rlike(r"(?is)^\s*@\s*(?!comment|preamble)\w+\s*[{(]"))
+    scanned = entries.mapInPandas(_entry_parts, f"filename string, kind string, parts {_PARTS}")
+    # Written once, since the ids have to stay the same for all readers.
+    placed = cut_lineage(scanned.withColumn("id", F.monotonically_increasing_id()))
+    strings = placed.where((F.col("kind") == "string") & (F.size("parts") > 0))
+    nested = F.exists("parts", lambda p: p["macro"])
+
+    def values(rows: DataFrame) -> DataFrame:
+        named = rows.select("filename", F.col("parts")[0]["name"].alias("macro"), "parts")
+        return named.groupBy("filename", "macro").agg(F.min(_text_of(F.col("parts"))).alias("value"))
+
+    plain = values(strings.where(~nested))
+    built = values(_without_macros(strings.where(nested), plain))
+    macros = plain.unionByName(built).groupBy("filename", "macro").agg(F.min("value").alias("value"))
+    records = _without_macros(placed.where(F.col("kind") != "string"), macros)
+
+    def field(name: str) -> Column:
+        own = F.filter("parts", lambda p: p["name"] == name)
+        text = F.trim(F.regexp_replace(_text_of(own), r"\s+", " "))
+        return F.when(F.size(own) > 0, text)
+
+    doi = field("doi")
+    return records.select(
+        field("title").alias("title"),
+        F.coalesce(field("abstract"), F.lit("")).alias("abstract"),
+        F.replace(F.coalesce(field("author"), F.lit("")), F.lit(" and"), F.lit(";")).alias("authors"),
+        F.replace(F.coalesce(field("keywords"), F.lit("")), F.lit(", "), F.lit("; ")).alias("keywords"),
+        F.coalesce(field("booktitle"), field("journal"), F.lit("")).alias("source"),
+        field("year").cast("int").alias("year"),
         F.coalesce(doi, F.lit(MISSING)).alias("doi"),
-        F.coalesce(f["url"], doi_url(doi), F.lit(MISSING)).alias("url"),
+        F.coalesce(field("url"), doi_url(doi), F.lit(MISSING)).alias("url"),
         "filename",
     )
 

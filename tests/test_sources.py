@@ -129,3 +129,32 @@ def test_criteria_files(spark, tmp_path):
         cr.read_selection(spark, str(path))
     path.write_text(json.dumps({"topic": "t", "criteria": [{"label": "q", "category": "c", "question": "?", "description": "d", "scoring": "s"}]}))
     assert cr.read_quality(spark, str(path)).first()["label"] == "q"
+
+
+def test_bibtex_macros_parts_and_parentheses(spark):
+    chunks = [
+        ("f", "@string{rv = {River Review}}\n@string(lg = rv # { Letters})\n"),
+        ("f", "@article(a, title = {A} # { B}, journal = RV, year = 2001, month = mar)\n"),
+        ("f", '@article{b, title = "Say {"}x{"} (y), z", journal = lg, year = 2002, keywords = sep # " " # unknown}\n'),
+        ("g", "@book{c, journal = rv, title={never closed, year = {2003}"),
+        ("g", "@article{d, stray words, title={T}, year={2004}, title={U}}\n@article{e,}\n@misc{}\n"),
+        (None, None),
+        ("g", ""),
+    ]
+    df = bib.parse_bibtex(spark.createDataFrame(chunks, "filename string, value string").repartition(3))
+    rows = {(r["filename"], r["title"]): r for r in df.collect()}
+    assert (rows[("f", "A B")]["source"], rows[("f", "A B")]["year"]) == ("River Review", 2001)
+    quoted = rows[("f", 'Say {"}x{"} (y), z')]
+    assert (quoted["source"], quoted["keywords"]) == ("River Review Letters", "September unknown")
+    assert rows[("g", "U")]["year"] == 2004
+    # A macro of another file is unknown; an open brace takes in the rest.
+    assert rows[("g", "never closed, year = {2003}")]["source"] == "rv"
+    assert df.count() == 6
+
+
+def test_years_are_whole(spark):
+    df = spark.createDataFrame([("2020.7",)], "year string").selectExpr(
+        "year", *[f"'x' AS {c}" for c in bib.RECORD_COLUMNS if c != "year"]
+    )
+    with pytest.raises(Exception, match="whole year"):
+        bib.normalise(df).collect()
