@@ -8,6 +8,7 @@ from reviewlake.plans import (  # noqa: F401
     pages,
     resolution,
     search,
+    stored,
     values,
     workload,
 )
