@@ -69,10 +69,8 @@ def normalise(df: DataFrame, mappings: Mapping[str, str] | None = None) -> DataF
     renamed = df.withColumnsRenamed(dict(mappings)) if mappings else df
     # A year may be written 2020 or 2020.0; null is not allowed.
     year = F.col("year").cast("string").cast("double")
-    whole = F.coalesce(
-        F.when(year == F.floor(year), year.cast("int")),
-        F.raise_error(F.lit("record without a whole year")).cast("int"),
-    )
+    wrong = F.when(year.isNull(), "record without year").otherwise("record without a whole year")
+    whole = F.coalesce(F.when(year == F.floor(year), year.cast("int")), F.raise_error(wrong).cast("int"))
     columns = {
         "year": whole,
         "doi": F.coalesce(F.col("doi").cast("string"), F.lit(MISSING)),
