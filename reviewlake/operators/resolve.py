@@ -4,7 +4,9 @@
    field) are one *variant*. They are linked to the lowest record id only, so a
    group of copies costs one link per copy, however large it is.
 2. Variants are matched by an exact set-similarity join on the words of a gate
-   field, then scored over all compared fields.
+   field, then scored over all compared fields. Without a gate of the caller's
+   own, the gate is the lowest one that the score allows, and records without
+   gate words are compared with all others.
 3. Clusters are the connected components of the matches above the threshold.
 """
 
@@ -283,24 +285,67 @@ def score_pairs(
     return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
+def score_gate(fields: Sequence[Field], gate: str, threshold: float) -> float:
+    """The lowest Jaccard of the gate words with which a score can reach ``threshold``.
+
+    It is what is missing when all other fields agree. Not above 0 when they are
+    enough alone, or when the gate field is not scored by its words.
+    """
+    own = sum(f.weight for f in fields if f.name == gate and f.comparator == "words")
+    if own <= 0:
+        return 0.0
+    others = sum(f.weight for f in fields if f.name != gate)
+    return threshold - (1 - threshold) * others / own - 1e-9
+
+
+def _ungated_pairs(
+    table: DataFrame, fields: Sequence[Field], gate: str, threshold: float
+) -> DataFrame | None:
+    """The matching pairs that :func:`score_gate` says nothing about.
+
+    These are the pairs with a record that has no gate words, or all pairs when
+    there is no gate. They are compared one by one. None without such records.
+    """
+    free = F.size("words") == 0 if score_gate(fields, gate, threshold) > 0 else F.lit(True)
+    left = table.where(free).select(F.col("id").alias("a"), F.col("v").alias("l"))
+    if left.isEmpty():
+        return None
+    right = table.select(F.col("id").alias("b"), F.col("v").alias("r"), free.alias("free"))
+    pairs = left.crossJoin(right).where(
+        (F.col("a") < F.col("b")) | (~F.col("free") & (F.col("a") > F.col("b")))
+    )
+    scored = with_score(pairs, fields).where(F.col("score") >= threshold)
+    return scored.select(
+        F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "score"
+    )
+
+
 def similar_pairs(
     table: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
     gate: str = "title",
-    least: float = 0.5,
+    least: float | None = 0.5,
     threshold: float = 0.5,
 ) -> DataFrame:
     """``(left_id, right_id, score)`` of the pairs that match.
 
     A pair matches when the gate words reach Jaccard ``least`` and the score
-    over all fields reaches ``threshold``. Give it :func:`variants`: copies are
-    linked by their identity, not compared.
+    over all fields reaches ``threshold``; with None for ``least`` the score
+    alone decides. Give it :func:`variants`: copies are linked by their
+    identity, not compared.
     """
+    if least is None:
+        bound = score_gate(fields, gate, threshold)
+        others = _ungated_pairs(table, fields, gate, threshold)
+        if bound <= 0 and others is not None:
+            return others
+        found = similar_pairs(table, fields, gate, bound, threshold)
+        return found if others is None else found.unionByName(others)
     return score_pairs(candidate_pairs(table, least), table, fields, gate, least, threshold)
 
 
 def match_links(
-    table: DataFrame, fields: Sequence[Field], gate: str, least: float, threshold: float
+    table: DataFrame, fields: Sequence[Field], gate: str, least: float | None, threshold: float
 ) -> DataFrame:
     """Links ``(src, dst)`` that give the same clusters as all matching pairs.
 
@@ -308,8 +353,19 @@ def match_links(
     them only. Whatever that joins needs no further comparison, so in a family
     of near copies the number of comparisons grows with its size, not with its
     square. Then records meet on all their words, except where both belong to
-    the cluster around a hot word.
+    the cluster around a hot word. None for ``least``: see :func:`similar_pairs`.
     """
+    if least is None:
+        bound = score_gate(fields, gate, threshold)
+        others = _ungated_pairs(table, fields, gate, threshold)
+        if others is not None:
+            others = cut_lineage(
+                others.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
+            )
+            if bound <= 0:
+                return others
+        found = match_links(table, fields, gate, bound, threshold)
+        return found if others is None else found.unionByName(others)
     rare = cut_lineage(_rare_words(table, least))
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -457,11 +513,14 @@ def resolve(
     records: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
     gate: str = "title",
-    least: float = 0.5,
+    least: float | None = 0.5,
     threshold: float = 0.5,
     id_col: str = "record_id",
 ) -> DataFrame:
-    """Cluster records: adds ``cluster_id`` and ``confidence`` to every row."""
+    """Cluster records: adds ``cluster_id`` and ``confidence`` to every row.
+
+    With None for ``least`` no pair that reaches ``threshold`` is left out.
+    """
     table = comparable(records, fields, gate, id_col)
     same = identity_groups(table, fields)
     single = cut_lineage(variants(table, same))

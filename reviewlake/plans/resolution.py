@@ -13,6 +13,7 @@ FIELDS = (
     rs.Field("source", "equal", 0.1),
     rs.Field("authors", "equal", 0.1),
 )
+# A gate of the SQL alone; the queries compare every pair that the score can pass.
 LEAST = 0.6
 THRESHOLD = 0.65
 
@@ -113,7 +114,7 @@ def dedup_identity(spark, folder):
 def _pairs(spark, folder):
     table_ = rs.comparable(records_of(spark, folder), FIELDS, "title")
     single = rs.variants(table_, rs.identity_groups(table_, FIELDS))
-    return rs.similar_pairs(single, FIELDS, "title", LEAST, THRESHOLD)
+    return rs.similar_pairs(single, FIELDS, "title", None, THRESHOLD)
 
 
 @query(f"WITH {PAIRS} SELECT left_id, right_id, round(score, 6) AS score FROM pairs")
@@ -133,7 +134,7 @@ def label_candidates(spark, folder):
 
 
 def _resolved(spark, folder):
-    return rs.resolve(records_of(spark, folder), FIELDS, "title", LEAST, THRESHOLD)
+    return rs.resolve(records_of(spark, folder), FIELDS, "title", None, THRESHOLD)
 
 
 @query(

@@ -154,6 +154,60 @@ def test_resolution_equals_brute_force(spark, monkeypatch, hot_word):
     assert all(r["confidence"] == 1.0 for r in rows if alone.count(r["cluster_id"]) == 1)
 
 
+THREE = (rs.Field("title", "words", 0.8), rs.Field("source", "equal", 0.1), rs.Field("authors", "equal", 0.1))
+
+
+def brute_score(a, b, fields):
+    """Weighted mean over what both have, from plain rows."""
+    total = weight = 0.0
+    for f in fields:
+        x, y = a[f.name], b[f.name]
+        if not x or not y:
+            continue
+        if f.comparator == "words":
+            s = jaccard(x, y)
+        elif f.comparator == "equal":
+            s = float(x == y)
+        else:
+            row = list(range(len(y) + 1))
+            for i, c in enumerate(x, 1):
+                before, row[0] = row[0], i
+                for j, d in enumerate(y, 1):
+                    before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+            s = 1 - row[-1] / max(len(x), len(y))
+        total, weight = total + f.weight * s, weight + f.weight
+    return total / weight if weight else 0.0
+
+
+@pytest.mark.parametrize("hot_word", [200, 3])
+@pytest.mark.parametrize("fields", [THREE, (rs.Field("title", "text", 0.4), rs.Field("authors", "text", 0.6))])
+def test_without_a_gate_the_score_alone_decides(spark, monkeypatch, fields, hot_word):
+    monkeypatch.setattr(rs, "HOT_WORD", hot_word)
+    rng = random.Random(4)
+    names = ["title", "source", "authors"]
+    # 9 of 16 words are Jaccard 0.5625, which is just enough with all else equal.
+    rows = [(" ".join(f"w{i}" for i in range(9)), "s", "a"), (" ".join(f"w{i}" for i in range(16)), "s", "a")]
+    rows += [(t, rng.choice("sr"), rng.choice(["a", "b", None])) for t in near_copies(7, 4, 6)]
+    rows += [(None, "s", "a"), ("?!" if fields is THREE else None, "r", "b"), (None, None, "a"), (None, None, None)]
+    rows = [dict(zip(names, r), record_id=i) for i, r in enumerate(rows)]
+    plain = [r | {"title": None} if r["title"] == "?!" else r for r in rows]
+    want = {}
+    for a, b in itertools.combinations(plain, 2):
+        score = brute_score(a, b, fields)
+        if score >= 0.65 - 1e-12:
+            want[a["record_id"], b["record_id"]] = score
+    df = spark.createDataFrame(rows, "record_id long, title string, source string, authors string")
+    table = rs.comparable(df, fields, "title")
+    found = rs.similar_pairs(table, fields, "title", None, 0.65).collect()
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in found}
+    assert len(got) == len(found) and got == pytest.approx(want)
+    if fields is THREE:
+        assert (0, 1) in got and any(jaccard(rows[i]["title"] or "", rows[j]["title"] or "") == 0 for i, j in got)
+    joined = rs.connected_components(rs.match_links(table, fields, "title", None, 0.65))
+    components = {r["id"]: r["component"] for r in joined.collect()}
+    assert {i: components.get(i, i) for i in range(len(rows))} == brute_components(len(rows), list(want))
+
+
 def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
     monkeypatch.setattr(rs, "HOT_WORD", 20)
     base = " ".join(f"w{i}" for i in range(30))
