@@ -87,8 +87,9 @@ RULES = tuple(
     for label, keyword, name in NAMES
     for priority, wording, before, after, confidence in WORDINGS
 )
-# A text with none of these in it cannot match any rule.
-HINTS = ("licen", "gpl", "bsd", "mpl", "cddl", "wtfpl", "cc", "eupl", "ofl", "apache", "creative", "public domain", "rights reserved", "attribution")
+# A text with none of these in it cannot match any rule. They are looked for in
+# the raw text, so each lies within one word.
+HINTS = ("licen", "gpl", "bsd", "mpl", "cddl", "wtfpl", "cc", "eupl", "ofl", "apache", "creative", "domain", "reserved", "attribution")
 _TOP = max(r.priority for r in RULES)
 
 

@@ -114,5 +114,21 @@ def test_scan_next_to_brute_force(spark):
     assert li.scan(docs.where("false")).count() == 0
 
 
+def assert_scans(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in li.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        words, starts, labels = base_scan(text)
+        more, score = rule_scan(words)
+        assert more, text
+        want = (",".join(sorted(labels | more)), max(score, 0.9 if starts else 0.0))
+        assert (rows[i]["labels"], rows[i]["score"]) == want, text
+
+
+def test_notices_may_be_wrapped_or_hyphenated(spark):
+    notices = ["in the public domain now", "All rights reserved", "released under the terms of the MIT license", "CC BY 4.0", "BSD 3 clause"]
+    assert_scans(spark, [gap.join(n.split()) for n in notices for gap in (" ", "\n", "  ", "-", "\r\n * ")])
+
+
 def test_there_are_hundreds_of_distinct_rules():
     assert len({(r.label, r.pattern) for r in li.RULES}) == len(li.RULES) > 200
