@@ -30,7 +30,8 @@ class Rule:
 
 
 _V = r"(?: version)?(?: v)? ?"
-# Label, keyword, pattern of the name.
+_CC = "(?:cc|creative commons)"
+# Label, keyword, pattern of the name. All that a pattern matches holds its keyword.
 NAMES = (
     ("mit", "mit", r"(?:the )?mit(?: x11)? licen[cs]e"),
     ("mit-0", "mit", r"mit no attribution(?: licen[cs]e)?"),
@@ -58,12 +59,18 @@ NAMES = (
     ("artistic-2.0", "artistic", rf"artistic licen[cs]e(?:{_V}2(?: 0)?)?"),
     ("bsl-1.0", "boost", rf"boost software licen[cs]e(?:{_V}1(?: 0)?)?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by", "by", r"(?:cc|creative commons) (?:by|attribution)(?: \d 0)?"),
-    ("cc-by-sa", "sa", r"(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: \d 0)?"),
-    ("cc-by-nc", "nc", r"(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: \d 0)?"),
-    ("cc-by-nd", "nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)(?: \d 0)?"),
-    ("cc-by-nc-sa", "nc", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: \d 0)?"),
-    ("cc-by-nc-nd", "nc", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)(?: \d 0)?"),
+    ("cc-by", "by", rf"{_CC} by(?: \d 0)?"),
+    ("cc-by", "attribution", rf"{_CC} attribution(?: \d 0)?"),
+    ("cc-by-sa", "by sa", rf"{_CC} by sa(?: \d 0)?"),
+    ("cc-by-sa", "attribution share", rf"{_CC} attribution share ?alike(?: \d 0)?"),
+    ("cc-by-nc", "by nc", rf"{_CC} by nc(?: \d 0)?"),
+    ("cc-by-nc", "attribution non", rf"{_CC} attribution non ?commercial(?: \d 0)?"),
+    ("cc-by-nd", "by nd", rf"{_CC} by nd(?: \d 0)?"),
+    ("cc-by-nd", "attribution no", rf"{_CC} attribution no ?deriv(?:ative)?s(?: \d 0)?"),
+    ("cc-by-nc-sa", "by nc sa", rf"{_CC} by nc sa(?: \d 0)?"),
+    ("cc-by-nc-sa", "commercial share", rf"{_CC} attribution non ?commercial share ?alike(?: \d 0)?"),
+    ("cc-by-nc-nd", "by nc nd", rf"{_CC} by nc nd(?: \d 0)?"),
+    ("cc-by-nc-nd", "commercial no", rf"{_CC} attribution non ?commercial no ?deriv(?:ative)?s(?: \d 0)?"),
     ("eupl-1.2", "eu", rf"(?:eupl|european union public licen[cs]e)(?:{_V}1 2)?"),
     ("ofl-1.1", "o", rf"(?:sil open font licen[cs]e|ofl)(?:{_V}1 1)?"),
     ("psf-2.0", "p", rf"(?:psf|python software foundation) licen[cs]e(?:{_V}2)?"),
@@ -79,7 +86,8 @@ WORDINGS = (
     (4, "licen", r"(?:dual |re)?licen[cs]ed under (?:the |a |an )?", "", 0.95),
     (4, "under", r"(?:released|distributed|published|available|provided|covered) under (?:the |a |an )?", "", 0.93),
     (3, "subject to", r"subject to (?:the terms of )?(?:the )?", "", 0.9),
-    (2, "see", "", r" (?:see|as found in|which can be found)(?: the)?(?: file)?(?: licen[cs]e)?", 0.8),
+    (2, "see", "", r" see(?: the)?(?: file)?(?: licen[cs]e)?", 0.8),
+    (2, "found", "", r" (?:as found in|which can be found)(?: the)?(?: file)?(?: licen[cs]e)?", 0.8),
     (1, "", "", "", 0.6),
 )
 RULES = tuple(

@@ -130,5 +130,40 @@ def test_notices_may_be_wrapped_or_hyphenated(spark):
     assert_scans(spark, [gap.join(n.split()) for n in notices for gap in (" ", "\n", "  ", "-", "\r\n * ")])
 
 
+def strings_of(tree):
+    """All strings a parsed pattern can match, digits as 4."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            part = [chr(arg)]
+        elif kind == "IN":
+            part = [chr(a) if str(o) == "LITERAL" else "4" for o, a in arg]
+        elif kind == "BRANCH":
+            part = [s for branch in arg[1] for s in strings_of(branch)]
+        elif kind == "SUBPATTERN":
+            part = strings_of(arg[3])
+        else:
+            assert kind == "MAX_REPEAT" and arg[:2] == (0, 1), kind
+            part = ["", *strings_of(arg[2])]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_keywords_and_hints_lie_in_all_that_a_pattern_matches():
+    assert not any(" " in hint for hint in li.HINTS)
+    for rule in li.RULES:
+        for s in strings_of(re._parser.parse(rule.pattern)):
+            assert all(k in s for k in rule.keywords), (rule, s)
+            assert any(hint in s for hint in li.HINTS), (rule, s)
+
+
+def test_every_wording_of_a_license_is_found_alone(spark):
+    names = ["Attribution 4.0", "Attribution-ShareAlike 4.0", "Attribution-NoDerivatives", "Attribution-NonCommercial 4.0",
+             "Attribution Non Commercial No Derivs", "Attribution-NonCommercial-Share Alike 3.0", "BY-ND", "BY 4.0"]
+    texts = [f"{start} {name}" for name in names for start in ("Creative Commons", "Licensed under Creative Commons", "CC")]
+    assert_scans(spark, [*texts, "MIT license, as found in the file LICENSE", "zlib license, which can be found"])
+
+
 def test_there_are_hundreds_of_distinct_rules():
     assert len({(r.label, r.pattern) for r in li.RULES}) == len(li.RULES) > 200
