@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import geometry as g
 from reviewlake.operators import layout as ly
-from reviewlake.plans.registry import query, table
-from reviewlake.plans.values import _RECTS, rects
+from reviewlake.plans.registry import ORACLES, query, table
+from reviewlake.plans.values import _RECTS, _WHOLE_RECTS, rects, whole_rects
 
 # Every third item ends in a hyphen, so that it takes in the next one.
 _ITEMS = """
@@ -185,9 +185,13 @@ def placed_text(spark, folder):
 )
 def merged_boxes(spark, folder):
     """Order-dependent union of boxes; twenty vectors make a page."""
-    boxes = rects(spark, folder).select(
+    return _merged(rects(spark, folder), F.floor(F.col("vec_id") / 20))
+
+
+def _merged(boxes, page):
+    boxes = boxes.select(
         F.floor(F.col("vec_id") / 200).alias("doc_id"),
-        F.floor(F.col("vec_id") / 20).alias("page"),
+        page.alias("page"),
         F.col("vec_id").alias("box_id"),
         F.array(F.get(F.array(F.lit("Text"), F.lit("List"), F.lit("Title")), F.col("label") % 3)).alias("types"),
         F.col("a").alias("bounds"),
@@ -199,3 +203,24 @@ def merged_boxes(spark, folder):
         F.array_join("types", ",").alias("types"),
         F.round(g.area(F.col("bounds")), 5).alias("area"),
     )
+
+
+@query(
+    ORACLES["merged_boxes"]
+    .replace(
+        f"{_RECTS},",
+        f"""{_WHOLE_RECTS}, fours AS (
+      SELECT vec_id, number * 2 AS place, ax0, ay0, ax1, ay1 FROM r
+      UNION ALL SELECT vec_id, number * 2 + 1, bx0, by0, bx1, by1 FROM r),""",
+    )
+    .replace("vec_id // 20 AS page", "vec_id // 20 * 1000 + place AS page")
+    .replace("FROM r JOIN embeddings", "FROM fours JOIN embeddings")
+)
+def merged_boxes_whole(spark, folder):
+    """The same over all numbers; every four of twenty vectors make a page."""
+    both = whole_rects(spark, folder)
+    place = F.col("number") * 2
+    fours = both.select("vec_id", "label", place.alias("place"), "a").unionByName(
+        both.select("vec_id", "label", (place + 1).alias("place"), F.col("b").alias("a"))
+    )
+    return _merged(fours, F.floor(F.col("vec_id") / 20) * 1000 + F.col("place"))
