@@ -1,9 +1,12 @@
 """All queries of this package."""
 
 from reviewlake.llm import (  # noqa: F401
+    codes,
     decontaminate,
     html_text,
     licenses,
+    merkle,
+    minhash,
     mixture,
     prefix_forest,
     quality,
