@@ -86,9 +86,9 @@ def lookup(
     weighed = table.where(F.col(weight) > 0)
     top = weighed.orderBy(F.desc(weight), *keys).limit(HEAVY_KEYS)
     heavy = F.broadcast(top.select(*keys, F.struct(*values).alias("_heavy")))
-    light = weighed.select(
-        *keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_light")
-    )
+    # A salt that the optimizer can't tell is zero, or rows would be dealt by the keys alone.
+    unsalted = F.least(F.col(weight).cast("long"), F.lit(0).cast("long"))
+    light = weighed.select(*keys, unsalted.alias("_salt"), F.struct(*values).alias("_light"))
     marked = _salted(df.join(heavy, keys, "left"), F.col("_heavy").isNotNull(), keys, spread)
     joined = marked.join(light, [*keys, "_salt"], "left").withColumn(
         "_found", F.coalesce("_heavy", "_light")
@@ -117,7 +117,9 @@ def members(
             key, yes.alias("_heavy"), "_in"
         )
     )
-    light = ids.select(key, F.lit(0).cast("long").alias("_salt"), yes.alias("_light"))
+    # Always zero, but not for the optimizer; see :func:`lookup`.
+    unsalted = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+    light = ids.select(key, unsalted.alias("_salt"), yes.alias("_light"))
     marked = _salted(df.join(known, key, "left"), F.col("_heavy").isNotNull(), [key], spread)
     joined = marked.join(light, [key, "_salt"], "left")
     found = F.coalesce("_in", "_light")
