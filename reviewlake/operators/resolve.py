@@ -3,10 +3,10 @@
 1. Records that agree on an identity (the same DOI, or equal in every compared
    field) are one *variant*. They are linked to the lowest record id only, so a
    group of copies costs one link per copy, however large it is.
-2. Variants are matched by an exact set-similarity join on the words of a gate
-   field, then scored over all compared fields. Without a gate of the caller's
-   own, the gate is the lowest one that the score allows, and records without
-   gate words are compared with all others.
+2. Variants are matched by exact similarity joins, then scored over all compared
+   fields: on the words of a gate field, or, without a gate, on the words,
+   q-grams and values of those fields of which one has to be similar in any pair
+   that reaches the threshold.
 3. Clusters are the connected components of the matches above the threshold.
 """
 
@@ -28,13 +28,14 @@ from reviewlake.functions.text import (
 )
 from reviewlake.scale import cut_lineage, id_index, joined_items, lookup, ordered_items
 
-# Frequent words are told apart from rare ones by this many ranked words. The
-# choice only changes which words are compared first, never the result.
-RANKED_WORDS = 5_000
-# A word that more records are found by is handled as a hot one.
-HOT_WORD = 200
 # A pair has to share one more rare word per this many words of its sets.
 WORDS_PER_SHARED = 25
+# Texts that find pairs have to be at least so similar, unless all fields are needed.
+LEAST_DRIVER = 0.6
+# Cells in which members of sets are counted; their counts are broadcast.
+FREQUENCY_CELLS = 1 << 17
+# Pairs of one record that are scored in one place.
+PAIRS_PLACE = 4_096
 
 
 @dataclass(frozen=True)
@@ -180,76 +181,208 @@ def variants(table: DataFrame, same: DataFrame) -> DataFrame:
     return table.join(copies, "id", "left_anti")
 
 
-def _word_sets(table: DataFrame) -> DataFrame:
-    """``(id, words)`` with the words of a record from rare to frequent."""
-    words = table.select("id", F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count("*").alias("n"))
-    # At most RANKED_WORDS rows, hence safe to send to every task.
-    frequent = F.broadcast(
-        frequency.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(RANKED_WORDS)
+def _placed_words(words: DataFrame) -> DataFrame:
+    """``(id, space, n, theta, q, need, at, word)`` rows of an inverted index: the prefixes of the sets.
+
+    ``words (id, space, word, theta, q)`` are the members of each record's sets.
+    They are put in one order, about from rare to frequent; any order is exact.
+    Two sets that share at least ``o`` members share ``m`` of them among the
+    first ``n - o + m`` of each, for every m up to o. Large sets use a larger m,
+    ``need``, which rules out most chance meetings.
+    """
+    cell = F.pmod(F.xxhash64("space", "word"), F.lit(FREQUENCY_CELLS)).cast("int")
+    celled = words.withColumn("cell", cell)
+    # Words that share a cell share their count, so this has a fixed number of rows.
+    frequency = F.broadcast(celled.groupBy("cell").agg(F.count("*").alias("f")))
+    ranked = celled.join(frequency, "cell")
+    sets = ranked.groupBy("id", "space").agg(
+        F.first("theta").alias("theta"),
+        F.first("q").alias("q"),
+        F.array_sort(F.collect_list(F.struct("f", "word"))).alias("_w"),
     )
-    ranked = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")
-    return (
-        words.join(frequent, "word", "left")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(ranked)).alias("_w"))
-        .select("id", F.transform("_w", lambda w: w["word"]).alias("words"))
+    sets = sets.withColumn("n", F.size("_w"))
+    shared = F.ceil(_shared_least(F.col("n"), F.col("n"), F.col("theta"), F.col("q"), alone=True) - 1e-9)
+    need = F.least(F.floor(F.col("n") / WORDS_PER_SHARED) + 1, F.greatest(shared, F.lit(1)))
+    kept = F.col("n") - F.greatest(shared, F.lit(1)) + need
+    prefix = F.slice(F.transform("_w", lambda w: w["word"]), F.lit(1), kept.cast("int"))
+    return sets.select(
+        "id", "space", "n", "theta", "q", need.alias("need"), F.posexplode(prefix).alias("at", "word")
     )
 
 
-def _rare_words(table: DataFrame, least: float) -> DataFrame:
-    """``(id, n, at, word, need)``: the rare words a record may be found by.
+def _shared_least(n: Column, m: Column, theta: Column, q: Column, alone: bool = False) -> Column:
+    """How many members two sets of sizes n and m share at least when their similarity reaches theta.
 
-    Two sets with Jaccard at least t share ``m`` words among the rarest
-    ``n - ceil(t n) + m`` words of each, for every m they have in common. Long
-    sets use a larger m, ``need``, which rules out most chance meetings.
+    With ``q`` 0 the similarity is the Jaccard index. Else the sets hold the
+    padded q-grams of texts, of which an edit touches q, and the similarity is
+    one less the edits per character of the longer text. ``alone`` is the bound
+    for a set of size n and any other.
     """
-    sets = _word_sets(table).withColumn("n", F.size("words"))
-    need = F.floor(F.col("n") / WORDS_PER_SHARED) + 1
-    kept = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + need
-    return sets.select(
-        "id",
-        "n",
-        need.alias("need"),
-        F.posexplode(F.slice("words", F.lit(1), kept.cast("int"))).alias("at", "word"),
+    jaccard = n * theta if alone else (n + m) * theta / (1 + theta)
+    longer = F.greatest(n, m) - q + 1
+    return F.when(q == 0, jaccard).otherwise(longer * (1 - q * (1 - theta)) + q - 1)
+
+
+def _rare_words(table: DataFrame, least: float) -> DataFrame:
+    """The index of the gate words of records that may reach Jaccard ``least``."""
+    theta = F.lit(float(least)).alias("theta")
+    return _placed_words(
+        table.select("id", F.lit(0).alias("space"), F.explode("words").alias("word"), theta, F.lit(0).alias("q"))
     )
 
 
-def _may_match(least: float) -> Column:
+def _may_match() -> Column:
     """Size and position filter for rows ``a`` and ``b`` that share a word."""
-    needed = (F.col("a.n") + F.col("b.n")) * (least / (1 + least)) - 1e-9
-    possible = (
-        F.least("a.at", "b.at")
-        + 1
-        + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)
-    )
-    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9
-    return sizes & (possible >= needed)
+    n, m, theta, q = F.col("a.n"), F.col("b.n"), F.col("a.theta"), F.col("a.q")
+    possible = F.least("a.at", "b.at") + 1 + F.least(n - F.col("a.at") - 1, m - F.col("b.at") - 1)
+    # Both kinds of similarity are at most the smaller size over the larger one.
+    pad = F.greatest(q - 1, F.lit(0))
+    sizes = F.least(n, m) - pad >= (F.greatest(n, m) - pad) * theta - 1e-9
+    return sizes & (possible >= _shared_least(n, m, theta, q) - 1e-9)
 
 
-def _meetings(a: DataFrame, b: DataFrame, rule: Column, least: float) -> DataFrame:
-    """Pairs that meet on enough of their rare words."""
-    met = a.alias("a").join(b.alias("b"), F.col("a.word") == F.col("b.word"))
+def _enough(met: DataFrame) -> DataFrame:
+    """``(left_id, right_id)`` of meetings ``a``, ``b`` that share enough rare words."""
     return (
-        met.where(rule & _may_match(least))
-        .groupBy(
-            F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id")
+        met.groupBy(
+            F.least("a.id", "b.id").alias("left_id"),
+            F.greatest("a.id", "b.id").alias("right_id"),
+            F.col("a.space").alias("space"),
         )
         .agg(F.count("*").alias("met"), F.min(F.least("a.need", "b.need")).alias("need"))
         .where(F.col("met") >= F.col("need"))
         .select("left_id", "right_id")
+        .distinct()
     )
 
 
+def _meetings(a: DataFrame, b: DataFrame, rule: Column) -> DataFrame:
+    """Pairs that meet on enough of their rare words."""
+    same = (F.col("a.space") == F.col("b.space")) & (F.col("a.word") == F.col("b.word"))
+    return _enough(a.alias("a").join(b.alias("b"), same).where(rule & _may_match()))
+
+
+def drivers(masks: Sequence[int], fields: Sequence[Field], threshold: float, cost: Sequence[float]):
+    """``(lower mask, higher mask, field, theta, q)``: what finds the pairs of two kinds of records.
+
+    A mask says which fields a record has. Of the fields P that both have, some
+    set D is chosen: were all of them less similar than
+    ``theta = (t W(P) - W(P - D)) / W(D)``, the score could not reach t even if
+    the others agreed. So each pair that reaches it is found by a field of D.
+    The cheapest D is taken, by ``cost``, the meetings a field's values make.
+    """
+    out = []
+    for i, low in enumerate(masks):
+        for high in masks[i:]:
+            both = [k for k in range(len(fields)) if low >> k & high >> k & 1]
+            whole = sum(fields[k].weight for k in both)
+            best = None
+            for chosen in range(1, 1 << len(both)):
+                some = [k for j, k in enumerate(both) if chosen >> j & 1]
+                own = sum(fields[k].weight for k in some)
+                if own <= 0:
+                    continue
+                theta = (threshold * whole - (whole - own)) / own
+                texts = any(fields[k].comparator == "text" for k in some)
+                if theta < (LEAST_DRIVER if texts else 1e-3) and len(some) < len(both):
+                    continue
+                # Equal values meet at any theta; short prefixes make other fields cheaper.
+                price = sum(
+                    cost[k] * (1 if fields[k].comparator in ("equal", "doi") else max(theta, 1e-3) ** -4) for k in some
+                )
+                if best is None or price < best[0]:
+                    best = (price, some, theta - 1e-9)
+            if best:
+                for k in best[1]:
+                    q = 0 if fields[k].comparator != "text" else 3 if best[2] >= 0.75 else 2 if best[2] >= 0.5 else 1
+                    out.append((low, high, k, best[2], q))
+    return out
+
+
+def _grams(text: Column, q: Column) -> Column:
+    """The q-grams of a text with q - 1 marks before and after it."""
+    pad = F.repeat(F.lit("\u0001"), q - 1)
+    padded = F.concat(pad, text, pad)
+    return F.transform(F.sequence(F.lit(1), F.length(text) + q - 1), lambda i: F.substring(padded, i, q))
+
+
+def field_index(table: DataFrame, fields: Sequence[Field], threshold: float) -> DataFrame | None:
+    """The index of all fields by which pairs that reach ``threshold`` are found; None without any.
+
+    Values of words are sets of words, texts are multisets of q-grams (a
+    gram's occurrences are told apart by number), others are one word each.
+    """
+    mask = F.lit(0)
+    for k, f in enumerate(fields):
+        mask = mask + F.when(F.col(f"v.{f.name}").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0))
+    masked = table.select("id", "v", mask.alias("mask"))
+    # As many rows as kinds of records; at most two to the number of fields.
+    masks = sorted(r["mask"] for r in masked.select("mask").distinct().collect() if r["mask"])
+    kept = [F.struct(F.lit(k).alias("k"), F.xxhash64(f"v.{f.name}").alias("value")) for k, f in enumerate(fields)]
+    counted = table.select(F.inline(F.array(*kept))).groupBy("k", "value").agg(F.count("*").cast("double").alias("n"))
+    squares = {r["k"]: r["s"] for r in counted.groupBy("k").agg(F.sum(F.col("n") * F.col("n")).alias("s")).collect()}
+    plan = drivers(masks, fields, threshold, [squares.get(k, 1.0) for k in range(len(fields))])
+    if not plan:
+        return None
+    # A record of mask m takes part in a space for each partner's mask.
+    rows = {(m, space, k, t, q) for space, (low, high, k, t, q) in enumerate(plan) for m in (low, high)}
+    spaces = table.sparkSession.createDataFrame(sorted(rows), "mask int, space int, k int, theta double, q int")
+    placed = masked.join(F.broadcast(spaces), "mask").select("id", "v", "mask", "space", "k", "theta", "q")
+    kept = ("id", "space", "theta", "q")
+
+    def members(text: bool) -> DataFrame | None:
+        words = None
+        for k, f in enumerate(fields):
+            if (f.comparator == "text") == text:
+                value = F.col(f"v.{f.name}")
+                own = value if f.comparator == "words" else _grams(value, F.col("q")) if text else F.array(value)
+                words = F.when(F.col("k") == k, own) if words is None else words.when(F.col("k") == k, own)
+        # A collision of hashes only adds a meeting.
+        return None if words is None else placed.select(*kept, F.explode(words).alias("word"))
+
+    sets, grams = members(False), members(True)
+    if sets is not None:
+        sets = sets.withColumn("word", F.xxhash64("word"))
+    if grams is not None:
+        counts = grams.groupBy(*kept, "word").agg(F.count("*").cast("int").alias("n"))
+        turns = counts.select(*kept, "word", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("turn"))
+        grams = turns.select(*kept, F.xxhash64("word", "turn").alias("word"))
+    found = grams if sets is None else sets if grams is None else sets.unionByName(grams)
+    return _placed_words(found)
+
+
 def candidate_pairs(table: DataFrame, least: float) -> DataFrame:
     """All pairs ``(left_id, right_id)`` whose gate words may reach Jaccard ``least``.
 
-    Exact: a pair that reaches it is never missed, see :func:`_rare_words`. The
+    Exact: a pair that reaches it is never missed, see :func:`_placed_words`. The
     number of pairs met on a hot word grows with the square of its records;
     :func:`match_links` avoids that where only clusters are wanted.
     """
     rare = cut_lineage(_rare_words(table, least))
-    return _meetings(rare, rare, F.col("a.id") < F.col("b.id"), least)
+    return _meetings(rare, rare, F.col("a.id") < F.col("b.id"))
+
+
+def attach(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
+    """Pairs with the columns of ``values (key, …)``, however many pairs one key has.
+
+    A key with many pairs is sent to a place for each ``PAIRS_PLACE`` of them.
+    """
+    counts = pairs.groupBy(key).agg(F.count("*").alias("_n")).withColumn("_of", F.col("_n"))
+    place = F.pmod(F.xxhash64(other), F.floor((F.col("_of") - 1) / PAIRS_PLACE) + 1)
+    numbered = lookup(pairs, counts, [key], "_n", other).withColumn("_at", place).drop("_of")
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / PAIRS_PLACE)))
+    spread = values.join(counts.select(key, places.alias("_at")), key)
+    return numbered.join(spread, [key, "_at"]).drop("_at")
+
+
+def score_all(pairs: DataFrame, table: DataFrame, fields: Sequence[Field], threshold: float) -> DataFrame:
+    """The pairs whose score reaches ``threshold``, with it."""
+    left = table.select(F.col("id").alias("left_id"), F.col("v").alias("l"))
+    right = table.select(F.col("id").alias("right_id"), F.col("v").alias("r"))
+    # Many records may be compared with one lowest id.
+    both = attach(pairs, left, "left_id", "right_id").join(right, "right_id")
+    scored = with_score(both, fields).where(F.col("score") >= threshold)
+    return scored.select("left_id", "right_id", "score")
 
 
 def score_pairs(
@@ -285,41 +418,6 @@ def score_pairs(
     return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
-def score_gate(fields: Sequence[Field], gate: str, threshold: float) -> float:
-    """The lowest Jaccard of the gate words with which a score can reach ``threshold``.
-
-    It is what is missing when all other fields agree. Not above 0 when they are
-    enough alone, or when the gate field is not scored by its words.
-    """
-    own = sum(f.weight for f in fields if f.name == gate and f.comparator == "words")
-    if own <= 0:
-        return 0.0
-    others = sum(f.weight for f in fields if f.name != gate)
-    return threshold - (1 - threshold) * others / own - 1e-9
-
-
-def _ungated_pairs(
-    table: DataFrame, fields: Sequence[Field], gate: str, threshold: float
-) -> DataFrame | None:
-    """The matching pairs that :func:`score_gate` says nothing about.
-
-    These are the pairs with a record that has no gate words, or all pairs when
-    there is no gate. They are compared one by one. None without such records.
-    """
-    free = F.size("words") == 0 if score_gate(fields, gate, threshold) > 0 else F.lit(True)
-    left = table.where(free).select(F.col("id").alias("a"), F.col("v").alias("l"))
-    if left.isEmpty():
-        return None
-    right = table.select(F.col("id").alias("b"), F.col("v").alias("r"), free.alias("free"))
-    pairs = left.crossJoin(right).where(
-        (F.col("a") < F.col("b")) | (~F.col("free") & (F.col("a") > F.col("b")))
-    )
-    scored = with_score(pairs, fields).where(F.col("score") >= threshold)
-    return scored.select(
-        F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "score"
-    )
-
-
 def similar_pairs(
     table: DataFrame,
     fields: Sequence[Field] = DEFAULT_FIELDS,
@@ -331,17 +429,19 @@ def similar_pairs(
 
     A pair matches when the gate words reach Jaccard ``least`` and the score
     over all fields reaches ``threshold``; with None for ``least`` the score
-    alone decides. Give it :func:`variants`: copies are linked by their
-    identity, not compared.
+    alone decides, and pairs are found by all fields, see :func:`field_index`.
+    Give it :func:`variants`: copies are linked by their identity, not compared.
     """
-    if least is None:
-        bound = score_gate(fields, gate, threshold)
-        others = _ungated_pairs(table, fields, gate, threshold)
-        if bound <= 0 and others is not None:
-            return others
-        found = similar_pairs(table, fields, gate, bound, threshold)
-        return found if others is None else found.unionByName(others)
-    return score_pairs(candidate_pairs(table, least), table, fields, gate, least, threshold)
+    if least is not None:
+        return score_pairs(candidate_pairs(table, least), table, fields, gate, least, threshold)
+    if threshold <= 0:
+        raise ValueError("without a gate the threshold has to be above 0")
+    index = field_index(table, fields, threshold)
+    if index is None:
+        nothing = F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("score")
+        return table.where(F.lit(False)).select(*nothing)
+    rare = cut_lineage(index)
+    return score_all(cut_lineage(_meetings(rare, rare, F.col("a.id") < F.col("b.id"))), table, fields, threshold)
 
 
 def match_links(
@@ -349,62 +449,49 @@ def match_links(
 ) -> DataFrame:
     """Links ``(src, dst)`` that give the same clusters as all matching pairs.
 
-    Records with the same hot word are first compared with the lowest id among
+    Records with the same rare word are first compared with the lowest id among
     them only. Whatever that joins needs no further comparison, so in a family
     of near copies the number of comparisons grows with its size, not with its
     square. Then records meet on all their words, except where both belong to
-    the cluster around a hot word. None for ``least``: see :func:`similar_pairs`.
+    the cluster around a word. None for ``least``: see :func:`similar_pairs`.
     """
-    if least is None:
-        bound = score_gate(fields, gate, threshold)
-        others = _ungated_pairs(table, fields, gate, threshold)
-        if others is not None:
-            others = cut_lineage(
-                others.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
-            )
-            if bound <= 0:
-                return others
-        found = match_links(table, fields, gate, bound, threshold)
-        return found if others is None else found.unionByName(others)
-    rare = cut_lineage(_rare_words(table, least))
+    if least is None and threshold <= 0:
+        raise ValueError("without a gate the threshold has to be above 0")
+    index = _rare_words(table, least) if least is not None else field_index(table, fields, threshold)
+    if index is None:
+        return table.where(F.lit(False)).select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    rare = cut_lineage(index)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        matched = score_pairs(pairs, table, fields, gate, least, threshold)
+        if least is not None:
+            matched = score_pairs(pairs, table, fields, gate, least, threshold)
+        else:
+            matched = score_all(cut_lineage(pairs), table, fields, threshold)
         return cut_lineage(
             matched.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst"))
         )
 
-    words = rare.groupBy("word").agg(
-        F.count("*").alias("rows"), F.min_by(F.struct("id", "n", "at"), "id").alias("first")
+    words = rare.groupBy("space", "word").agg(
+        F.count("*").alias("rows"), F.min(F.struct("id", "space", "n", "at", "need", "theta", "q")).alias("a")
     )
-    hot = cut_lineage(words.where(F.col("rows") > HOT_WORD).select("word", "rows", "first.*"))
+    shared = cut_lineage(words.where(F.col("rows") > 1))
     ordered = F.col("a.id") < F.col("b.id")
-    if hot.isEmpty():
-        return scored(_meetings(rare, rare, ordered, least))
-    first = hot.select("word", "rows", F.struct("id", "n", "at").alias("a"))
-    met = lookup(rare, first, ["word"], "rows", "id", how="inner")
-    met = met.select("a", F.struct("id", "n", "at").alias("b"))
-    star = (
-        met.where(ordered & _may_match(least))
-        .select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
-        .distinct()
-    )
-    star_links = scored(star)
+    own = F.struct("id", "space", "n", "at", "need", "theta", "q")
+    met = lookup(rare, shared, ["space", "word"], "rows", "id", how="inner").select("a", own.alias("b"))
+    star_links = scored(_enough(met.where(ordered & _may_match())))
     joined = connected_components(star_links)
-    placed = cut_lineage(
-        rare.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    )
+    placed = rare.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # With two rows the word's only pair was met already, but maybe on too few words.
     centre = (
-        hot.select("word", "rows", "id")
+        shared.select("space", "word", "rows", F.col("a.id").alias("id"))
         .join(joined, "id", "left")
-        .select("word", "rows", F.coalesce("component", "id").alias("centre"))
-    )
-    known = lookup(placed, cut_lineage(centre), ["word"], "rows", "id").withColumn(
-        "inside", F.coalesce(F.col("component") == F.col("centre"), F.lit(False))
+        .select("space", "word", "rows", F.coalesce("component", "id").alias("centre"))
     )
+    known = lookup(placed, centre, ["space", "word"], "rows", "id", how="inner")
+    known = cut_lineage(known.withColumn("inside", F.col("component") == F.col("centre")).drop("centre"))
     apart = F.col("a.component") != F.col("b.component")
     rule = apart & (F.col("b.inside") | ordered)
-    rest = _meetings(known.where(~F.col("inside")), known, rule, least)
+    rest = _meetings(known.where(~F.col("inside")), known, rule)
     return star_links.unionByName(scored(rest))
 
 

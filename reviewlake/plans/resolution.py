@@ -13,8 +13,6 @@ FIELDS = (
     rs.Field("source", "equal", 0.1),
     rs.Field("authors", "equal", 0.1),
 )
-# A gate of the SQL alone; the queries compare every pair that the score can pass.
-LEAST = 0.6
 THRESHOLD = 0.65
 
 # A document as a publication: the whole text is the title.
@@ -81,7 +79,7 @@ PAIRS = f"""
       SELECT l AS left_id, r AS right_id,
         (0.8 * j + 0.1 * CAST(x.s = y.s AS INTEGER) + 0.1 * CAST(x.a = y.a AS INTEGER)) AS score
       FROM jac JOIN v x ON x.record_id = l JOIN v y ON y.record_id = r
-      WHERE j >= {LEAST} AND score >= {THRESHOLD})
+      WHERE score >= {THRESHOLD})
 """
 CLUSTERS = f"""
     {PAIRS},
@@ -133,6 +131,90 @@ def label_candidates(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
+# Pages as publications, and again as another export has them: a letter of the
+# title is missing, and some titles, sources and DOIs.
+_WEB = """
+    web AS (SELECT page_id, url, nullif(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
+        '[^ -~]', '', 'g'), '') AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+        regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host,
+        replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?]*)', 1), '/', ';') AS path FROM pages),
+    web_records AS (
+      SELECT 2 * page_id AS record_id, title, host AS authors, path AS keywords, lang AS source,
+        CASE WHEN page_id % 3 = 0 THEN 'https://doi.org/10.7/P' || page_id END AS doi FROM web
+      UNION ALL SELECT 2 * page_id + 1,
+        CASE WHEN page_id % 7 > 0 THEN substr(title, 1, page_id % length(title))
+          || substr(title, page_id % length(title) + 2) END,
+        upper(host), path, CASE WHEN page_id % 5 > 0 THEN lang END,
+        CASE WHEN page_id % 2 > 0 THEN 'doi:10.7/p' || page_id END FROM web)
+"""
+
+
+def web_records(spark, folder):
+    id_, title = F.col("page_id"), F.col("title")
+    page = table(spark, folder, "pages").select(
+        "page_id",
+        F.nullif(
+            F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^ -~]", ""), F.lit("")
+        ).alias("title"),
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"),
+        F.replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?]*)", 1), F.lit("/"), F.lit(";")).alias("path"),
+    )
+    first = page.select(
+        (2 * id_).alias("record_id"),
+        "title",
+        F.col("host").alias("authors"),
+        F.col("path").alias("keywords"),
+        F.col("lang").alias("source"),
+        F.when(id_ % 3 == 0, F.concat(F.lit("https://doi.org/10.7/P"), id_)).alias("doi"),
+    )
+    at = id_ % F.length(title)
+    fewer = F.concat(F.substr(title, F.lit(1), at.cast("int")), F.substr(title, (at + 2).cast("int")))
+    second = page.select(
+        (2 * id_ + 1).alias("record_id"),
+        F.when(id_ % 7 > 0, fewer).alias("title"),
+        F.upper("host").alias("authors"),
+        F.col("path").alias("keywords"),
+        F.when(id_ % 5 > 0, F.col("lang")).alias("source"),
+        F.when(id_ % 2 > 0, F.concat(F.lit("doi:10.7/p"), id_)).alias("doi"),
+    )
+    return first.unionByName(second)
+
+
+def _edits(c: str) -> str:
+    return f"1 - levenshtein(x.{c}, y.{c}) / greatest(length(x.{c}), length(y.{c}))::DOUBLE"
+
+
+# All pairs are scored, none is left out.
+_WEB_PAIRS = f"""
+    {_WEB},
+    values_ AS (SELECT record_id, {_clean("title")} AS title, {_clean("authors")} AS authors,
+        {_clean("source")} AS source, list_distinct(list_filter(string_split_regex({_clean("keywords")}, '{N}+'),
+          lambda w: w <> '')) AS keywords,
+        regexp_replace(lower(doi), '^(https://doi.org/|doi:)', '') AS doi FROM web_records),
+    scores AS (SELECT x.record_id AS left_id, y.record_id AS right_id,
+        {_edits("title")} AS title, {_edits("authors")} AS authors, {_edits("source")} AS source,
+        CASE WHEN len(x.keywords) > 0 AND len(y.keywords) > 0
+          THEN len(list_intersect(x.keywords, y.keywords))::DOUBLE
+          / len(list_distinct(list_concat(x.keywords, y.keywords))) END AS keywords,
+        CASE WHEN x.doi IS NOT NULL AND y.doi IS NOT NULL THEN (x.doi = y.doi)::INT::DOUBLE END AS doi
+      FROM values_ x JOIN values_ y ON x.record_id < y.record_id),
+    weighed AS (SELECT left_id, right_id, (coalesce(0.4 * title, 0) + coalesce(0.2 * authors, 0)
+        + coalesce(0.1 * keywords, 0) + coalesce(0.1 * source, 0) + coalesce(0.2 * doi, 0))
+        / (CASE WHEN title IS NULL THEN 0 ELSE 0.4 END + CASE WHEN authors IS NULL THEN 0 ELSE 0.2 END
+          + CASE WHEN keywords IS NULL THEN 0 ELSE 0.1 END + CASE WHEN source IS NULL THEN 0 ELSE 0.1 END
+          + CASE WHEN doi IS NULL THEN 0 ELSE 0.2 END) AS score FROM scores)
+"""
+
+
+@query(f"WITH {_WEB_PAIRS} SELECT left_id, right_id, round(score, 6) AS score FROM weighed WHERE score >= 0.85")
+def dedup_all_fields(spark, folder):
+    """Pairs by all compared fields, without a gate on any of them."""
+    table_ = rs.comparable(web_records(spark, folder), rs.DEFAULT_FIELDS, "title")
+    found = rs.similar_pairs(table_, rs.DEFAULT_FIELDS, "title", None, 0.85)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def _resolved(spark, folder):
     return rs.resolve(records_of(spark, folder), FIELDS, "title", None, THRESHOLD)
 

@@ -132,9 +132,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("hot_word", [200, 3])
-def test_resolution_equals_brute_force(spark, monkeypatch, hot_word):
-    monkeypatch.setattr(rs, "HOT_WORD", hot_word)
+@pytest.mark.parametrize("place", [4096, 3])
+def test_resolution_equals_brute_force(spark, monkeypatch, place):
+    monkeypatch.setattr(rs, "PAIRS_PLACE", place)
     titles = near_copies(11, 6, 9)
     rows = [row(i, t, source=f"s{i % 2}") for i, t in enumerate(titles)]
     df = spark.createDataFrame(rows, DDL)
@@ -179,10 +179,14 @@ def brute_score(a, b, fields):
     return total / weight if weight else 0.0
 
 
-@pytest.mark.parametrize("hot_word", [200, 3])
-@pytest.mark.parametrize("fields", [THREE, (rs.Field("title", "text", 0.4), rs.Field("authors", "text", 0.6))])
-def test_without_a_gate_the_score_alone_decides(spark, monkeypatch, fields, hot_word):
-    monkeypatch.setattr(rs, "HOT_WORD", hot_word)
+MIXED = (rs.Field("title", "text", 0.5), rs.Field("authors", "words", 0.3), rs.Field("source", "equal", 0.2))
+
+
+@pytest.mark.parametrize("least_driver", [0.5, 0.9])
+@pytest.mark.parametrize("fields", [THREE, (rs.Field("title", "text", 0.4), rs.Field("authors", "text", 0.6)), MIXED])
+def test_without_a_gate_the_score_alone_decides(spark, monkeypatch, fields, least_driver):
+    monkeypatch.setattr(rs, "LEAST_DRIVER", least_driver)
+    monkeypatch.setattr(rs, "PAIRS_PLACE", 2)
     rng = random.Random(4)
     names = ["title", "source", "authors"]
     # 9 of 16 words are Jaccard 0.5625, which is just enough with all else equal.
@@ -208,8 +212,41 @@ def test_without_a_gate_the_score_alone_decides(spark, monkeypatch, fields, hot_
     assert {i: components.get(i, i) for i in range(len(rows))} == brute_components(len(rows), list(want))
 
 
-def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
-    monkeypatch.setattr(rs, "HOT_WORD", 20)
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.7, 0.8])
+def test_misspelt_texts_are_found_at_every_threshold(spark, threshold):
+    """Short and long texts with edits, next to brute force; one q of the grams each."""
+    rng = random.Random(int(100 * threshold))
+    words = ["a", "be", "graph", "deep networks", "rain in may and june", "x" * 12]
+    texts = words + ["".join(rng.choice("abx ") if rng.random() < 0.2 else c for c in w) for w in words * 5]
+    fields = (rs.Field("title", "text", 0.7), rs.Field("source", "equal", 0.3))
+    rows = [{"record_id": i, "title": t, "source": rng.choice(["s", "r", None])} for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "record_id long, title string, source string")
+    table = rs.comparable(df, fields, "title")
+    clean = [r | {"title": r["title"].strip() or None} for r in rows]
+    want = {}
+    for a, b in itertools.combinations(clean, 2):
+        score = brute_score(a, b, fields)
+        # The same sums in the same order, so scores at the threshold agree too.
+        if score >= threshold:
+            want[a["record_id"], b["record_id"]] = score
+    found = rs.similar_pairs(table, fields, "title", None, threshold).collect()
+    assert {(r["left_id"], r["right_id"]): r["score"] for r in found} == pytest.approx(want)
+
+
+def test_drivers_cover_what_can_reach_the_threshold():
+    fields = rs.DEFAULT_FIELDS
+    for low, high, _, theta, _ in rs.drivers(list(range(1, 32)), fields, 0.7, [5, 1, 9, 50, 2]):
+        assert low & high and 0 < theta <= 0.7
+    for low in range(1, 32):
+        rows = [r for r in rs.drivers([low], fields, 0.7, [5, 1, 9, 50, 2])]
+        chosen, theta = [r[2] for r in rows], rows[0][3]
+        # All chosen fields just below theta, all others equal: the score stays below the threshold.
+        both = [k for k in range(5) if low >> k & 1]
+        score = sum(f.weight * (theta if k in chosen else 1) for k, f in enumerate(fields) if k in both)
+        assert score <= 0.7 * sum(fields[k].weight for k in both) + 1e-9
+
+
+def test_links_of_near_copies_grow_with_their_number(spark):
     base = " ".join(f"w{i}" for i in range(30))
     rows = [row(i, f"{base} own{i}") for i in range(300)]
     table = rs.comparable(spark.createDataFrame(rows, DDL), FIELDS, "title")
