@@ -10,9 +10,10 @@ Near-duplicates: a fingerprint is cut into bands of ``BAND_ROWS`` positions, and
 texts with an equal band meet in Spark. Their Jaccard index is then computed
 from all shingles of both texts. With 25 bands of five rows a pair at Jaccard
 0.8 shares a band with probability 0.99995. A bucket is not expanded into
-pairs: its texts are compared with a few centres, eight times as many in each
-round, and only texts of different classes are compared again. So every pair of
-a bucket is compared, or already in one class.
+pairs: its texts are compared with one of them, then with 64, with 4 096 and so
+on, and from the second round on only with those of other classes. So every pair
+of a bucket is compared, in one class already, or ruled out by the numbers of
+their shingles.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ SHINGLE, PERMUTATIONS, SEED = 5, 128, 42
 BAND_ROWS, JACCARD = 5, 0.8
 BANDS = PERMUTATIONS // BAND_ROWS
 # A bucket's centres grow by this factor a round; so many of them share a row.
-GROWTH, SLOT = 8, 64
+GROWTH, SLOT = 64, 64
 # Pairs of one centre that are verified in one place.
 PAIRS_PLACE = 512
 # Buckets of text keys that are broadcast to thin out the scan for texts.
 THINNING = 1 << 18
+# Rows that a task works on at a time.
+SLICE_ROWS = 256
 # Hex digits of a position of a fingerprint, and of the key of a text.
 _DIGITS, _KEY = 4, 32
 
@@ -70,8 +73,13 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def signatures(texts: list[str | None] | pa.Array) -> np.ndarray:
     """One row of ``PERMUTATIONS`` 16-bit numbers per text; all ones without words."""
+    return sketches(texts)[0]
+
+
+def sketches(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, and how many different shingles each text has."""
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-    out = [np.zeros((0, PERMUTATIONS), np.uint16)]
+    out, counts = [np.zeros((0, PERMUTATIONS), np.uint16)], [np.zeros(0, np.int64)]
     for n, hashes, rows in shingles(column):
         signed = np.full((n, PERMUTATIONS), 0xFFFF, np.uint16)
         if len(hashes):
@@ -81,7 +89,11 @@ def signatures(texts: list[str | None] | pa.Array) -> np.ndarray:
                 # The high bits of a minimum are nearly all zero.
                 signed[rows[begins], p] = (least & np.uint64(0xFFFF)).astype(np.uint16)
         out.append(signed)
-    return np.concatenate(out)
+        order = np.lexsort((hashes, rows))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+        counts.append(np.bincount(rows[order][new], minlength=n))
+    return np.concatenate(out), np.concatenate(counts)
 
 
 def as_text(signed: np.ndarray) -> list[str]:
@@ -94,20 +106,25 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """The Jaccard index of the shingle sets of each pair; 0 where both are empty."""
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for n, hashes, rows in shingles(column):
+        edges = np.searchsorted(rows, np.arange(n + 1))
+        for i in range(n):
+            yield np.unique(hashes[edges[i] : edges[i + 1]])
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for n, hashes, rows in shingles(column):
-            edges = np.searchsorted(rows, np.arange(n + 1))
-            for i in range(n):
-                yield np.unique(hashes[edges[i] : edges[i + 1]])
 
-    def index(a: np.ndarray, b: np.ndarray) -> float:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both / max(len(a) + len(b) - both, 1)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard index of two shingle sets; 0 where both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
 
-    return np.fromiter((index(a, b) for a, b in zip(sets(left), sets(right))), float, len(left))
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that texts are turned into other forms a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def text_key(text: Column) -> Column:
@@ -146,7 +163,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     place = TaskContext.get().partitionId()
 
-    def batch(role: int, ids: list, texts: list[str], facts: list, whole: bool) -> pa.RecordBatch:
+    def batch(role: int, ids: list, texts: list[str], counts: np.ndarray, facts: list, whole: bool) -> pa.RecordBatch:
         n = len(texts)
         return pa.RecordBatch.from_arrays(
             [
@@ -155,49 +172,49 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(ids, pa.int64()),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest()[:_KEY] for t in texts], pa.string()),
+                pa.array(counts),
                 pa.array(texts if whole else [None] * n, pa.string()),
                 *facts,
             ],
-            ["role", "place", "doc_id", "n_chars", "t", "text", *[c.split()[0] for c in _FACTS.split(", ")]],
+            ["role", "place", "doc_id", "n_chars", "t", "n_shingles", "text", *[c.split()[0] for c in _FACTS.split(", ")]],
         )
 
-    def alone(role: int, row_id, text: str, signed: np.ndarray) -> pa.RecordBatch:
+    def alone(role: int, row_id, text: str, count: np.ndarray, signed: np.ndarray) -> pa.RecordBatch:
         empty = [pa.nulls(1, pa.string()), *[pa.nulls(1, pa.float64())] * 2]
         facts = [empty[0], pa.array(as_text(signed), pa.string()), empty[0], *empty[1:]]
-        return batch(role, [row_id], [text], facts, True)
+        return batch(role, [row_id], [text], count, facts, True)
 
     ids: list = []
     texts: list[str] = []
-    signed = np.zeros((0, PERMUTATIONS), np.uint16)
-    for rows in batches:
-        if rows.num_rows == 0:
-            continue
+    signed, counts = np.zeros((0, PERMUTATIONS), np.uint16), np.zeros(0, np.int64)
+    for rows in _slices(batches):
         opens = not texts
         ids += rows.column("doc_id").to_pylist()
         texts += [t or "" for t in rows.column("text").to_pylist()]
-        signed = np.concatenate([signed, signatures(rows.column("text"))])
+        sketched = sketches(rows.column("text"))
+        signed, counts = np.concatenate([signed, sketched[0]]), np.concatenate([counts, sketched[1]])
         if opens:
-            yield alone(1, ids[0], texts[0], signed[:1])
+            yield alone(1, ids[0], texts[0], counts[:1], signed[:1])
         if len(texts) > 1:
-            yield batch(0, ids[:-1], texts[:-1], _facts(texts[:-1], signed[:-1], texts[1:], signed[1:]), False)
-        ids, texts, signed = ids[-1:], texts[-1:], signed[-1:]
+            yield batch(0, ids[:-1], texts[:-1], counts[:-1], _facts(texts[:-1], signed[:-1], texts[1:], signed[1:]), False)
+        ids, texts, signed, counts = ids[-1:], texts[-1:], signed[-1:], counts[-1:]
     if texts:
-        yield alone(2, ids[0], texts[0], signed)
+        yield alone(2, ids[0], texts[0], counts, signed)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Facts of rows whose following text comes with them."""
-    for rows in batches:
+    for rows in _slices(batches):
         texts, following = rows.column("text").to_pylist(), rows.column("following").to_pylist()
         facts = _facts(texts, signatures(texts), following, signatures(following))
-        kept = [rows.column(c) for c in ("doc_id", "n_chars", "t")]
+        kept = [rows.column(c) for c in ("doc_id", "n_chars", "t", "n_shingles")]
         yield pa.RecordBatch.from_arrays(
-            [*kept, *facts], ["doc_id", "n_chars", "t", *[c.split()[0] for c in _FACTS.split(", ")]]
+            [*kept, *facts], ["doc_id", "n_chars", "t", "n_shingles", *[c.split()[0] for c in _FACTS.split(", ")]]
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, t``, fingerprints and likenesses of every row.
+    """``doc_id, n_chars, t, n_shingles``, fingerprints and likenesses of every row.
 
     ``t`` is the key of the text. The next document is the next one by doc_id
     (null ids first, rows with one id by the hash of their text), after the last
@@ -214,7 +231,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
         .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     )
-    kept = "role int, place int, doc_id long, n_chars long, t string, text string"
+    kept = "role int, place int, doc_id long, n_chars long, t string, n_shingles long, text string"
     ranged.mapInArrow(_in_order, f"{kept}, {_FACTS}").write.option("compression", "zstd").parquet(folder)
     done = spark.read.parquet(folder)
     # One row a task from here on.
@@ -223,52 +240,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     wrapped = F.coalesce(following, F.min("place").over(Window.partitionBy()))
     then = firsts.select("place", wrapped.alias("then"))
     lasts = (
-        done.where("role = 2").select("place", "doc_id", "n_chars", "t", "text")
+        done.where("role = 2").select("place", "doc_id", "n_chars", "t", "n_shingles", "text")
         .join(then, "place")
         .join(firsts.withColumnRenamed("place", "then"), "then")
     )
-    schema = f"doc_id long, n_chars long, t string, {_FACTS}"
-    across = lasts.select("doc_id", "n_chars", "t", "text", "following").mapInArrow(_across, schema)
+    schema = f"doc_id long, n_chars long, t string, n_shingles long, {_FACTS}"
+    across = lasts.select("doc_id", "n_chars", "t", "n_shingles", "text", "following").mapInArrow(_across, schema)
     return done.where("role = 0").drop("role", "place", "text").unionByName(across)
 
 
 def band_rows(texts: DataFrame) -> DataFrame:
-    """``(key, t)``: the bands of each text's fingerprint, as keys of buckets."""
-    width = BAND_ROWS * _DIGITS
+    """``(key, x)``: the bands of each text's fingerprint, as keys of buckets.
+
+    ``x`` is the text's struct of a hash, its number and its number of shingles.
+    """
+    width = BAND_ROWS * _DIGITS // 2
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.xxhash64(i, F.substr("fingerprint", i * width + 1, F.lit(width))),
+        lambda i: F.xxhash64(i, F.substr("signed", i * width + 1, F.lit(width))),
+    )
+    return texts.select(F.explode(bands).alias("key"), F.struct("h", "u", "k").alias("x"))
+
+
+def _possible(pairs: DataFrame, least: float) -> DataFrame:
+    """Distinct ``(a, b)`` of ``(x, y)`` whose numbers of shingles allow the Jaccard index."""
+    sizes = F.least("x.k", "y.k") >= F.greatest("x.k", "y.k") * least - 1e-9
+    return (
+        pairs.where(sizes & (F.col("x.u") != F.col("y.u")))
+        .select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"))
+        .distinct()
     )
-    return texts.select(F.explode(bands).alias("key"), "t")
 
 
-def _pairs_with_centres(rows: DataFrame, number: int) -> DataFrame:
-    """``(a, b)`` of rows ``(key, t, c, n)`` and about ``number`` centres of their bucket.
+def _with_centres(rows: DataFrame, before: int, number: int) -> DataFrame:
+    """``(x, y)`` of rows ``(key, x, c, n)`` and the next centres of their bucket.
 
-    Pairs inside one class are left out. Centres share rows of about ``SLOT``.
+    About ``number`` of a bucket's rows are its centres, all of them where it
+    has no more; ``before`` of them were met before. Pairs inside one class are
+    left out. About ``SLOT`` centres share a row.
     """
-    share = F.col("n").cast("double") / number
-    chosen = F.pmod(F.xxhash64("t", F.lit(number)), F.lit(1 << 30)) * share < float(1 << 30)
+    place = F.col("x.h").cast("double") / float(1 << 30) * F.col("n")
     slots = -(-number // SLOT)
-    slot = F.pmod(F.xxhash64("t"), F.lit(slots)).cast("int").alias("slot")
+    slot = F.pmod(F.col("x.u"), F.lit(slots)).cast("int").alias("slot")
     centres = (
-        rows.where(chosen).groupBy("key", slot)
-        .agg(F.collect_list(F.struct("t", "c")).alias("centres"), F.max("n").alias("n"))
+        rows.where((place < number) & (place >= before)).groupBy("key", slot)
+        .agg(F.collect_list(F.struct("x", "c")).alias("centres"), F.max("n").alias("n"))
     )
-    spread = rows.select("key", "t", "c", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    met = lookup(spread, centres, ["key", "slot"], "n", "t", how="inner")
-    return (
-        met.select("t", "c", F.explode("centres").alias("x"))
-        .where(F.col("c") != F.col("x.c"))
-        .select(F.least("t", "x.t").alias("a"), F.greatest("t", "x.t").alias("b"))
-        .distinct()
-    )
+    spread = rows.select("key", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    met = lookup(spread, centres, ["key", "slot"], "n", "x", how="inner")
+    pairs = met.select("x", "c", F.explode("centres").alias("m")).where(F.col("c") != F.col("m.c"))
+    return pairs.select("x", F.col("m.x").alias("y"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` of text keys whose shingle sets reach Jaccard ``least``.
+    """The pairs ``(a, b)`` of text numbers whose shingle sets reach Jaccard ``least``.
 
-    ``texts (t, id)`` names a row that holds each text. The scan for the texts
+    ``texts (u, t, id)`` names a row that holds each text. The scan for the texts
     is thinned out by a broadcast of at most ``THINNING`` numbers. A centre of
     many pairs is sent to a place for each ``PAIRS_PLACE`` of them.
     """
@@ -276,26 +303,35 @@ def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, least: float)
     numbered = lookup(pairs, counts.withColumn("of", F.col("n")), ["a"], "n", "b").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.floor((F.col("of") - 1) / PAIRS_PLACE) + 1).alias("at")
     )
-    needed = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    wanted = needed.join(texts, "t").select("t", F.pmod(F.xxhash64("id", "t"), F.lit(THINNING)).alias("_thin"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    thin = F.pmod(F.xxhash64("id", "t"), F.lit(THINNING)).alias("_thin")
+    wanted = cut_lineage(needed.join(texts, "u").select("u", "t", thin))
     rows = docs.select("text", text_key(F.col("text")).alias("t"), F.col("doc_id").cast("long").alias("id"))
-    rows = rows.withColumn("_thin", F.pmod(F.xxhash64("id", "t"), F.lit(THINNING)))
-    thinned = rows.join(F.broadcast(wanted.select("_thin").distinct()), "_thin", "left_semi")
-    found = cut_texts(thinned.select("t", "text").join(needed, "t", "left_semi").dropDuplicates(["t"]))
+    thinned = rows.select("t", "text", thin).join(F.broadcast(wanted.select("_thin").distinct()), "_thin", "left_semi")
+    found = cut_texts(thinned.join(wanted.select("u", "t"), "t").select("u", "text").dropDuplicates(["u"]))
     places = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PAIRS_PLACE)))
-    left = counts.select("a", places.alias("at")).join(
-        found.select(F.col("t").alias("a"), F.col("text").alias("l")), "a"
-    )
-    right = found.select(F.col("t").alias("b"), F.col("text").alias("r"))
+    none = F.lit(None).cast("long").alias("b")
+    left = counts.select("a", places.alias("at")).join(found.withColumnRenamed("u", "a"), "a")
+    right = numbered.join(found.withColumnRenamed("u", "b"), "b")
+    # The centre's text comes once a place, before the texts it is compared with.
+    rows = left.select("a", "at", none, "text").unionByName(right.select("a", "at", "b", "text"))
+    placed = rows.repartition("a", "at").sortWithinPartitions("a", "at", F.col("b").asc_nulls_first())
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = jaccard(batch.column("l"), batch.column("r")) >= least - 1e-12
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return numbered.join(right, "b").join(left, ["a", "at"]).select("a", "b", "l", "r").mapInArrow(
-        passed, "a string, b string"
-    )
+        centre = np.zeros(0, np.uint64)
+        for batch in _slices(batches):
+            firsts, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            kept = []
+            for a, b, own in zip(firsts, others, shingle_sets(batch.column("text"))):
+                if b is None:
+                    centre = own
+                elif jaccard(centre, own) >= least - 1e-12:
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"]
+            )
+
+    return placed.mapInArrow(passed, "a long, b long")
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -308,46 +344,41 @@ def cut_texts(texts: DataFrame) -> DataFrame:
 def classes(marked: DataFrame, docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """``(t, class_id)`` of every text: the smallest doc_id of its near-duplicates.
 
-    ``marked (doc_id, t, fingerprint)`` has a row per row of ``docs``. Texts are
-    near-duplicates when a chain of pairs that share a band and reach Jaccard
-    ``least`` joins them; equal texts always are. Null ids count only where a
-    class has no other; its class_id is null then.
+    ``marked (doc_id, t, fingerprint, n_shingles)`` has a row per row of
+    ``docs``. Texts are near-duplicates when a chain of pairs that share a band
+    and reach Jaccard ``least`` joins them; equal texts always are. Null ids
+    count only where a class has no other; its class_id is null then.
     """
-    texts = cut_lineage(
-        marked.groupBy("t").agg(F.min("doc_id").alias("id"), F.first("fingerprint").alias("fingerprint"))
+    signed = F.unhex(F.first("fingerprint")).alias("signed")
+    texts = cut_texts(
+        marked.groupBy("t")
+        .agg(F.min("doc_id").alias("id"), signed, F.first("n_shingles").alias("k"))
+        .withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 30)).cast("int"))
+        .withColumn("u", F.monotonically_increasing_id())
     )
-    keyed = band_rows(texts.where(F.col("fingerprint") != "f" * (_DIGITS * PERMUTATIONS)))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = cut_lineage(lookup(keyed, sizes.withColumn("size", F.col("n")), ["key"], "n", "t", how="inner"))
-    rows = rows.withColumnRenamed("size", "n")
-    named = texts.select("t", "id")
-    parts = links = done = None
-    number = 1
+    named = texts.select("u", "t", "id")
+    keyed = band_rows(texts.where("k > 0"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("y")).where(F.col("n") > 1)
+    rows = cut_lineage(lookup(keyed, sizes.withColumn("size", F.col("n")), ["key"], "n", "x", how="inner"))
+    # First everything is compared with the lowest text of its bucket.
+    pairs, links, parts = rows.select("x", "y"), None, None
+    rows, before, number = rows.select("key", "x", F.col("size").alias("n")), 0, 1
     while True:
-        state = rows.drop("c") if parts is None else rows.drop("c").join(parts, "t", "left")
-        state = state.withColumn("c", F.col("t") if parts is None else F.coalesce("component", "t"))
-        opened = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n"))
-        opened = opened.where(F.col("lo") < F.col("hi"))
-        most = opened.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        rows = cut_lineage(lookup(state.drop("n", "component"), opened.select("key", "n", F.col("n").alias("of")), ["key"], "n", "t", how="inner").withColumnRenamed("of", "n"))
-        pairs = _pairs_with_centres(rows, number)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        passed = cut_lineage(verified(pairs, docs, named, least))
+        passed = cut_lineage(verified(cut_lineage(_possible(pairs, least)), docs, named, least))
         links = passed if links is None else links.unionByName(passed)
-        parts = cut_lineage(
-            connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        ).select(F.col("id").alias("t"), "component")
-        if number >= most:
+        parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        # With two rows, or no more than there were centres, all pairs are compared.
+        left = rows.where(F.col("n") > max(number, 2)).join(parts.withColumnRenamed("id", "u_"), F.col("x.u") == F.col("u_"), "left")
+        state = left.select("key", "x", "n", F.coalesce("component", "x.u").alias("c"))
+        opened = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n"))
+        opened = cut_lineage(opened.where(F.col("lo") < F.col("hi")).select("key", "n", F.lit(True).alias("open")))
+        if opened.isEmpty():
             break
-        number *= GROWTH
-    if parts is None:
-        return named.withColumnRenamed("id", "class_id")
-    joined = named.join(parts, "t", "left").withColumn("component", F.coalesce("component", "t"))
+        before, number = (0, GROWTH) if number == 1 else (number, number * GROWTH)
+        rows = cut_lineage(lookup(state, opened, ["key"], "n", "x", how="inner").drop("open"))
+        pairs = _with_centres(rows, before, number)
+        rows = rows.drop("c")
+    joined = named.join(parts.withColumnRenamed("id", "u"), "u", "left").withColumn("component", F.coalesce("component", "u"))
     lowest = joined.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     return lookup(joined, lowest, ["component"], "n", "t").select("t", "class_id")
 
@@ -359,9 +390,9 @@ def near_duplicates(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     smallest doc_id, a document without near-duplicates by its own.
     """
     marked = fingerprints(docs)
-    found = classes(marked.select("doc_id", "t", "fingerprint"), docs, least)
+    found = classes(marked.select("doc_id", "t", "fingerprint", "n_shingles"), docs, least)
     copies = marked.groupBy("t").agg(F.count("*").alias("n"))
-    return lookup(marked, found.join(copies, "t"), ["t"], "n", "doc_id").drop("t")
+    return lookup(marked, found.join(copies, "t"), ["t"], "n", "doc_id").drop("t", "n_shingles")
 
 
 @query()
