@@ -145,8 +145,10 @@ def web_of_science_records(spark, folder):
 
 @query(
     """
-    SELECT 'The {' || p_name || '} case' AS title, '' AS abstract, 'Doe, J; ' || p_brand AS authors,
-           p_type || '; ' || p_name AS keywords, CASE WHEN p_size % 2 = 0 THEN p_brand || ' Letters' ELSE '' END AS source,
+    SELECT 'The {' || p_name || '} case' AS title,
+           CASE WHEN p_size % 2 = 1 THEN 'end' || p_partkey ELSE '' END AS abstract, 'Doe, J; ' || p_brand AS authors,
+           p_type || '; ' || p_name AS keywords,
+           CASE WHEN p_size % 2 = 0 THEN p_brand || ' Sons Ltd Letters' ELSE '' END AS source,
            CAST(1990 + p_size AS INTEGER) AS year,
            CASE WHEN p_size % 3 = 0 THEN 'N/A' ELSE '10.1/' || p_partkey END AS doi,
            CASE WHEN p_size % 3 = 0 THEN 'N/A' WHEN p_size % 3 = 1 THEN 'https://doi.org/10.1/' || p_partkey
@@ -158,13 +160,20 @@ def web_of_science_records(spark, folder):
 def bibtex_records(spark, folder):
     size, key = F.col("p_size"), F.col("p_partkey")
     empty = F.lit("")
+
+    def string(name, value):
+        told = F.lit(value) if isinstance(value, str) else value
+        return F.concat(F.lit("@string{" + name), key, F.lit(" = "), told, F.lit("}\n"))
+
     entry = F.concat(
-        # Every row defines a macro, every third uses that of the row; some use parentheses.
-        F.lit("@string{pub"),
-        key,
-        F.lit(' = "'),
-        "p_brand",
-        F.lit('"}\n'),
+        # Every row defines a chain of macros, its first one twice before and once after the entry,
+        # and two macros in a circle; some entries use parentheses.
+        string("pub", '"aaa"'),
+        string("pub", F.concat(F.lit('"'), "p_brand", F.lit('"'))),
+        string("own", F.concat(F.lit("pub"), key, F.lit(' # " Sons"'))),
+        string("firm", F.concat(F.lit("OWN"), key, F.lit(' # " " # {Ltd}'))),
+        string("ring", F.concat(F.lit("end"), key)),
+        string("end", F.concat(F.lit("ring"), key)),
         F.when(size % 5 == 0, "@article(k").otherwise("@article{k"),
         key,
         F.lit(",\n  title = {The {"),
@@ -172,7 +181,8 @@ def bibtex_records(spark, folder):
         F.lit('} case},\n  author = "Doe, J and '),
         "p_brand",
         F.lit('",\n'),
-        F.when(size % 2 == 0, F.concat(F.lit("  journal = PUB"), key, F.lit(' # { } # "Letters",\n'))).otherwise(empty),
+        F.when(size % 2 == 0, F.concat(F.lit("  journal = FIRM"), key, F.lit(' # { } # "Letters",\n'))).otherwise(empty),
+        F.when(size % 2 == 1, F.concat(F.lit("  abstract = end"), key, F.lit(",\n"))).otherwise(empty),
         F.when(size % 3 != 0, F.concat(F.lit("  doi={10.1/"), key, F.lit("},\n"))).otherwise(empty),
         F.when(size % 3 == 2, F.concat(F.lit("  url = {https://example.org/"), key, F.lit("},\n"))).otherwise(empty),
         F.lit("  keywords = {"),
@@ -182,6 +192,7 @@ def bibtex_records(spark, folder):
         F.lit("},\n  year = "),
         size + 1990,
         F.when(size % 5 == 0, "\n)\n").otherwise("\n}\n"),
+        string("pub", '"zzz"'),
     )
     comment = F.lit("@comment{nothing}\n")
     texts = table(spark, folder, "part").select(

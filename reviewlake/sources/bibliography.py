@@ -108,6 +108,9 @@ _KEY = re.compile(r"[^,={}()\"]*,")
 _NAME = re.compile(r"[\s,]*([^\s=,{}()\"#]+)\s*=\s*")
 _BARE = re.compile(r"[^\s,#{}()\"]+")
 _JOIN = re.compile(r"\s*#\s*")
+_MARKS = re.compile(r'[{}"]')
+# Where an entry stands in its file: the start of the split, the row, the entry of the row.
+_SPOT = "struct<split:bigint,row:bigint,at:int>"
 _PARTS = "array<struct<name:string,macro:boolean,text:string>>"
 
 
@@ -118,6 +121,7 @@ def _entry_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "filename": batch["filename"],
+                "spot": batch["spot"],
                 "kind": [kind for kind, _ in cut],
                 "parts": [parts for _, parts in cut],
             }
@@ -127,8 +131,8 @@ def _entry_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _delimited(text: str, at: int) -> tuple[str, int]:
     """The braced or quoted part that opens at a place, and the place behind it."""
     quoted, depth = text[at] == '"', 0
-    for mark in re.finditer(r'[{}"]', text[at + 1 :]):
-        end = at + 1 + mark.start()
+    for mark in _MARKS.finditer(text, at + 1):
+        end = mark.start()
         if depth == 0 and mark.group() == ('"' if quoted else "}"):
             return text[at + 1 : end], end + 1
         depth += {"{": 1, "}": -1}.get(mark.group(), 0)
@@ -172,59 +176,91 @@ def _text_of(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: p["text"]), "")
 
 
-def _without_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
-    """Entries ``(id, filename, parts)`` with the values of their macros filled in.
+def _with_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
+    """Entries ``(id, filename, spot, parts)`` with the values of their macros filled in.
 
-    Only the uses of macros move; unknown names stand for themselves.
+    ``macros (filename, macro, spot, value)`` are the definitions; a null value
+    is one that is not known yet. The last definition before an entry is the one
+    in force there. A name that has none is a month or stands for itself; a use
+    of a value that is not known yet stays. Only the uses of macros move, and
+    the definitions of one name in one file are one row.
     """
     uses = (
-        entries.select("id", "filename", F.explode(F.filter("parts", lambda p: p["macro"])).alias("p"))
-        .select("id", "filename", F.lower("p.text").alias("macro"))
+        entries.select("id", "filename", "spot", F.explode(F.filter("parts", lambda p: p["macro"])).alias("p"))
+        .select("id", "filename", "spot", F.lower("p.text").alias("macro"))
         .distinct()
     )
     counts = uses.groupBy("filename", "macro").agg(F.count("*").alias("n"))
-    weighed = macros.join(counts, ["filename", "macro"])
-    known = lookup(uses, weighed, ["filename", "macro"], "n", "id", how="inner")
-    known = known.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("macro", "value"))).alias("_known")
+    defined = macros.groupBy("filename", "macro").agg(
+        F.collect_list(F.struct("spot", F.struct("value").alias("known"))).alias("all")
     )
+    found = lookup(uses, defined.join(counts, ["filename", "macro"]), ["filename", "macro"], "n", "id", how="inner")
+    force = F.array_max(F.filter("all", lambda d: d["spot"] < F.col("spot")))["known"].alias("known")
+    known = (
+        found.select("id", "macro", force).where(F.col("known").isNotNull())
+        .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("macro", "known"))).alias("_known"))
+    )
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
 
     def filled(p: Column) -> Column:
         name = F.lower(p["text"])
-        value = F.coalesce(F.col("_known")[name], months[name], p["text"])
-        return p.withField("text", F.when(p["macro"], value).otherwise(p["text"]))
+        own = F.col("_known")[name]
+        value = F.when(own.isNotNull(), own["value"]).otherwise(F.coalesce(months[name], p["text"]))
+        ready = p["macro"] & value.isNotNull()
+        return p.withField("text", F.when(ready, value).otherwise(p["text"])).withField("macro", p["macro"] & ~ready)
 
     return entries.join(known, "id", "left").select(
-        "id", "filename", F.transform("parts", filled).alias("parts")
+        "id", "filename", "spot", F.transform("parts", filled).alias("parts")
     )
 
 
+def _definitions(strings: DataFrame) -> DataFrame:
+    """``(filename, macro, spot, value)`` of macro entries, however long their chains are.
+
+    A definition may use macros that are defined before it, so a round fills in
+    the values that are known by then, and there can be no cycle: a name in its
+    own definition is the one before, or stands for itself. There are as many
+    rounds as the longest chain has links.
+    """
+    open_ = F.exists("parts", lambda p: p["macro"])
+    # The name stays with the first part, whatever becomes of the parts.
+    while True:
+        named = strings.select(
+            "filename",
+            F.col("parts")[0]["name"].alias("macro"),
+            "spot",
+            F.when(~open_, _text_of(F.col("parts"))).alias("value"),
+        )
+        if strings.where(open_).isEmpty():
+            return named
+        strings = cut_lineage(_with_macros(strings, named))
+
+
 def parse_bibtex(texts: DataFrame) -> DataFrame:
     """Records of BibTeX text ``(filename, value)``, one row per file or chunk.
 
-    Entries are cut out and spread by Spark; only the scan of one entry runs in
-    Python. Macros hold for their file, whatever chunk defines them; a macro may
-    be built from macros that are plain text. Of several definitions the first
-    in text order holds. Parts joined by ``#`` are one value.
+    Chunks of one file are in order by the column ``split`` where there is one,
+    and by their rows inside it. Entries are cut out and spread by Spark; only
+    the scan of one entry runs in Python. The definition of a macro in force at
+    an entry is the last one before it in its file; definitions may be built
+    from others. Parts joined by ``#`` are one value.
     """
-    entries = texts.select(
-        "filename", F.explode(F.split("value", r"(?m)^\s*(?=@)")).alias("entry")
+    split = F.col("split").cast("long") if "split" in texts.columns else F.lit(0).cast("long")
+    chunks = texts.select(
+        "filename",
+        split.alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+        F.posexplode(F.split("value", r"(?m)^\s*(?=@)")).alias("at", "entry"),
     ).where(F.col("entry").rlike(r"(?is)^\s*@\s*(?!comment|preamble)\w+\s*[{(]"))
-    scanned = entries.mapInPandas(_entry_parts, f"filename string, kind string, parts {_PARTS}")
+    entries = chunks.select("filename", F.struct("split", "row", "at").alias("spot"), "entry")
+    scanned = entries.mapInPandas(_entry_parts, f"filename string, spot {_SPOT}, kind string, parts {_PARTS}")
     # Written once, since the ids have to stay the same for all readers.
     placed = cut_lineage(scanned.withColumn("id", F.monotonically_increasing_id()))
     strings = placed.where((F.col("kind") == "string") & (F.size("parts") > 0))
-    nested = F.exists("parts", lambda p: p["macro"])
-
-    def values(rows: DataFrame) -> DataFrame:
-        named = rows.select("filename", F.col("parts")[0]["name"].alias("macro"), "parts")
-        return named.groupBy("filename", "macro").agg(F.min(_text_of(F.col("parts"))).alias("value"))
-
-    plain = values(strings.where(~nested))
-    built = values(_without_macros(strings.where(nested), plain))
-    macros = plain.unionByName(built).groupBy("filename", "macro").agg(F.min("value").alias("value"))
-    records = _without_macros(placed.where(F.col("kind") != "string"), macros)
+    records = placed.where(F.col("kind") != "string").select("id", "filename", "spot", "parts")
+    # Most files use no macro; then nothing moves.
+    if not records.where(F.exists("parts", lambda p: p["macro"])).isEmpty():
+        records = _with_macros(records, _definitions(strings.select("id", "filename", "spot", "parts")))
 
     def field(name: str) -> Column:
         own = F.filter("parts", lambda p: p["name"] == name)
@@ -254,6 +290,7 @@ def read_bibtex(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     raw = spark.read.option("lineSep", "\n@").text(path if isinstance(path, str) else list(path))
     entries = raw.select(
         file_stem(F.col("_metadata.file_path")).alias("filename"),
+        F.col("_metadata.file_block_start").alias("split"),
         F.when(F.startswith(F.ltrim("value"), F.lit("@")), F.col("value"))
         .otherwise(F.concat(F.lit("@"), F.col("value")))
         .alias("value"),

@@ -158,3 +158,31 @@ def test_years_are_whole(spark):
     )
     with pytest.raises(Exception, match="whole year"):
         bib.normalise(df).collect()
+
+
+def test_bibtex_macros_hold_from_where_they_are_defined(spark, tmp_path):
+    """A file of many splits in which one macro is defined anew before every entry."""
+    lines, want = [], {}
+    for i in range(60):
+        lines.append('@string{base = "v%d"}\n@string{mid = base # "-mid"}\n@string{top = "<" # MID # ">"}' % i)
+        lines.append("@article{k%d,\n title = {T%d},\n journal = top,\n year = 2000\n}" % (i, i))
+        want[f"T{i}"] = f"<v{i}-mid>"
+    lines.append("@string{self = self # {!}}\n@article{z, title = {Z}, journal = self, abstract = later, year = 1999}")
+    lines.append("@string{later = {too late}}")
+    want["Z"] = "self!"
+    (tmp_path / "many.bib").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = bib.read_bibtex(spark, str(tmp_path / "many.bib"))
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["title"]: r["source"] for r in rows} == want
+    assert next(r["abstract"] for r in rows if r["title"] == "Z") == "later"
+
+
+def test_bibtex_long_chain_of_macros(spark):
+    chain = ["@string{m0 = {x}}"] + ["@string{m%d = m%d # {y}}" % (i, i - 1) for i in range(1, 8)]
+    text = "\n".join(chain) + "\n@book{b, title = m7, year = 2001}"
+    (row,) = bib.parse_bibtex(spark.createDataFrame([("f", text)], "filename string, value string")).collect()
+    assert row["title"] == "x" + "y" * 7
