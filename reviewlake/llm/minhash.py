@@ -288,8 +288,8 @@ def _with_centres(rows: DataFrame, before: int, number: int) -> DataFrame:
     )
     spread = rows.select("key", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     met = lookup(spread, centres, ["key", "slot"], "n", "x", how="inner")
-    pairs = met.select("x", "c", F.explode("centres").alias("m")).where(F.col("c") != F.col("m.c"))
-    return pairs.select("x", F.col("m.x").alias("y"))
+    apart = F.filter("centres", lambda m: m["c"] != F.col("c"))
+    return met.select("x", F.explode(F.transform(apart, lambda m: m["x"])).alias("y"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
