@@ -34,7 +34,7 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr br".split()
 )
 # Their content is no text of the page.
-SILENT = frozenset("script style template noscript title svg math iframe object canvas audio video head".split())
+SILENT = frozenset("script style template noscript title svg math iframe object canvas audio video head textarea".split())
 # A start of the key ends an open element of the value.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -65,6 +65,7 @@ for _i, _g in enumerate(NAME_GROUPS):
     for _t in _g.split():
         _NAME.setdefault(_t, []).append(_i)
 _TOKEN = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _FURNITURE = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign up|log in|advert|sponsored", re.I)
 N_TAGS, N_NAMES = len(TAG_GROUPS) + 1, len(NAME_GROUPS)
 LENGTHS = (10, 25, 50, 100, 200, 400)
@@ -104,9 +105,30 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tree, self.page = tree, page
         self.open: list[tuple[str, int, bool]] = [("body", tree.add(-1, ELEMENT, [0, 1 + _TAG["body"]], page), False)]
+        # Where elements of a tag, and those of SCOPE, are open: no end tag has to walk the stack.
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
         self.pieces: list[str] = []
         self.link, self.linked, self.silent = 0, 0, []
 
+    def push(self, tag: str, node: int, main: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, node, main))
+
+    def close_from(self, at: int) -> None:
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def last_open(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
     def end_run(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
@@ -137,14 +159,13 @@ class _Reader(HTMLParser):
         if self.open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and (
             self.open[-1][0] == "p" or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         ):
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
         if tag in CLOSES:
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at][0] in CLOSES[tag]:
-                    del self.open[at:]
-                    break
-                if self.open[at][0] in SCOPE:
-                    break
+            # The innermost one, unless an element of SCOPE is open within it.
+            at = max(map(self.last_open, CLOSES[tag]))
+            inner = self.scopes[-1]
+            if at and (at > inner or (at == inner and self.open[at][0] in CLOSES[tag])):
+                self.close_from(at)
         if tag in ("html", "body"):
             return
         _, parent, main = self.open[-1]
@@ -155,14 +176,14 @@ class _Reader(HTMLParser):
             elif name in ("class", "id", "role", "aria-label", "itemprop") and value:
                 for token in set(_TOKEN.findall(value.lower())):
                     features.extend(1 + N_TAGS + g for g in _NAME.get(token, ()))
-            elif name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "")):
+            elif name == "hidden" or (name == "style" and value and _UNSEEN.search(value)):
                 features.append(1 + N_TAGS + N_NAMES)
         if tag not in ("p", "div", "section"):
             features.append(1 + N_TAGS + N_NAMES + 1)
         # What the parent is.
         around = 1 + N_TAGS + N_NAMES + 2 + N_TEXT
         features.append(around + _TAG.get(self.open[-1][0], N_TAGS - 1))
-        self.open.append((tag, self.tree.add(parent, ELEMENT, sorted(set(features)), self.page, marked), marked))
+        self.push(tag, self.tree.add(parent, ELEMENT, sorted(set(features)), self.page, marked), marked)
 
     def handle_endtag(self, tag):
         if self.silent:
@@ -174,13 +195,15 @@ class _Reader(HTMLParser):
             self.link = max(0, self.link - (tag == "a"))
             return
         self.end_run()
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                self.link = 0
-                return
+        at = self.last_open(tag)
+        if at:
+            self.close_from(at)
+            self.link = 0
 
     def handle_data(self, data):
+        # Text ends a head whose end tag is missing.
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()
         if not self.silent:
             self.pieces.append(data)
             if self.link:
@@ -209,6 +232,38 @@ def _text_features(text: str, linked: int, tag: str) -> list[int]:
     return out
 
 
+# All that an element without any news about its content can have.
+_PLAIN_TAGS = {1 + _TAG["div"], 1 + _TAG["section"], 1 + N_TAGS - 1}
+_AROUND = 1 + N_TAGS + N_NAMES + 2 + N_TEXT
+_PLAIN = _PLAIN_TAGS | {0, 1 + N_TAGS + N_NAMES + 1} | set(range(_AROUND, N_FEATURES))
+_PLAIN_FORM = _PLAIN | {1 + _TAG["form"]}
+
+
+def _without_wrappers(tree: Tree) -> Tree:
+    """The tree without plain elements that hold a single node or are one.
+
+    Their state is that of the node, or of the element around them, by
+    definition, so nesting alone says nothing and must not move a marginal.
+    A form around all that a page holds is one of them.
+    """
+    children = [0] * len(tree.parent)
+    for parent in tree.parent:
+        if parent >= 0:
+            children[parent] += 1
+    out, place = Tree(), []
+    for node, parent in enumerate(tree.parent):
+        above = place[parent] if parent >= 0 else -1
+        lone = parent >= 0 and tree.kind[node] == ELEMENT and (children[node] == 1 or children[parent] == 1)
+        whole = lone and children[parent] == 1 and out.parent[above] < 0
+        plain = lone and (_PLAIN_FORM if whole else _PLAIN).issuperset(tree.features[node])
+        place.append(
+            above if plain else out.add(
+                above, tree.kind[node], tree.features[node], tree.page[node], tree.marked[node], tree.text[node]
+            )
+        )
+    return out
+
+
 def parse(htmls: list[str | None]) -> Tree:
     """The trees of many pages; a null or empty page has a root only."""
     tree = Tree()
@@ -217,7 +272,7 @@ def parse(htmls: list[str | None]) -> Tree:
         reader.feed(html or "")
         reader.close()
         reader.end_run()
-    return tree
+    return _without_wrappers(tree)
 
 
 @dataclass(frozen=True)
@@ -309,7 +364,7 @@ def main_texts(htmls: list[str | None], weights: Weights) -> list[str]:
     return ["\n\n".join(runs) for runs in kept]
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 720, seed: int = 7) -> list[str]:
     """Pages composed at random of article and furniture blocks; main text is marked."""
     r = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgk"
@@ -332,8 +387,19 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
         at = "" if r.random() < bare else r.choice([f' class="{name}"', f' id="{name}"', f' class="{word()} {name}-{word()}"'])
         return f"<{tag}{at}>{body}</{tag}>"
 
+    def wrapped(body: str, least: int = 0) -> str:
+        """Inside some elements that say nothing, with and without neighbours."""
+        for _ in range(max(least, r.choice([0, 0, 0, 1, 1, 2, 3, 4, 6]))):
+            tag = r.choice(["div", "div", "div", "div", "section", "center", "td", f"x-{word()}", word() + "q"])
+            at = r.choice(["", "", "", f' class="{word()}"', f' id="{word()}"'])
+            body = f"<table><tr><td{at}>{body}</td></tr></table>" if tag == "td" else f"<{tag}{at}>{body}</{tag}>"
+        return body
+
     def furniture() -> str:
-        kind = r.randrange(13)
+        return wrapped(bare_furniture()) if r.random() < 0.3 else bare_furniture()
+
+    def bare_furniture() -> str:
+        kind = r.randrange(14)
         note = sentences(1, 3)
         if kind == 0:
             return r.choice([f"<nav><ul>{links(3, 8)}</ul></nav>", named("div", NAME_GROUPS[0], f"<ul>{links(3, 8)}</ul>", 0.3)])
@@ -347,7 +413,7 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
             side = f"<h3>{words(1, 4)}</h3>" + r.choice([f"<ul>{links(2, 6)}</ul>", f"<p>{note}</p>"])
             return r.choice([f"<aside>{side}</aside>", named("div", NAME_GROUPS[3], side)])
         if kind == 4:
-            return named(r.choice(["div", "section", "dialog"]), "cookie consent notice gdpr popup newsletter subscribe alert", f"<p>{note}</p><button>{words(1, 2)}</button>" if r.random() < 0.6 else note)
+            return named(r.choice(["div", "section", "dialog"]), "cookie consent notice gdpr popup newsletter subscribe alert", f"<p>{note}</p><button>{words(1, 2)}</button>" if r.random() < 0.6 else note, 0.0)
         if kind in (5, 6):
             return named(r.choice(["div", "div", "section", "aside"]), "ad ads advert advertisement sponsored promo", r.choice([note, f"<p>{note}</p>", words(3, 9), f'<a href="/{word()}">{note}</a>']), 0.0)
         if kind == 7:
@@ -360,6 +426,9 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
             return named("div", "share social follow tags", f"<ul>{links(2, 5)}</ul>")
         if kind == 11:
             return f"<!-- {note} --><script>var t='<p>{word()}</p>';</script><style>p{{margin:0}}</style><noscript>{note}</noscript>"
+        if kind == 12:
+            unseen = r.choice([" hidden", ' style="display:none"', ' style="margin: 0; display: none;"'])
+            return f"<{(t := r.choice(['div', 'p', 'section']))}{unseen}>{sentences(1, 5)}</{t}>"
         return named("div", "related recommended popular", f"<h4>{words(1, 3)}</h4><ul>{links(2, 6)}</ul>")
 
     def block() -> str:
@@ -389,24 +458,50 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(count):
-        body = [block() for _ in range(r.choice([1, 2, 3, 5, 8, 12]))]
+        body = [block() for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12]))]
+        shape = r.random()
+        if shape < 0.12:
+            # All blocks are divs, some of them deep.
+            body = [wrapped(f'<div data-main="1">{sentences(1, 4) if r.random() < 0.7 else words(1, 8)}</div>') for _ in body]
+        elif shape < 0.18:
+            # One element whose lines end with br.
+            body = ['<div data-main="1">' + "<br><br>".join(sentences(1, 4) for _ in body) + "</div>"]
+        elif shape < 0.3:
+            body = [wrapped(b) if r.random() < 0.5 else b for b in body]
+        while len(body) > 1 and r.random() < 0.45:
+            # Consecutive blocks share a plain element, at times several levels of them.
+            at, size = r.randint(0, len(body) - 2), r.randint(2, len(body))
+            body[at : at + size] = [wrapped("".join(body[at : at + size]), 1)]
         if r.random() < 0.35:
             body.insert(r.randint(0, len(body)), furniture())
         heading = f'<h1 data-main="1">{words(2, 9)}</h1>' * (r.random() < 0.8)
-        inside = heading + "".join(body)
+        inside = heading + (wrapped("".join(body)) if r.random() < 0.4 else "".join(body))
+        if r.random() < 0.3:
+            inside = wrapped(inside)
         wrap = r.random()
-        if wrap < 0.45:
+        if wrap < 0.35:
             inside = f"<article>{inside}</article>"
-        elif wrap < 0.6:
+        elif wrap < 0.47:
             inside = f"<main>{inside}</main>"
-        else:
+        elif wrap < 0.72:
             inside = named("div", "article content post entry story main", inside, 0.25)
+        if r.random() < 0.35:
+            inside = wrapped(inside)
         if r.random() < 0.4:
             inside = named(r.choice(["div", "main", "section"]), "wrapper page container content", inside + furniture() * (r.random() < 0.3), 0.4)
-        before = [furniture() for _ in range(r.randint(0, 4))]
-        after = [furniture() for _ in range(r.randint(0, 4))]
+        # A page may have nothing around its text.
+        most = r.choice([0, 0, 4, 4, 4])
+        before = [furniture() for _ in range(r.randint(0, most))]
+        after = [furniture() for _ in range(r.randint(0, most))]
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(2, 6)}</title></head>" * (r.random() < 0.9)
-        pages.append(f"{head}<body>{''.join(before)}{inside}{''.join(after)}</body></html>")
+        if r.random() < 0.04:
+            # Nothing but furniture.
+            inside = ""
+        whole = "".join(before) + inside + "".join(after)
+        if r.random() < 0.2:
+            # Some sites put the whole page into one form.
+            whole = f'<form method="post" action="/{word()}" id="{word()}Form">{whole}</form>'
+        pages.append(f"{head}<body>{whole}</body></html>")
     return pages
 
 
@@ -416,7 +511,12 @@ def default_weights() -> Weights:
 
 
 def main_text(html: Column, weights: Weights | None = None) -> Column:
-    """The main text of a page as one string; empty for null, empty and text-free pages."""
+    """The main text of a page as one string; empty for null, empty and text-free pages.
+
+    Depends on the page alone: repeated pages have equal texts, and other
+    columns of the table are not read. Pages of any length are read whole; up
+    to 128 trees are held at once. A marginal of exactly one half is left out.
+    """
     fitted = weights or default_weights()
 
     @F.arrow_udf("string")

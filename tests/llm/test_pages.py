@@ -3,6 +3,7 @@
 import base64
 import datetime
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +28,35 @@ def test_article_of_a_page():
     assert text[1:4] == ["", "", ""]
 
 
+P = "The quick brown fox jumps over the lazy dog while the sun sets slowly."
+BY_HAND = [
+    (f'<div class="content"><div><div><p>{P}</p><p>{P}</p></div></div></div>', [P, P]),
+    (f"<center><font><p>{P}</p></font></center>", [P]),
+    ("<article><div>Text one</div><div>Text two</div></article>", ["Text one", "Text two"]),
+    (f"<article><div><div><p>{P}</p><p>{P}</p></div></div></article>", [P, P]),
+    (f'<form id="aspnetForm"><h1>A head</h1><p>{P}</p></form>', ["A head", P]),
+    (f"<html><head><title>T</title>{P}<p>{P}</p>", [P, P]),
+    (f"<p>{P}</p><textarea>typed words here. And more.</textarea>", [P]),
+    (f'<article><p>{P}</p><div style="display: none"><p>{P} Unseen.</p></div></article>', [P]),
+    ("<div>" * 30 + f"<p>{P}</p>" + "</div>" * 30, [P]),
+    (f"<body>{P}<br><br>{P}</body>", [f"{P} {P}"]),
+    (f'<form action="/s"><label>Name</label><input><p>Please send us your name.</p></form><p>{P}</p>', [P]),
+    (f'<div><div><p>{P}</p></div></div><div class="comments"><div><p>{P} I agree.</p></div></div>', [P]),
+    ("<form><label>Name</label><input><button>Send</button></form>", []),
+]
+
+
+@pytest.mark.parametrize("html, blocks", BY_HAND)
+def test_pages_the_composer_can_not_make(html, blocks):
+    assert h.main_texts([html], h.default_weights()) == ["\n\n".join(blocks)]
+
+
+def test_stray_end_tags_take_linear_time():
+    start = time.perf_counter()
+    tree = h.parse(["<div>" * 2_000 + "</x>" * 8_000 + "<li></li>" * 8_000 + "<p>text"])
+    assert time.perf_counter() - start < 2 and tree.text[-1] == "text"
+
+
 def test_held_out_pages_of_the_composer():
     tree = h.parse(h.labelled_pages(120, seed=1234))
     p, _ = h._Graph(tree).marginals(h.default_weights())
