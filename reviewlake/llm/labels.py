@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Most labelled documents a classifier is trained on: those with the lowest
-# hashes of their ids, so the sample does not depend on the order of rows.
+# Most labelled ids, and most different rows of theirs, a classifier is trained
+# on: those with the lowest hashes, so the sample does not depend on the order of rows.
 SAMPLE_ROWS = 20_000
 
 
@@ -20,12 +20,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, keep: Column, sample: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """``(doc_id, text, y)`` of the bounded sample.
+    """``(doc_id, digest, text, y)`` of the bounded sample, ``digest`` a hash of the text.
 
     ``keep`` says by ``doc_id`` which labels may be used. Several labels of one
-    document count as the largest; a document that has several rows gives as
-    many examples. The sampled ids are at most ``sample`` rows, so they are
-    broadcast.
+    document count as the largest. Different texts under one id are as many
+    examples, equal rows are one, and ``sample`` bounds ids and examples alike,
+    so an id with very many rows brings no more than that. Both lists are of at
+    most ``sample`` rows and broadcast. Null texts are examples too; other
+    columns are not read; without labels or documents the sample is empty.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
@@ -34,4 +36,14 @@ def training_rows(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    examples = (
+        rows.select("doc_id", "digest")
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "digest")
+        .agg(F.first("y").alias("y"))
+        .orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest")
+        .limit(sample)
+    )
+    # Equal hashes of different texts, should there be any, count as one text.
+    return rows.join(F.broadcast(examples), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])

@@ -174,9 +174,11 @@ def mix(
     sum of tokens in the order of the epoch is within what is left; equal rows
     are in it together or not at all. Rows without tokens are used like others
     of their place; a leaf without tokens gets no budget and no rows. Columns
-    of ``docs`` that have the name of an added one are replaced.
+    of ``docs`` that have the name of an added one are replaced; any other
+    names are allowed. An empty table gives no rows.
     """
     docs = docs.drop("mix_domain", "mix_epochs", "mix_tokens")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     leaf = leaf_columns()
     keys = [c.alias(f"__mix_{k}") for k, c in leaf.items()]
     names = [f"__mix_{k}" for k in leaf]
@@ -222,10 +224,11 @@ def mix(
     plans = cut_lineage(plans.join(last, names, "left"))
     at, slice_ = _order(seed), F.shiftright(_order(seed), 63 - SLICE_BITS)
     in_prefix = (slice_ < F.col("_cut_slice")) | (at <= F.coalesce("_last", F.lit(-1)))
-    marked = _with_plans(docs.select(*[F.col(f"`{c}`") for c in docs.columns], *keys), plans, names)
+    # Rows travel as one value, so no column of theirs meets one of the plans.
+    marked = _with_plans(docs.select("doc_id", "text", *keys, F.struct(*columns).alias("__mix_row")), plans, names)
     chosen = marked.withColumn("mix_epochs", F.col("_whole") + F.coalesce(in_prefix, F.lit(False)).cast("long"))
     return chosen.where(F.col("mix_epochs") > 0).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("__mix_row").getField(c).alias(c) for c in docs.columns],
         F.col("__mix_domain").alias("mix_domain"),
         "mix_epochs",
         tokens(F.col("text")).alias("mix_tokens"),

@@ -169,25 +169,30 @@ def fit_forest(
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_ROWS) -> Forest:
-    """Fit on at most ``sample`` labelled documents; only their statistics reach the driver."""
+    """Fit on at most ``sample`` labelled texts; only their statistics reach the driver."""
 
     def rows(batches):
         for batch in batches:
             stats = pa.array(list(statistics(batch.column("text"))), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), stats, batch.column("y")], ["doc_id", "x", "y"]
+                [batch.column("doc_id"), batch.column("digest"), stats, batch.column("y")],
+                ["doc_id", "digest", "x", "y"],
             )
 
     found = training_rows(docs, labels, "quality", keep, sample)
-    found = found.select(F.col("doc_id").cast("string"), "text", "y")
-    got = found.mapInArrow(rows, "doc_id string, x array<float>, y double").toPandas()
-    got = got.sort_values("doc_id", kind="stable")
+    found = found.select(F.col("doc_id").cast("string"), "digest", "text", "y")
+    got = found.mapInArrow(rows, "doc_id string, digest long, x array<float>, y double").toPandas()
+    got = got.sort_values(["doc_id", "digest"], kind="stable")
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), len(STATISTICS))
     return fit_forest(x, got["y"].to_numpy(np.float64))
 
 
 def quality_score(text: Column, forest: Forest) -> Column:
-    """Probability that a text is good; null and empty texts get a score as well."""
+    """Probability that a text is good; null and empty texts get a score as well.
+
+    Depends on the whole text alone: equal texts have equal scores, other
+    columns are not read, and an empty table gives no scores.
+    """
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
@@ -197,7 +202,11 @@ def quality_score(text: Column, forest: Forest) -> Column:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> DataFrame:
-    """The documents with a score of at least ``THRESHOLD``, columns unchanged."""
+    """The documents with a score of at least ``THRESHOLD``, columns unchanged.
+
+    Repeated rows stay or go together, null and empty texts by their score like
+    any other; columns may have any names, and an empty table gives an empty one.
+    """
     forest = train(docs, labels, F.lit(True) if keep is None else keep)
     return docs.where(quality_score(F.col("text"), forest) >= THRESHOLD)
 

@@ -339,7 +339,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Of several rows with that id the one with the smallest text hash stays, of
     equal rows one. A group without any id keeps the row with the smallest text
-    hash.
+    hash. Null and empty texts are one group; columns may have any names, and an
+    empty table gives an empty one.
     """
     rows, components = groups(docs)
     known = rows.join(components, "f")
@@ -355,14 +356,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.digest") == F.col("c.digest")),
         ).select("k.doc_id", "k.digest", "copies")
     )
-    name = "_digest"
-    while name in docs.columns:
-        name += "_"
+    # Rows travel as one value, so no column of theirs meets one of the ids.
+    whole = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def chosen(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_of"))
-        same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col(name) == F.col("_of"))
-        return docs.withColumn(name, F.xxhash64("text")).join(ids, same, "left_semi").drop(name)
+        same = F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("r.digest") == F.col("i.digest"))
+        kept = whole.alias("r").join(ids.alias("i"), same, "left_semi")
+        return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
     repeated = marked.where(F.col("copies") > 1)
     single = chosen(marked.where(F.col("copies") == 1))

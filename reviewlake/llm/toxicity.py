@@ -21,9 +21,9 @@ from reviewlake.llm.labels import SAMPLE_ROWS, held_out, training_rows
 from reviewlake.llm.registry import query, table
 
 THRESHOLD = 0.3
-# Most words that get a weight, the documents they must be in, and how far their
-# share among toxic documents must be from chance (chi-squared, one degree of freedom).
-VOCABULARY, LEAST_DOCS, LEAST_CHI2 = 2_048, 8, 30.0
+# The prior of the weights: a word has one if its share among toxic documents is as
+# far from chance as this (chi-squared, one degree of freedom); however many those are.
+LEAST_CHI2 = 30.0
 _STOPS = bt.separators(".!?\n\r")
 _RESULT = pa.struct(
     [("score", pa.float64()), ("sentence_score", pa.float64()), ("sentence_index", pa.int64()), ("sentence", pa.string())]
@@ -93,6 +93,18 @@ def _bags(data, offsets, words) -> tuple[Bags, np.ndarray, np.ndarray]:
     return bags, first[used], last[used]
 
 
+def slopes(model: Model, bags: Bags, y: np.ndarray) -> np.ndarray:
+    """Gradient of the mean log likelihood by the weights, the bias and the log of the leak."""
+    n = len(y)
+    logits = model.sentence_logits(bags)
+    total = np.maximum(model.unharmed(bags, logits), 1e-9)
+    # d(log likelihood)/d(total): -1 for clean documents.
+    slope = np.where(y > 0, 1 / np.expm1(np.minimum(total, 50)), -1.0)
+    at = slope[bags.sentence_row] / (1 + np.exp(-logits))
+    by_word = np.bincount(bags.entry_word, at[bags.entry_sentence], len(model.words))
+    return np.concatenate([by_word, [at.sum(), slope.sum() * model.leak]]) / n
+
+
 def fit(bags: Bags, y: np.ndarray, words: np.ndarray, steps: int = 400, ridge: float = 1e-5) -> Model:
     """Maximum likelihood of the document labels under noisy-or, by Adam."""
     n, width = len(y), len(words)
@@ -103,17 +115,8 @@ def fit(bags: Bags, y: np.ndarray, words: np.ndarray, steps: int = 400, ridge: f
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1) if n else ():
         model = Model(words, theta[:-2], theta[-2], np.exp(theta[-1]))
-        logits = model.sentence_logits(bags)
-        total = np.maximum(model.unharmed(bags, logits), 1e-9)
-        # d(log likelihood)/d(total): -1 for clean documents.
-        slope = np.where(y > 0, 1 / np.expm1(np.minimum(total, 50)), -1.0)
-        at = slope[bags.sentence_row] / (1 + np.exp(-logits))
-        gradient = np.concatenate(
-            [
-                np.bincount(bags.entry_word, at[bags.entry_sentence], width) / n - ridge * theta[:-2],
-                [at.sum() / n, slope.sum() * model.leak / n],
-            ]
-        )
+        gradient = slopes(model, bags, y)
+        gradient[:-2] -= ridge * theta[:-2]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         theta = theta + 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         theta[-2] = np.clip(theta[-2], -14, -8)
@@ -121,7 +124,7 @@ def fit(bags: Bags, y: np.ndarray, words: np.ndarray, steps: int = 400, ridge: f
 
 
 def _vocabulary(sample: DataFrame) -> np.ndarray:
-    """Words whose presence in a document says most about its label."""
+    """All words of the sample whose presence in a document tells of its label."""
 
     def counted(batches):
         for batch in batches:
@@ -156,22 +159,17 @@ def _vocabulary(sample: DataFrame) -> np.ndarray:
     expected = F.col("docs") * positive / n
     spread = expected * (1 - positive / n) * (n - F.col("docs")) / n
     chi2 = F.when(spread > 0, (F.col("toxic") - expected) ** 2 / spread).otherwise(0.0)
-    best = (
-        counts.where(F.col("docs") >= LEAST_DOCS)
-        .select("word", chi2.alias("chi2"))
-        .where(F.col("chi2") >= LEAST_CHI2)
-        .orderBy(F.desc("chi2"), "word")
-        .limit(VOCABULARY)
-    )
-    words = np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64)
+    # At most the different words of the bounded sample.
+    telling = counts.where(chi2 >= LEAST_CHI2).select("word").toPandas()
+    words = telling["word"].to_numpy(np.int64).view(np.uint64)
     return np.sort(words)
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample`` labelled documents.
+    """Fit on at most ``sample`` labelled texts.
 
-    The driver gets the chosen words and, for each sampled document, the places
-    of those words. With one label only, no word
+    The driver gets the words that have a weight and, for each sampled text, the
+    places of those words. With one label only, no word
     has a weight and all documents score about the share of label 1.
     """
     rows = training_rows(docs, labels, "toxic", keep, sample)
@@ -179,36 +177,37 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE
 
     def encoded(batches):
         for batch in batches:
-            y, ids, at = batch.column("y"), batch.column("doc_id"), 0
+            y, ids, digests, at = batch.column("y"), batch.column("doc_id"), batch.column("digest"), 0
             for data, offsets in bt.pieces(batch.column("text")):
                 n = len(offsets) - 1
                 bags, _, _ = _bags(data, offsets, words)
                 row = bags.sentence_row[bags.entry_sentence]
-                packed = (bags.sentence_number[bags.entry_sentence] << 16) | bags.entry_word
+                packed = (bags.sentence_number[bags.entry_sentence] << 32) | bags.entry_word
                 lists = np.split(packed, np.cumsum(np.bincount(row, minlength=n))[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, n),
+                        digests.slice(at, n),
                         pa.array(lists, pa.list_(pa.int64())),
                         pa.array(bags.sentences.astype(np.int64)),
                         y.slice(at, n),
                     ],
-                    ["doc_id", "entries", "sentences", "y"],
+                    ["doc_id", "digest", "entries", "sentences", "y"],
                 )
                 at += n
 
     got = (
-        rows.select(F.col("doc_id").cast("string"), "text", "y")
-        .mapInArrow(encoded, "doc_id string, entries array<long>, sentences long, y double")
+        rows.select(F.col("doc_id").cast("string"), "digest", "text", "y")
+        .mapInArrow(encoded, "doc_id string, digest long, entries array<long>, sentences long, y double")
         .toPandas()
-        .sort_values("doc_id", kind="stable")
+        .sort_values(["doc_id", "digest"], kind="stable")
     )
     lengths = np.array([len(e) for e in got["entries"]], np.int64)
     packed = np.concatenate([np.zeros(0, np.int64), *got["entries"]]).astype(np.int64)
     row = np.repeat(np.arange(len(got)), lengths)
-    key = np.stack([row, packed >> 16], axis=1).reshape(-1, 2)
+    key = np.stack([row, packed >> 32], axis=1).reshape(-1, 2)
     used, entry = np.unique(key, axis=0, return_inverse=True)
-    bags = Bags(used[:, 0], used[:, 1], entry.ravel(), packed & 0xFFFF, got["sentences"].to_numpy(np.int64))
+    bags = Bags(used[:, 0], used[:, 1], entry.ravel(), packed & 0xFFFFFFFF, got["sentences"].to_numpy(np.int64))
     return fit(bags, got["y"].to_numpy(np.float64), words)
 
 
@@ -252,7 +251,11 @@ def toxicity(text: Column, model: Model) -> Column:
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> DataFrame:
-    """The documents with a score below ``THRESHOLD``, columns unchanged."""
+    """The documents with a score below ``THRESHOLD``, columns unchanged.
+
+    Repeated rows stay or go together, null and empty texts have the leak as
+    their score; columns may have any names, and an empty table gives an empty one.
+    """
     model = train(docs, labels, F.lit(True) if keep is None else keep)
     return docs.where(toxicity(F.col("text"), model)["score"] < THRESHOLD)
 

@@ -117,3 +117,54 @@ def test_words_of_many_texts_equal_those_of_each():
             seen += [(int(r) + at, bytes(data[s:e]).decode(), int(h)) for s, e, r, h in zip(start, end, row, hashes)]
             at += len(offsets) - 1
         assert seen == [(i, w, bt.text_hash(w)) for i, x in enumerate(texts) for w in (x or "").split()]
+
+
+def test_noisy_or_and_its_slopes_next_to_plain_loops():
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(6)]
+    hashes = np.array([bt.text_hash(w) for w in vocabulary], np.uint64)
+    order = np.argsort(hashes)
+    words, weight = hashes[order], r.normal(1, 1, 6)
+    by_word = {vocabulary[i]: weight[k] for k, i in enumerate(order)}
+    texts = [
+        ". ".join(" ".join(r.choice([*vocabulary, "plain", "else"], r.integers(1, 5))) for _ in range(r.integers(1, 5)))
+        for _ in range(40)
+    ] + ["", None, "plain only."]
+    y = r.integers(0, 2, len(texts)).astype(float)
+
+    def scores(weights, bias, log_leak):
+        out = []
+        for text in texts:
+            clean = np.exp(-np.exp(log_leak))
+            for sentence in (text or "").split("."):
+                known = set(sentence.split()) & set(vocabulary)
+                if known:
+                    clean *= 1 - 1 / (1 + np.exp(-bias - sum(weights[w] for w in known)))
+            out.append(1 - clean)
+        return np.array(out)
+
+    model = t.Model(words, weight, -1.5, float(np.exp(-2.0)))
+    got = t.score_texts(pa.array(texts), model).field("score").to_numpy(zero_copy_only=False)
+    assert np.allclose(got, scores(by_word, -1.5, -2.0))
+
+    def likelihood(theta):
+        p = scores({vocabulary[i]: theta[k] for k, i in enumerate(order)}, theta[-2], theta[-1])
+        return np.mean(np.where(y > 0, np.log(p), np.log1p(-p)))
+
+    ((data, offsets),) = bt.pieces(pa.array(texts))
+    bags, _, _ = t._bags(data, offsets, words)
+    theta, want = np.concatenate([weight, [-1.5, -2.0]]), []
+    for i in range(len(theta)):
+        step = np.eye(len(theta))[i] * 1e-6
+        want.append((likelihood(theta + step) - likelihood(theta - step)) / 2e-6)
+    assert np.allclose(t.slopes(model, bags, y), want, atol=1e-6)
+
+
+def test_an_id_with_very_many_rows_stays_within_the_sample(spark):
+    docs = spark.range(100_000).select(
+        F.when(F.col("id") < 99_000, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id") % 50_000).alias("text"),
+    )
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).distinct()
+    rows = training_rows(docs, labels, "quality", F.lit(True), sample=300).collect()
+    assert len(rows) == 300 and len({(r["doc_id"], r["text"]) for r in rows}) == 300

@@ -97,3 +97,13 @@ def test_each_leaf_has_whole_epochs_and_a_prefix(spark, monkeypatch, broadcast):
 
 def test_empty_table(spark):
     assert m.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_of_working_columns_may_be_there(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA).drop("mix_epochs")
+    names = ["_whole", "_rest", "_cut_slice", "_before", "_last", "_order", "_slice", "domain", "tokens", "__mix_domain"]
+    more = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got, want = m.mix(more), m.mix(docs)
+    assert got.columns == more.columns + ["mix_domain", "mix_epochs", "mix_tokens"]
+    assert got.where(" or ".join(f"{n} != {i}" for i, n in enumerate(names))).count() == 0
+    assert sorted(map(str, got.drop(*names).collect())) == sorted(map(str, want.collect()))

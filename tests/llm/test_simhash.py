@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.llm import simhash as s
 
@@ -112,3 +113,13 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5]
     empty = docs.where("false")
     assert s.deduplicate(empty).count() == 0 and s.near_duplicates(empty).count() == 0
+
+
+def test_names_of_working_columns_may_be_there(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, None), (3, ""), (None, "x y z u v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["_kept", "_of", "_digest", "digest", "f", "component_id", "row", "i", "r"]
+    more = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    got = s.deduplicate(more)
+    assert got.columns == more.columns and got.where(" or ".join(f"{n} != {i}" for i, n in enumerate(names))).count() == 0
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, s.deduplicate(docs).collect()))
