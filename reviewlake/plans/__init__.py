@@ -10,6 +10,7 @@ from reviewlake.plans import (  # noqa: F401
     search,
     stored,
     values,
+    workbooks,
     workload,
 )
 from reviewlake.plans.registry import ORACLES, QUERIES
