@@ -1,4 +1,4 @@
-"""Queries on many screening sheets at once: events read as workbooks."""
+"""Queries on many screening sheets (events) and criteria files (documents) at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators import workbooks as wb
 from reviewlake.operators.screening import EVIDENCE_FIELDS
 from reviewlake.plans.registry import query, table
+from reviewlake.sources import criteria as cr
 
 # Headers and settings vary from workbook to workbook by these rules.
 HEADERS = [
@@ -156,3 +157,51 @@ def _field(name: str) -> str:
 )
 def workbook_records(spark, folder):
     return wb.workbook_records(*_sheets(spark, folder))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, doc_id // 10 AS g,
+        CASE WHEN doc_id % 10 < 6 THEN 'inclusion_criteria' ELSE 'exclusion_criteria' END AS place,
+        CASE doc_id % 23 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'null' END AS odd,
+        coalesce(lang, 'none') || (doc_id % 4)::VARCHAR AS label FROM documents),
+      kept AS (SELECT *, place || '[' || (row_number() OVER (PARTITION BY g, place ORDER BY doc_id) - 1)::VARCHAR || ']' AS spot
+        FROM d WHERE g % 11 <> 5 AND NOT (place = 'exclusion_criteria' AND g % 5 = 2)),
+      files AS (SELECT DISTINCT g FROM d), found AS (
+        SELECT g, 'invalid_json' AS code, '' AS place, NULL::VARCHAR AS value FROM files WHERE g % 11 = 5
+        UNION ALL SELECT g, 'missing_text', 'review_topic', NULL FROM files WHERE g % 11 <> 5 AND g % 7 = 3
+        UNION ALL SELECT g, 'no_criteria', p, NULL
+          FROM files, (VALUES ('inclusion_criteria'), ('exclusion_criteria')) t(p)
+          WHERE g % 11 <> 5 AND NOT EXISTS (FROM kept k WHERE k.g = files.g AND k.place = p)
+        UNION ALL SELECT g, CASE odd WHEN 'null' THEN 'missing_text' ELSE 'not_a_text' END, spot || '.label',
+          nullif(odd, 'null') FROM kept WHERE odd IS NOT NULL
+        UNION ALL SELECT g, 'not_a_text', spot || '.description', '[1]' FROM kept WHERE doc_id % 29 = 0
+        UNION ALL SELECT g, 'duplicate_label', place, label FROM kept WHERE odd IS NULL
+          GROUP BY g, place, label HAVING count(*) > 1)
+    SELECT g::VARCHAR AS path, code, place, value FROM found
+    """
+)
+def criteria_violations(spark, folder):
+    """A criteria file for every ten documents, some of them broken by rule."""
+    number, file = F.col("doc_id"), F.expr("doc_id div 10")
+    label = (
+        F.when(number % 23 == 0, number.cast("string")).when(number % 23 == 1, "null")
+        .otherwise(F.concat(F.lit('"'), F.coalesce("lang", F.lit("none")), (number % 4).cast("string"), F.lit('"')))
+    )
+    told = F.when(number % 29 == 0, "[1]").otherwise(F.concat(F.lit('"'), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit('"')))
+    item = F.struct("doc_id", F.concat(F.lit('{"label": '), label, F.lit(', "description": '), told, F.lit("}")).alias("json"))
+    first = number % 10 < 6
+
+    def listed(inside):
+        # Ten documents at most meet here.
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, item))), lambda x: x["json"]), ", ")
+
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", file.alias("file"))
+    files = docs.groupBy("file").agg(listed(first).alias("yes"), listed(~first & (F.col("file") % 5 != 2)).alias("no"))
+    topic = F.when(F.col("file") % 7 == 3, "null").otherwise('"t"')
+    whole = F.concat(
+        F.lit('{"review_topic": '), topic, F.lit(', "inclusion_criteria": ['), "yes",
+        F.lit('], "exclusion_criteria": ['), "no", F.lit("]}"),
+    )
+    text = F.when(F.col("file") % 11 == 5, '{"review_topic": ').otherwise(whole)
+    return cr.criteria_violations(files.select(F.col("file").cast("string").alias("path"), text.alias("text")))

@@ -186,3 +186,27 @@ def test_bibtex_long_chain_of_macros(spark):
     text = "\n".join(chain) + "\n@book{b, title = m7, year = 2001}"
     (row,) = bib.parse_bibtex(spark.createDataFrame([("f", text)], "filename string, value string")).collect()
     assert row["title"] == "x" + "y" * 7
+
+
+def test_all_that_is_wrong_with_criteria_files(spark):
+    good = {"review_topic": "t", "inclusion_criteria": [{"label": "a", "description": "d"}]}
+    good["exclusion_criteria"] = good["inclusion_criteria"]
+    labels = [{"label": "a", "description": "d"}, {"label": "b", "description": None}, {"label": "a"}, {"label": "a", "description": [1]}]
+    bad = {"review_topic": 5, "inclusion_criteria": labels, "exclusion_criteria": []}
+    texts = {"good": json.dumps(good), "bad": json.dumps(bad), "cut": '{"review_topic": "t", "incl', "list": "[1]", "none": None,
+             "blank": " ", "type": '{"review_topic": "t", "inclusion_criteria": 7}', "empty": "{}"}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = {tuple(r) for r in cr.criteria_violations(files).collect()}
+    assert got == {(p, "invalid_json", "", None) for p in ("cut", "list", "none", "blank", "type")} | {
+        ("bad", "not_a_text", "review_topic", "5"),
+        ("bad", "missing_text", "inclusion_criteria[1].description", None),
+        ("bad", "missing_text", "inclusion_criteria[2].description", None),
+        ("bad", "not_a_text", "inclusion_criteria[3].description", "[1]"),
+        ("bad", "duplicate_label", "inclusion_criteria", "a"),
+        ("bad", "no_criteria", "exclusion_criteria", None),
+        ("empty", "missing_text", "review_topic", None),
+        ("empty", "no_criteria", "inclusion_criteria", None),
+        ("empty", "no_criteria", "exclusion_criteria", None),
+    }
+    quality = spark.createDataFrame([("q", '{"topic": "t", "criteria": [{"label": "x"}]}')], "path string, text string")
+    assert cr.criteria_violations(quality, "quality").count() == 4
