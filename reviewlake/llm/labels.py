@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.scale import cut_lineage
+
 # Most labelled ids, and most different rows of theirs, a classifier is trained
 # on: those with the lowest hashes, so the sample does not depend on the order of rows.
 SAMPLE_ROWS = 20_000
@@ -37,13 +39,21 @@ def training_rows(
         .limit(sample)
     )
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    examples = (
+    examples = cut_lineage(
         rows.select("doc_id", "digest")
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "digest")
-        .agg(F.first("y").alias("y"))
+        .agg(F.first("y").alias("y"), F.count("*").alias("copies"))
         .orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest")
         .limit(sample)
     )
+
+    def texts(of: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(of.drop("copies")), ["doc_id", "digest"])
+
+    # Texts pass a shuffle only where rows are repeated.
+    single, repeated = texts(examples.where("copies = 1")), examples.where("copies > 1")
+    if repeated.isEmpty():
+        return single
     # Equal hashes of different texts, should there be any, count as one text.
-    return rows.join(F.broadcast(examples), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    return single.unionByName(texts(repeated).dropDuplicates(["doc_id", "digest"]))
