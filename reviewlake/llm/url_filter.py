@@ -12,22 +12,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.registry import query, table
+from reviewlake.scale import lookup
 
 # Most specific first.
 KINDS = ("path", "host", "domain")
 ACTIONS = ("allow", "block", "remove")
+# Labels that, before a country's two letters, are part of a public suffix: names are
+# registered below them.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or",
+                "org", "plc", "sch")
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL without user, port and final dot; null without one."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The lower-case host of a URL without user, port and final dot; null without one.
+
+    An address in brackets keeps them.
+    """
+    host = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
+    host = F.lower(F.regexp_extract(url, host, 1))
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def domain_of(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> Column:
+    """The registered domain: a public suffix and the label before it.
+
+    A suffix is the last label, or the last two if they are one of ``second_level``
+    and a country's two letters. Addresses are kept whole; a host that is a suffix
+    itself is its own domain.
+    """
+    suffix = "|".join(second_level)
+    name = F.regexp_extract(host, rf"(?:[^.]+\.)?(?:(?:{suffix})\.[a-z][a-z]|[^.]+)$", 0)
+    return F.when(host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$"), host).otherwise(name)
 
 
 def folder_of(url: Column) -> Column:
@@ -69,20 +85,23 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``captures (page_id, url, fetched)``. The verdict is ``blocked`` or
     ``allowed`` by the most specific key with an entry active on that day,
-    ``unlisted`` without one or without a host or day. One row per capture row.
+    ``unlisted`` without one or without a host or day. One row per capture row:
+    repeated ones are counted and come out as often; an empty list leaves all
+    unlisted, and further columns of either table are not read.
     """
-    # A row's own number keeps repeated captures apart through the grouping.
     exploded = captures.select(
         "page_id", "url", "fetched", F.inline_outer(url_keys(F.col("url")))
     )
     # Keys of one capture day are judged once, however many captures share them.
-    asked = exploded.where(F.col("key").isNotNull() & F.col("fetched").isNotNull()).select("key", "fetched").distinct()
+    known = F.col("key").isNotNull() & F.col("fetched").isNotNull()
+    asked = exploded.where(known).groupBy("key", "fetched").agg(F.count("*").alias("rows"))
     span = intervals(entries)
     active = (F.col("fetched") >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))
     )
-    judged = asked.join(span, "key").where(active).select("key", "fetched", "action", "valid_from")
-    found = exploded.join(judged, ["key", "fetched"], "left")
+    judged = asked.join(span, "key").where(active).select("key", "fetched", "rows", "action", "valid_from")
+    # One host may hold a third of the captures.
+    found = lookup(exploded, judged, ["key", "fetched"], "rows", "page_id")
     hit = F.when(F.col("action").isNotNull(), F.struct("kind", "key", "action", "valid_from"))
     urls = found.groupBy("page_id", "url", "fetched").agg(
         F.min(hit).alias("hit"),
@@ -127,13 +146,15 @@ def list_of(pages: DataFrame) -> DataFrame:
     WITH urls AS (
         SELECT page_id, url, DATE '2023-01-01' + (((page_id * 7) % 730 + 730) % 730)::INT AS fetched,
                nullif(regexp_replace(lower(regexp_extract(url,
-                   '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+                   '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') AS host,
                nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)/', 1), '') AS folder
         FROM pages
     ), keyed AS (
         SELECT page_id, fetched, 0 AS kind, 'path:' || host || '/' || folder AS key FROM urls
         UNION ALL SELECT page_id, fetched, 1, 'host:' || host FROM urls
-        UNION ALL SELECT page_id, fetched, 2, 'domain:' || regexp_extract(host, '([^.]*\.)?[^.]*$') FROM urls
+        UNION ALL SELECT page_id, fetched, 2, 'domain:' || CASE
+            WHEN regexp_matches(host, '^\[|^[0-9]+(\.[0-9]+){3}$') THEN host
+            ELSE regexp_extract(host, '([^.]+\.)?((SECOND_LEVEL)\.[a-z][a-z]|[^.]+)$') END FROM urls
     ), coded AS (
         SELECT key, ('0x' || substr(md5(key), 1, 7))::BIGINT AS code
         FROM (SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL)
@@ -152,7 +173,7 @@ def list_of(pages: DataFrame) -> DataFrame:
            CASE hit.action WHEN 'block' THEN 'blocked' WHEN 'allow' THEN 'allowed' ELSE 'unlisted' END AS verdict,
            hit.key AS matched, hit.day AS listed
     FROM urls LEFT JOIN hits USING (page_id)
-    """
+    """.replace("SECOND_LEVEL", "|".join(SECOND_LEVEL))
 )
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
