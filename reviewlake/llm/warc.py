@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.registry import query, table
-from reviewlake.scale import work_folder
+from reviewlake.scale import HEAVY_KEYS, lookup, work_folder
 
 VERSION = "WARC/1.1"
 # The record type for a payload that is stored with another record.
@@ -20,6 +20,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 CAPTURED = "2024-01-01T00:00:00Z"
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
+# Records of one payload that are joined with one copy of it.
+RECORDS_PER_COPY = 256
 
 
 def base32_sha1(data: Column) -> Column:
@@ -56,11 +58,11 @@ def write_archive(pages: DataFrame, folder: str) -> None:
     )
     # Partial aggregation leaves one row per payload and task, however often it occurs.
     stored = captured.groupBy("digest").agg(
-        F.max("page_id").alias("response"), F.first("payload").alias("payload")
+        F.max("page_id").alias("response"), F.count("*").alias("records"), F.first("payload").alias("payload")
     )
     stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     spark = pages.sparkSession
-    owners = spark.read.parquet(f"{folder}/payloads").select("digest", "response")
+    owners = spark.read.parquet(f"{folder}/payloads").select("digest", "response", "records")
     facts = captured.select(
         "page_id", "url", "digest", F.octet_length("payload").alias("size"), base32_sha1(F.col("payload")).alias("sha1")
     )
@@ -78,29 +80,41 @@ def write_archive(pages: DataFrame, folder: str) -> None:
         _line("Content-Length", F.col("size").cast("string")),
         F.lit(_EOL),
     )
-    records = facts.join(owners, "digest").select("page_id", F.encode(header, "UTF-8").alias("header"), "digest")
+    owned = lookup(facts, owners, ["digest"], "records", "page_id", how="inner")
+    records = owned.select("page_id", F.encode(header, "UTF-8").alias("header"), "digest")
     records.write.option("compression", "zstd").parquet(f"{folder}/records")
 
 
 def verified_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """``digest, payload, payload_bytes, payload_digest``; bytes that do not match their digest fail."""
+    """``digest, payload``; bytes that do not match their digest fail."""
     payloads = spark.read.parquet(f"{folder}/payloads")
     wrong = F.raise_error(F.concat(F.lit("payload does not match its digest "), "digest"))
     payload = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary"))
-    checked = payloads.select("digest", payload.alias("payload"))
-    return checked.select(
-        "digest",
-        "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-    )
+    return payloads.select("digest", payload.alias("payload"))
+
+
+def _rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """``page_id, header, record``: headers joined with their payloads.
+
+    A payload of many records is dealt out in as many copies as keep a copy's records
+    few; the number is looked up for the most frequent payloads, and is one for others.
+    """
+    records = spark.read.parquet(f"{folder}/records")
+    frequent = records.groupBy("digest").agg(F.count("*").alias("records"))
+    frequent = frequent.orderBy(F.desc("records"), "digest").limit(HEAVY_KEYS)
+    copies = F.broadcast(frequent.select("digest", F.ceil(F.col("records") / RECORDS_PER_COPY).alias("copies")))
+    one = F.coalesce("copies", F.lit(1))
+    dealt = records.join(copies, "digest", "left").withColumn("copy", F.pmod(F.xxhash64("header"), one))
+    stored = verified_payloads(spark, folder).join(copies, "digest", "left")
+    stored = stored.select("digest", "payload", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("copy"))
+    tail = F.encode(F.lit(_EOL * 2), "UTF-8")
+    whole = dealt.join(stored, ["digest", "copy"])
+    return whole.select("page_id", "header", F.concat("header", "payload", tail).alias("record"))
 
 
 def restore_records(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, record``: the bytes of every record with its payload, as captured."""
-    whole = spark.read.parquet(f"{folder}/records").join(verified_payloads(spark, folder), "digest")
-    tail = F.encode(F.lit(_EOL * 2), "UTF-8")
-    return whole.select("page_id", F.concat("header", "payload", tail).alias("record"))
+    return _rebuilt(spark, folder).select("page_id", "record")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -110,19 +124,27 @@ def header_field(header: Column, name: str) -> Column:
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """What the records say, joined with the verified facts of their payloads.
+    """What the rebuilt records say: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    The header's own length and digest have to agree with the stored payload.
+    The payload is cut out of the record between its header and its end marks; it has
+    to have the length and digest of the header. Repeated rows stay; an empty archive
+    has no rows.
     """
-    records = spark.read.parquet(f"{folder}/records")
-    facts = verified_payloads(spark, folder).drop("payload")
     refers = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:x-page:(-?\d+)>$", 1)
+    begin, marks = F.octet_length("header"), len(_EOL * 2)
+    payload = F.substring("record", begin + 1, F.octet_length("record") - begin - marks)
+    facts = _rebuilt(spark, folder).select(
+        "page_id",
+        "header",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        base32_sha1(payload).alias("payload_digest"),
+    )
     agrees = (header_field(F.col("header"), "Content-Length").cast("long") == F.col("payload_bytes")) & (
         header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest")
     )
     wrong = F.raise_error(F.concat(F.lit("header and payload differ in record "), F.col("page_id").cast("string")))
     kind = F.when(agrees, header_field(F.col("header"), "WARC-Type")).otherwise(wrong.cast("string"))
-    return records.join(facts, "digest").select(
+    return facts.select(
         "page_id",
         "payload_bytes",
         "payload_digest",

@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.llm import html_text as h
 from reviewlake.llm import url_filter as u
@@ -143,3 +144,44 @@ def test_urls_against_the_list_of_their_day(spark):
     assert verdicts[None, day(6)] == "blocked" and verdicts[999, None] == "unlisted"
     none = u.filter_urls(captures.where("false"), spark.createDataFrame([], "key string, action string, day date"))
     assert none.count() == 0
+
+
+def test_registered_domains(spark):
+    hosts = {"a.example.co.uk": "example.co.uk", "co.uk": "co.uk", "www.x.com.br": "x.com.br", "10.1.2.3": "10.1.2.3", "x": "x",
+             "b.c.de": "c.de", "a.com": "a.com", "www.co.com": "co.com", "1.2.3.example.org": "example.org"}
+    frame = spark.createDataFrame([(k, v) for k, v in hosts.items()], "host string, want string")
+    got = frame.select("host", "want", u.domain_of(F.col("host")).alias("got")).collect()
+    assert {r["host"]: r["got"] for r in got} == hosts
+    urls = {"http://[::1]:80/a/b": "[::1]", "http://u:p@10.0.0.1:8/x": "10.0.0.1", "https://A.co.UK.:1": "a.co.uk", "http://[": None}
+    frame = spark.createDataFrame([(k,) for k in urls], "url string")
+    keys = {r["url"]: r for r in frame.select("url", u.host_of(F.col("url")).alias("h"), u.url_keys(F.col("url")).alias("k")).collect()}
+    assert {k: r["h"] for k, r in keys.items()} == urls
+    assert [k["key"] for k in keys["http://[::1]:80/a/b"]["k"]] == ["path:[::1]/a", "host:[::1]", "domain:[::1]"]
+
+
+def test_captures_of_one_host_and_repeated_ones(spark):
+    captures = spark.range(30_000).selectExpr("id % 29000 AS page_id", "'http://h.org/a/b' AS url", "date'2024-01-05' AS fetched")
+    entries = spark.createDataFrame([("host:h.org", "block", datetime.date(2024, 1, 1))], "key string, action string, day date")
+    got = u.filter_urls(captures, entries)
+    assert got.count() == 30_000 and got.where("verdict = 'blocked' AND matched = 'host:h.org'").count() == 30_000
+
+
+def test_records_of_one_payload_are_rebuilt_in_copies(spark, tmp_path):
+    pages = spark.range(3_000).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, concat('p', id), 'shared') AS html")
+    w.write_archive(pages, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 1_001
+    rows = w.read_archive(spark, str(tmp_path / "a"))
+    assert rows.count() == 3_000 and rows.select("page_id").distinct().count() == 3_000
+    assert rows.where("record_type = 'revisit'").select("refers_to").distinct().collect() == [(2_999,)]
+    records = w.restore_records(spark, str(tmp_path / "a")).join(pages, "page_id")
+    assert records.where("substring_index(decode(record, 'UTF-8'), '\r\n\r\n', 2) LIKE concat('%\n', html)").count() == 3_000
+
+
+def test_record_that_differs_from_its_header_is_noticed(spark, tmp_path):
+    w.write_archive(spark.createDataFrame(PAGES[:1], "page_id long, url string, html string"), str(tmp_path / "a"))
+    spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "c/payloads"))
+    records = spark.read.parquet(str(tmp_path / "a/records"))
+    short = F.encode(F.replace(F.decode("header", "UTF-8"), F.lit("Content-Length: 9"), F.lit("Content-Length: 8")), "UTF-8")
+    records.withColumn("header", short).write.parquet(str(tmp_path / "c/records"))
+    with pytest.raises(Exception, match="header and payload differ"):
+        w.read_archive(spark, str(tmp_path / "c")).collect()
