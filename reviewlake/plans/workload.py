@@ -184,6 +184,26 @@ def screen_rejects(spark, folder):
     return refused.groupBy("code").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
+@query(
+    f"""
+    WITH {_PATCHES}
+    SELECT seq, record_index, code FROM (
+      SELECT seq, record_index, CASE WHEN decision NOT IN ('included', 'undecided', 'excluded') THEN 'invalid_decision'
+        WHEN decision = 'excluded' AND len(reasons) = 0 THEN 'missing_reason'
+        WHEN record_index NOT IN (SELECT c_custkey FROM {_CUSTOMERS}) THEN 'unknown_record' END AS code
+      FROM patches) WHERE code IS NOT NULL
+    """
+)
+def screen_rejects_stream(spark, folder):
+    """Every refused patch of the stream, those on absent customers among them."""
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    out = work_folder(spark)
+    known = part_of_base(spark, folder).select("record_index")
+    pt.stream_patches(patches_of(events), out, f"{out}/state", known=known).awaitTermination()
+    return spark.read.parquet(f"{out}/refused").select("seq", "record_index", "code")
+
+
 _SCREENED = """
     (SELECT doc_id, lang, CASE quality WHEN 1 THEN 'include' WHEN 0 THEN ' ' END AS decision
      FROM documents LEFT JOIN labels USING (doc_id))

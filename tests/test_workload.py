@@ -151,3 +151,36 @@ def test_progress_and_navigation(spark):
     assert nav[("w", 1)]["next_undecided_index"] == 2
     assert (last["previous_index"], last["next_index"], last["next_undecided_index"], last["complete"]) == (2, None, None, False)
     assert nav[("v", 0)]["complete"] is True and nav[("v", 0)]["next_index"] is None
+
+
+def patch_rows(numbers):
+    at = datetime.datetime(2024, 1, 1)
+    for n in numbers:
+        decision = ("included", "excluded", "undecided", "maybe")[n % 4]
+        reasons = ["x"] if n % 8 == 1 else []
+        yield (None if n % 11 == 0 else n % 6, decision, reasons, at + datetime.timedelta(minutes=n * 7 % 30), n)
+
+
+def test_stream_refuses_unknown_records_and_merges_epochs(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for part in range(4):
+        spark.createDataFrame(list(patch_rows(range(part * 40, part * 40 + 40))), pt.PATCH_SCHEMA).coalesce(1).write.parquet(f"{source}/{part}")
+    known = spark.createDataFrame([(i, "x") for i in range(4)], "record_index long, code string")
+    stream = spark.readStream.schema(pt.PATCH_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    pt.stream_patches(stream, out, str(tmp_path / "state"), known=known).awaitTermination()
+    everything = spark.read.schema(pt.PATCH_SCHEMA).parquet(f"{source}/*")
+    key = lambda df: sorted((r["seq"], r["code"]) for r in df.collect())
+    refused = spark.read.parquet(f"{out}/refused")
+    want = sc.rejected_patches(everything, known.select("record_index"))
+    assert key(refused) == key(want) and {c for _, c in key(want)} == {"invalid_decision", "missing_reason", "unknown_record"}
+    good = everything.join(want.select("seq"), "seq", "left_anti")
+    rows = lambda df: sorted(map(tuple, df.select("record_index", "new_decision", "new_reasons", "ts", "seq").collect()))
+    latest = rows(sc.latest_patches(good))
+    assert rows(pt.stored_patches(pt.accepted(spark, out))) == latest and len(latest) == 4
+    epochs = sorted(r["epoch"] for r in spark.read.parquet(f"{out}/accepted").select("epoch").distinct().collect())
+    assert len(epochs) == 4
+    pt.compact(spark, out, epochs[1])
+    assert rows(pt.stored_patches(pt.accepted(spark, out, epochs[1]))) == latest
+    pt.compact(spark, out, epochs[3], epochs[1])
+    assert rows(pt.accepted(spark, out, epochs[3])) == latest
+    assert pt.checked_batch(everything.where("false"), known).count() == 0
