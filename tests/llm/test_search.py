@@ -167,3 +167,27 @@ def test_every_wording_of_a_license_is_found_alone(spark):
 
 def test_there_are_hundreds_of_distinct_rules():
     assert len({(r.label, r.pattern) for r in li.RULES}) == len(li.RULES) > 200
+
+
+LABELS = [
+    ("Eclipse Public License 1.0", "epl-1.0"), ("Eclipse Public License", "epl"), ("CDDL 1.1", "cddl-1.1"), ("EUPL 1.1", "eupl-1.1"),
+    ("Artistic License 1.0", "artistic-1.0"), ("Apache 2 web server", ""), ("Mozilla Public License", "mpl"),
+    ("Licensed under Apache 2.0", "apache-2.0"), ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+    ("GPLv2 or later", "gpl-2.0-or-later"), ("GNU AGPL v3 only", "agpl-3.0-only"), ("LGPL-2.1", "lgpl-2.1"), ("GPL 2 with classpath exception", "gpl-2.0-with-classpath-exception"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("https://creativecommons.org/licenses/by-nc/4.0/", "cc-by-nc"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\n// modification, are permitted", "bsd"),
+    ("Open Government Licence v3.0", "ogl-uk"), ("a plain sentence about rivers", ""),
+]
+
+
+def test_labels_of_names_versions_and_notices(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(LABELS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in li.scan(docs).collect()}
+    assert [(text, got[i]) for i, (text, _) in enumerate(LABELS)] == LABELS
+
+
+def test_patterns_that_say_different_things():
+    own = [p for _, _, p in li.NAMES] + [p for _, _, p in (*li.TEXTS, *li.GRANTED)] + [p for _, p in (*li.ADDRESSES, *li.RARE_NAMES)]
+    assert len(set(own)) == len(own) > 200
