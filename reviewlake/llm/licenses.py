@@ -8,6 +8,7 @@ an interval of higher priority, or in a longer one of the same, is suppressed.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ class Rule:
     keywords: tuple[str, str]  # both have to occur
     pattern: str  # over words with single spaces
     confidence: float
+    name: str = ""  # what all matches hold, if that is less than the pattern
 
 
 _V = r"(?: version| ver)? ?v? ?"
@@ -323,7 +325,7 @@ def keyword_of(pattern: str) -> str:
 
 RULES = (
     *(
-        Rule(priority, label, (keyword, wording), before + name + after, confidence)
+        Rule(priority, label, (keyword, wording), before + name + after, confidence, name)
         for label, keyword, name in NAMES
         for priority, wording, before, after, confidence in WORDINGS
     ),
@@ -378,34 +380,23 @@ def _places(line: Column, pattern: Column) -> Column:
     return walked["out"]
 
 
-def _rule_literals(rules: tuple[Rule, ...]) -> Column:
-    """``array<struct<word, rules>>``: the rules by their first keyword."""
-    groups: dict[str, list[Rule]] = {}
+def _rule_table(rules: tuple[Rule, ...]) -> Column:
+    """``array<struct<word, name, rules>>``: the rules by keyword and name, as one constant."""
+    groups: dict[tuple[str, str], list[dict]] = {}
     for r in rules:
-        groups.setdefault(r.keywords[0], []).append(r)
-    return F.array(
-        *[
-            F.struct(
-                F.lit(word).alias("word"),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"),
-                            F.lit(r.keywords[1]).alias("wording"), F.lit(r.pattern).alias("pattern"),
-                            F.lit(r.confidence).alias("confidence"),
-                        )
-                        for r in group
-                    ]
-                ).alias("rules"),
-            )
-            for word, group in groups.items()
-        ]
-    )
+        own = {"priority": r.priority, "label": r.label, "wording": r.keywords[1], "pattern": r.pattern, "confidence": r.confidence}
+        groups.setdefault((r.keywords[0], r.name or r.pattern), []).append(own)
+    text = json.dumps([{"word": word, "name": name, "rules": group} for (word, name), group in groups.items()])
+    rule = "struct<priority:int,label:string,wording:string,pattern:string,confidence:double>"
+    return F.from_json(F.lit(text), f"array<struct<word:string,name:string,rules:array<{rule}>>>")
 
 
 def detections(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All matches of all rules whose keywords occur, in the order of places."""
-    named = F.filter(_rule_literals(rules), lambda g: F.contains(line, g["word"]))
+    """All matches of all rules whose keywords occur, in the order of places.
+
+    The wordings of a name are tried where the name itself is found.
+    """
+    named = F.filter(_rule_table(rules), lambda g: F.contains(line, g["word"]) & F.rlike(line, g["name"]))
     tried = F.filter(F.flatten(F.transform(named, lambda g: g["rules"])), lambda r: F.contains(line, r["wording"]))
     found = F.transform(
         tried,
