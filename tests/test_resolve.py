@@ -299,3 +299,29 @@ def test_model_learns_from_labelled_pairs(spark):
     names, model = rs.labelled_pairs_model(pairs, fields)
     scored = rs.model_scores(pairs, names, model, fields).collect()
     assert all((r["score"] > 0.5) == (r["is_match"] == 1) for r in scored)
+
+
+def test_few_records_meet_by_chance(spark):
+    """Records of one vocabulary meet on two words at a time, and no pair is missed."""
+    draw = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    sets = [draw.sample(vocabulary, 40 + i % 30) for i in range(300)]
+    for i in range(0, 60, 3):
+        # A near copy: some words differ, so the pair is just above or below the threshold.
+        sets[i + 1] = sets[i][: 36 - i % 7] + draw.sample(vocabulary, 4)
+    rows = [(i, " ".join(dict.fromkeys(words))) for i, words in enumerate(sets)]
+    df = spark.createDataFrame(rows, "record_id long, title string")
+    fields = (rs.Field("title", "words", 1.0),)
+    table = rs.comparable(df, fields, "title")
+    counts = rs.field_index(table, fields, 0.5).groupBy("word").count()
+    met = counts.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    single = table.select("id", F.explode("words").alias("word")).groupBy("word").count()
+    alone = single.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert met < alone / 10
+    bags = [set(title.split()) for _, title in rows]
+    want = {
+        (i, j) for i in range(300) for j in range(i + 1, 300) if len(bags[i] & bags[j]) / len(bags[i] | bags[j]) >= 0.5
+    }
+    for least in (None, 0.5):
+        got = {(r[0], r[1]) for r in rs.similar_pairs(table, fields, "title", least, 0.5).collect()}
+        assert got == want and len(want) > 5
