@@ -12,12 +12,14 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.scale import cut_lineage, lookup, range_index
+from reviewlake.scale import HEAVY_KEYS, cut_lineage, lookup, range_index
 
 Metric = Callable[[Column, Column], Column]
 NAN = float("nan")
 STATISTICS = {"average score": "avg", "minimum score": "min", "maximum score": "max"}
 KEYS = ("attribute", "id")
+# With at most so many raters the ratings of a record are put into one row.
+ROW_PLACES = 1_024
 
 
 def long_ratings(df: DataFrame, id_col: str, rater: Column | str, attributes: Sequence[str]) -> DataFrame:
@@ -134,17 +136,34 @@ def fixed_matrix(
     count = raters.count()
     value = F.nullif("value", F.lit(0.0)) if zero_is_missing else F.col("value")
     rated = ratings.groupBy(*KEYS, "rater").agg(F.avg("value").alias("value"))
-    given = lookup(rated.withColumn("value", value), raters, ["rater"], "n", "id", how="inner")
+    rated, last = rated.withColumn("value", value), F.lit(count - 1).cast("long")
+    if count <= HEAVY_KEYS:
+        given = rated.join(F.broadcast(raters.select("rater", "place")), "rater")
+    else:
+        given = lookup(rated, raters, ["rater"], "n", "id", how="inner")
     given = given.select(*KEYS, "place", "value")
-    last = F.lit(count - 1).cast("long")
     places = F.sequence(F.lit(0).cast("long"), last) if count else F.array().cast("array<bigint>")
-    grid = given.groupBy(*KEYS).agg(F.avg("value").alias("_mean")).select(
-        *KEYS, "_mean", F.explode(places).alias("place")
-    )
-    return grid.join(given, [*KEYS, "place"], "left").select(
+    if count <= ROW_PLACES:
+        # The cells of a record fit one row, so its gaps are known without a join.
+        cells = F.collect_list(F.struct("place", "value")).alias("_cells")
+        records = given.groupBy(*KEYS).agg(F.avg("value").alias("_mean"), cells)
+        gaps = F.array_except(places, F.transform("_cells", lambda c: c["place"]))
+        empty = F.transform(
+            gaps, lambda p: F.struct(p.alias("place"), F.lit(None).cast("double").alias("value"))
+        )
+        full = records.select(*KEYS, "_mean", F.inline(F.concat("_cells", empty)))
+        # A record without an id has no cells of its own, as in a join.
+        known = F.col("attribute").isNotNull() & F.col("id").isNotNull()
+        own = F.when(known, F.col("value"))
+    else:
+        grid = given.groupBy(*KEYS).agg(F.avg("value").alias("_mean")).select(
+            *KEYS, "_mean", F.explode(places).alias("place")
+        )
+        full, own = grid.join(given, [*KEYS, "place"], "left"), F.col("value")
+    return full.select(
         *KEYS,
         F.concat(F.lit("rater_"), F.col("place").cast("string")).alias("rater"),
-        F.coalesce("value", "_mean", F.lit(0.0)).alias("value"),
+        F.coalesce(own, "_mean", F.lit(0.0)).alias("value"),
     )
 
 

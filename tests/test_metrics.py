@@ -172,3 +172,20 @@ def test_null_trusted_ratings_are_no_missing_ones(spark):
     evaluated = spark.createDataFrame([("q", "s1", "e", 1.0), ("q", "s2", "e", 3.0)], ddl)
     got = rt.compare_with_truth(trusted, evaluated).where("ground_truth = 'average score'").first()
     assert got["mae"] == 1.0
+
+
+def test_fixed_matrix_fills_gaps_in_one_row(spark, monkeypatch):
+    """Cells of a record are not joined with a grid; many raters still give the same cells."""
+    ratings = spark.createDataFrame(
+        [("a", 1, "x", 2.0), ("a", 1, "y", 4.0), ("a", 2, "z", 0.0), ("a", None, "x", 1.0), ("a", None, "y", 3.0)],
+        "attribute string, id long, rater string, value double",
+    )
+    fewer = rt.fixed_matrix(ratings)
+    plan = fewer._jdf.queryExecution().optimizedPlan().toString()
+    # One join numbers the raters, one brings in their numbers.
+    assert plan.count("Join ") == 2
+    monkeypatch.setattr(rt, "ROW_PLACES", 0)
+    monkeypatch.setattr(rt, "HEAVY_KEYS", 0)
+    key = lambda r: (r["attribute"], str(r["id"]), r["rater"])
+    assert sorted(fewer.collect(), key=key) == sorted(rt.fixed_matrix(ratings).collect(), key=key)
+    assert len(fewer.collect()) == 9
