@@ -183,7 +183,9 @@ def _with_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
     is one that is not known yet. The last definition before an entry is the one
     in force there. A name that has none is a month or stands for itself; a use
     of a value that is not known yet stays. Only the uses of macros move, and
-    the definitions of one name in one file are one row.
+    the definitions of one name in one file are one row. Spark knows no more of
+    cut entries than the size of the files, which may be far smaller, so the
+    joins are told not to broadcast them.
     """
     uses = (
         entries.select("id", "filename", "spot", F.explode(F.filter("parts", lambda p: p["macro"])).alias("p"))
@@ -194,7 +196,8 @@ def _with_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
     defined = macros.groupBy("filename", "macro").agg(
         F.collect_list(F.struct("spot", F.struct("value").alias("known"))).alias("all")
     )
-    found = lookup(uses, defined.join(counts, ["filename", "macro"]), ["filename", "macro"], "n", "id", how="inner")
+    weighed = defined.hint("merge").join(counts, ["filename", "macro"])
+    found = lookup(uses, weighed, ["filename", "macro"], "n", "id", how="inner", large=True)
     force = F.array_max(F.filter("all", lambda d: d["spot"] < F.col("spot")))["known"].alias("known")
     known = (
         found.select("id", "macro", force).where(F.col("known").isNotNull())
@@ -209,7 +212,7 @@ def _with_macros(entries: DataFrame, macros: DataFrame) -> DataFrame:
         ready = p["macro"] & value.isNotNull()
         return p.withField("text", F.when(ready, value).otherwise(p["text"])).withField("macro", p["macro"] & ~ready)
 
-    return entries.join(known, "id", "left").select(
+    return entries.join(known.hint("merge"), "id", "left").select(
         "id", "filename", "spot", F.transform("parts", filled).alias("parts")
     )
 

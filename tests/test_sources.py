@@ -210,3 +210,12 @@ def test_all_that_is_wrong_with_criteria_files(spark):
     }
     quality = spark.createDataFrame([("q", '{"topic": "t", "criteria": [{"label": "x"}]}')], "path string, text string")
     assert cr.criteria_violations(quality, "quality").count() == 4
+
+
+def test_bibtex_macro_joins_are_not_broadcast(spark):
+    """Spark takes cut entries for a small table; only the heaviest names may be broadcast."""
+    text = F.concat(F.lit('@string{a = "x'), "id", F.lit('"}\n@article{k, title = a # "!", year = 2000}\n'))
+    texts = spark.range(3).select(F.concat(F.lit("f"), "id").alias("filename"), text.alias("value"))
+    read = bib.parse_bibtex(texts)
+    assert read._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+    assert sorted(r["title"] for r in read.collect()) == ["x0!", "x1!", "x2!"]
