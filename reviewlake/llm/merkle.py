@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.registry import query, table
-from reviewlake.scale import cut_lineage, lookup, ordered_items
+from reviewlake.scale import cut_lineage, lookup, ordered_items, range_index
 
 ARITY = 3
 # Levels of a block: 2 187 leaves.
@@ -41,11 +41,12 @@ def leaf(values: list[Column]) -> Column:
 
 
 def _block_levels(nodes: DataFrame) -> DataFrame:
-    """``(grp, idx, n, digest)`` with ``block``, the block's ``top`` and the ``path`` inside it.
+    """``nodes`` with ``block``, the block's ``top`` and the ``path`` inside it.
 
     ``path`` holds, from the node up, the digests before and after its
     ancestors in their runs.
     """
+    own = [c for c in nodes.columns if c not in ("grp", "idx", "n", "digest")]
     size = ARITY**STEPS
     block = F.floor(F.col("idx") / size).cast("long")
     rows = nodes.withColumn("block", block).withColumnRenamed("digest", "d0")
@@ -90,33 +91,41 @@ def _block_levels(nodes: DataFrame) -> DataFrame:
         F.col("d0").alias("digest"),
         F.first(f"d{STEPS}").over(whole).alias("top"),
         F.array_compact(F.array(*steps)).alias("path"),
+        *own,
     )
 
 
-def trees(nodes: DataFrame) -> DataFrame:
-    """``(grp, idx, digest, root, path)`` of leaves ``(grp, idx, n, digest)``.
+def trees(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves with their ``block`` and the ``path`` in it, and ``(grp, block, root, up)``.
 
-    ``idx`` numbers the ``n`` leaves of a group from 0. ``path`` has the
-    siblings of each ancestor below the root, from the leaf up. A group of one
-    leaf is its own root.
+    ``nodes`` has ``grp, idx, n, digest`` and columns of its own, which stay:
+    ``idx`` numbers the ``n`` leaves of a group from 0. A leaf's siblings, from
+    the leaf up to below the root, are its ``path`` and the ``up`` of its block.
+    Only the second table, a row a block, is kept; the paths of leaves are many
+    times as long as these and are worked out where they are read. A group of
+    one leaf is its own root.
     """
     size = ARITY**STEPS
-    placed = cut_lineage(_block_levels(nodes))
-    tops = placed.where(F.col("idx") % size == 0).select(
-        "grp",
-        F.col("block").alias("idx"),
-        F.ceil(F.col("n") / size).cast("long").alias("n"),
-        F.col("top").alias("digest"),
-        # The rows of this table that the top will be joined with.
-        F.least(F.lit(size).cast("long"), F.col("n") - F.col("idx")).alias("under"),
+    placed = _block_levels(nodes)
+    tops = cut_lineage(
+        placed.where(F.col("idx") % size == 0).select(
+            "grp",
+            F.col("block").alias("idx"),
+            F.ceil(F.col("n") / size).cast("long").alias("n"),
+            F.col("top").alias("digest"),
+        )
     )
     if tops.where("n > 1").isEmpty():
-        return placed.select("grp", "idx", "digest", F.col("top").alias("root"), "path")
-    above = trees(tops.drop("under")).select("grp", F.col("idx").alias("block"), "root", F.col("path").alias("up"))
-    # A block has at most 3**STEPS rows, so no key of this join is hot.
-    return placed.join(above, ["grp", "block"]).select(
-        "grp", "idx", "digest", "root", F.concat("path", "up").alias("path")
-    )
+        above = F.array().cast(_SIDES).alias("up")
+        return placed, tops.select("grp", F.col("idx").alias("block"), F.col("digest").alias("root"), above)
+    return placed, cut_lineage(with_root(*trees(tops)).select("grp", F.col("idx").alias("block"), "root", F.col("path").alias("up")))
+
+
+def with_root(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The leaves of :func:`trees` with the columns of their block and the whole ``path``."""
+    # A block has at most 3**STEPS rows, so no key of this join is hot; leaves are dealt by it already.
+    joined = placed.join(blocks, ["grp", "block"])
+    return joined.withColumn("path", F.concat("path", "up").cast(_SIDES)).drop("up")
 
 
 def proof(path: Column) -> Column:
@@ -142,23 +151,25 @@ def manifest(rows: DataFrame) -> DataFrame:
     # A null source sorts before all others and is equal to itself.
     grp = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     known = rows.select("id", "leaf", *extra, grp.alias("grp"), F.monotonically_increasing_id().alias("tie"))
-    placed = ordered_items(known, ["grp"], ["id", "leaf", "tie"], "idx")
-    sizes = placed.groupBy("grp").agg(F.count("*").alias("rows"))
-    sizes = sizes.withColumn("n", F.col("rows"))
-    numbered = cut_lineage(lookup(placed.drop("_n", "n", "tie"), sizes, ["grp"], "rows", "idx"))
-    leaves = trees(numbered.select("grp", "idx", "n", F.col("leaf").alias("digest")))
-    leaves = cut_lineage(leaves.select("grp", "idx", "root", "path"))
-    subroots = leaves.where("idx = 0").select(F.lit("").alias("all"), "grp", F.col("root").alias("digest"))
+    order = ["grp", "id", "leaf", "tie"]
+    kept = F.struct("id", *extra).alias("kept")
+    placed = range_index(known.select(*order, kept), order, "place").drop("id", "tie")
+    sizes = placed.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("rows"))
+    found = lookup(placed, sizes.withColumn("n", F.col("rows")), ["grp"], "rows", "place", how="inner")
+    idx = (F.col("place") - F.col("first")).alias("idx")
+    leaves, blocks = trees(cut_lineage(found.select("grp", idx, "n", F.col("leaf").alias("digest"), "kept")))
+    blocks = blocks.withColumnRenamed("root", "subroot")
+    subroots = blocks.where("block = 0").select(F.lit("").alias("all"), "grp", F.col("subroot").alias("digest"))
     ranked = ordered_items(subroots, ["all"], ["grp"], "idx").drop("n", "_n")
     number = ranked.groupBy("all").agg(F.count("*").alias("rows")).withColumn("n", F.col("rows"))
     ranked = cut_lineage(lookup(ranked, number, ["all"], "rows", "idx"))
-    top = trees(ranked.select(F.col("all").alias("grp"), "idx", "n", "digest"))
-    ends = ranked.join(top.select("idx", "root", F.col("path").alias("up")), "idx").select("grp", "root", "up")
-    ends = ends.join(sizes.select("grp", "rows"), "grp")
-    whole = numbered.join(leaves.withColumnRenamed("root", "subroot"), ["grp", "idx"])
-    return lookup(whole, ends, ["grp"], "rows", "idx").select(
-        "id", "leaf", *extra, "subroot", "root", F.concat("path", "up").cast(_SIDES).alias("path")
-    )
+    top = with_root(*trees(ranked.select(F.col("all").alias("grp"), "idx", "n", "digest", F.col("grp").alias("own"))))
+    counts = blocks.groupBy("grp").agg(F.count("*").alias("blocks"))
+    ends = counts.join(top.select(F.col("own").alias("grp"), "root", F.col("path").alias("above")), "grp")
+    blocks = lookup(blocks, ends, ["grp"], "blocks", "block", how="inner")
+    blocks = cut_lineage(blocks.withColumn("up", F.concat("up", "above")).drop("above"))
+    whole = with_root(leaves, blocks)
+    return whole.select("kept.id", F.col("digest").alias("leaf"), *[F.col("kept")[c].alias(c) for c in extra], "subroot", "root", "path")
 
 
 def verify(leaves: DataFrame, seen: str) -> DataFrame:

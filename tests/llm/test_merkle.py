@@ -90,3 +90,17 @@ def test_sizes_around_full_runs(spark, monkeypatch, n):
 
 def test_empty_table(spark):
     assert made(spark, spark.createDataFrame([], COLUMNS).collect() or []) == []
+
+
+def test_paths_of_leaves_are_not_moved(spark, monkeypatch, capsys):
+    monkeypatch.setattr(m, "STEPS", 2)
+    kept = []
+    cut = m.cut_lineage
+    monkeypatch.setattr(m, "cut_lineage", lambda df: kept.append((df.columns, df.count())) or cut(df))
+    rows = [(i, "ab"[i % 2], "en", 1, str(i)) for i in range(300)]
+    found = m.manifest(m.document_leaves(spark.createDataFrame(rows, COLUMNS)))
+    assert all(n < 300 for columns, n in kept if {"path", "up"} & {*columns})
+    found.explain("formatted")
+    moved = [part for part in capsys.readouterr().out.split("\n\n") if "Exchange" in part.split("\n")[0]]
+    # A block comes with its part of the path, ``up``.
+    assert moved and not [part for part in moved if "path#" in part]
