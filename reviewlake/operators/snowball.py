@@ -33,6 +33,8 @@ RELATIONS = {"backward": "references", "forward": "citations"}
 LINKED_IDS = "referencing_paper_ids"
 LINK_COUNT = "linking_papers"
 BATCH_SIZE = 500
+# Up to so many ids are looked up without a shuffle of the links.
+FEW_IDS = 1 << 18
 
 
 def read_ids(df: DataFrame, id_column: str = "doi") -> DataFrame:
@@ -60,6 +62,15 @@ class Discovery:
     links: DataFrame  # (src, dst), distinct
 
 
+def _among(
+    links: DataFrame, ids: DataFrame, key: str, heavy: DataFrame, spread: str, inside: bool = True
+) -> DataFrame:
+    """:func:`members`, by broadcast where the ids are a bounded number of rows."""
+    if ids.limit(FEW_IDS + 1).count() > FEW_IDS:
+        return members(links, ids, key, heavy, spread, inside)
+    return links.join(F.broadcast(ids.select(key)), key, "left_semi" if inside else "left_anti").select(*links.columns)
+
+
 def snowball(
     papers: DataFrame,
     edges: DataFrame,
@@ -78,18 +89,20 @@ def snowball(
     visited = seeds.select("doi").unionByName(banned).distinct()
     frontier = seeds.select("doi").distinct().join(known, "doi", "left_semi")
     sources, targets = heavy_keys(edges, "src"), heavy_keys(edges, "dst")
+    citing = cut_lineage(edges.select("src").distinct())
     found, links = None, None
     for level in range(1, depth + 1):
-        ids = frontier.select(F.col("doi").alias("src"))
+        # Ids without a link of their own lead nowhere.
+        ids = cut_lineage(citing.join(frontier.select(F.col("doi").alias("src")), "src", "left_semi"))
         # Excluded papers count as visited, so links to them lead nowhere.
-        step = members(edges, ids, "src", sources, "dst")
+        step = _among(edges, ids, "src", sources, "dst")
         step = cut_lineage(
-            members(step, banned.withColumnRenamed("doi", "dst"), "dst", targets, "src", inside=False)
+            _among(step, banned.withColumnRenamed("doi", "dst"), "dst", targets, "src", inside=False)
         )
         kept = step
         if level == 1:
             # Later frontiers hold no excluded paper.
-            kept = members(
+            kept = _among(
                 step, banned.withColumnRenamed("doi", "src"), "src", sources, "dst", inside=False
             )
         links = kept if links is None else links.unionByName(kept)

@@ -102,3 +102,17 @@ def test_a_paper_has_one_row_however_many_link_to_it(spark):
     assert items.agg(F.count("*"), F.min("ord"), F.max("ord"), F.count_distinct("item")).first()[:] == (count, 0, count - 1, count)
     plain = ids.selectExpr("doi", "'t' AS title", "'a' AS authors", "'s' AS source", "2000 AS year")
     assert [r["linking_papers"] for r in sb.snowball_records(plain, result).collect()] == [count]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_few_ids_are_looked_up_without_a_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(sb, "FEW_IDS", few)
+    shuffled = []
+    plain = sb.members
+    monkeypatch.setattr(sb, "members", lambda df, *rest, **more: shuffled.append(df) or plain(df, *rest, **more))
+    edges = spark.createDataFrame([("a", "b"), ("a", "x"), ("b", "c"), ("c", "a"), ("x", "c"), ("d", "b")], "src string, dst string")
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "doi string")
+    result = sb.snowball(ids(*"abcdx"), edges, ids("a"), ids("x"), depth=3)
+    assert bool(shuffled) == (few == 0)
+    assert sorted(map(tuple, result.found.collect())) == [("b", 1), ("c", 2)]
+    assert sorted(map(tuple, result.links.collect())) == [("a", "b"), ("b", "c"), ("c", "a")]
