@@ -10,10 +10,12 @@ Near-duplicates: a fingerprint is cut into bands of ``BAND_ROWS`` positions, and
 texts with an equal band meet in Spark. Their Jaccard index is then computed
 from all shingles of both texts. With 25 bands of five rows a pair at Jaccard
 0.8 shares a band with probability 0.99995. A bucket is not expanded into
-pairs: its texts are compared with one of them, then with 64, with 4 096 and so
-on, and from the second round on only with those of other classes. So every pair
-of a bucket is compared, in one class already, or ruled out by the numbers of
-their shingles.
+pairs: its texts are compared with the lowest of them, and buckets with the same
+lowest text are one group. Where that leaves texts of a group unlinked, its texts
+meet in cells of bounded size, and numpy counts the shared shingles of all of a
+cell's pairs at once. So every pair of a bucket is compared, in one class
+already, or ruled out by the numbers of their shingles, and only links that join
+two classes become rows.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ from reviewlake.scale import cut_lineage, lookup, work_folder
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 42
 BAND_ROWS, JACCARD = 5, 0.8
 BANDS = PERMUTATIONS // BAND_ROWS
-# A bucket's centres grow by this factor a round; so many of them share a row.
-GROWTH, SLOT = 64, 64
+# Texts of a group, and shingles of theirs, that share a block; two blocks meet in a cell.
+SLOT, SLOT_SHINGLES = 512, 1 << 19
+# Shingles that are columns of one matrix, and the share of a cell's texts that makes one a column.
+COLUMNS, DENSE = 1_024, 64
 # Pairs of one centre that are verified in one place.
 PAIRS_PLACE = 512
 # Buckets of text keys that are broadcast to thin out the scan for texts.
-THINNING = 1 << 18
+THINNING = 1 << 20
 # Rows that a task works on at a time.
 SLICE_ROWS = 256
 # Hex digits of a position of a fingerprint, and of the key of a text.
@@ -250,65 +254,165 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def band_rows(texts: DataFrame) -> DataFrame:
-    """``(key, x)``: the bands of each text's fingerprint, as keys of buckets.
+    """``(key, u, k)``: the bands of each text's fingerprint, as keys of buckets.
 
-    ``x`` is the text's struct of a hash, its number and its number of shingles.
+    ``u`` is the text's number and ``k`` its number of shingles.
     """
     width = BAND_ROWS * _DIGITS // 2
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substr("signed", i * width + 1, F.lit(width))),
     )
-    return texts.select(F.explode(bands).alias("key"), F.struct("h", "u", "k").alias("x"))
+    return texts.select(F.explode(bands).alias("key"), "u", "k")
 
 
-def _possible(pairs: DataFrame, least: float) -> DataFrame:
-    """Distinct ``(a, b)`` of ``(x, y)`` whose numbers of shingles allow the Jaccard index."""
-    sizes = F.least("x.k", "y.k") >= F.greatest("x.k", "y.k") * least - 1e-9
-    return (
-        pairs.where(sizes & (F.col("x.u") != F.col("y.u")))
-        .select(F.least("x.u", "y.u").alias("a"), F.greatest("x.u", "y.u").alias("b"))
-        .distinct()
-    )
+def _possible(members: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: the lowest text of a group and each other text whose number of shingles allows the Jaccard index."""
+    sizes = F.least("k", "y.k") >= F.greatest("k", "y.k") * least - 1e-9
+    return members.where(sizes & (F.col("u") != F.col("y.u"))).select(F.col("y.u").alias("a"), F.col("u").alias("b"))
 
 
-def _with_centres(rows: DataFrame, before: int, number: int) -> DataFrame:
-    """``(x, y)`` of rows ``(key, x, c, n)`` and the next centres of their bucket.
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of some sets of distinct numbers share, for ``[i, j]`` with i < j.
 
-    About ``number`` of a bucket's rows are its centres, all of them where it
-    has no more; ``before`` of them were met before. Pairs inside one class are
-    left out. About ``SLOT`` centres share a row.
+    Frequent numbers are counted as products of 0-1 matrices, the others, which
+    few sets hold, by their places in the list of all numbers in order.
+    """
+    n = len(sets)
+    counts = np.zeros((n, n), np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    held = np.diff(np.r_[begins, len(values)])
+    frequent = held * DENSE >= n
+    column = np.cumsum(frequent) - 1
+    many = np.repeat(frequent & (held > 1), held)
+    columns, of = np.repeat(column, held)[many], row[many]
+    for at in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        first, last = np.searchsorted(columns, [at, at + COLUMNS])
+        ones = np.zeros((n, COLUMNS), np.float32)
+        ones[of[first:last], columns[first:last] - at] = 1
+        counts += (ones @ ones.T).astype(np.int32)
+    few = np.repeat(~frequent & (held > 1), held)
+    values, row = values[few], row[few]
+    for apart in range(1, int(held[~frequent].max(initial=1))):
+        same = np.flatnonzero(values[apart:] == values[:-apart])
+        np.add.at(counts, (row[same], row[same + apart]), 1)
+    return np.triu(counts, 1)
+
+
+def joining(
+    sets: list[np.ndarray], keys: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, least: float
+) -> list[tuple[int, int]]:
+    """Links between classes, of the lowest one to each other that sets join it to.
+
+    Two sets join their classes when they share a key and reach Jaccard
+    ``least`` and, where there are two sides, are on different ones.
     """
-    place = F.col("x.h").cast("double") / float(1 << 30) * F.col("n")
-    slots = -(-number // SLOT)
-    slot = F.pmod(F.col("x.u"), F.lit(slots)).cast("int").alias("slot")
-    centres = (
-        rows.where((place < number) & (place >= before)).groupBy("key", slot)
-        .agg(F.collect_list(F.struct("x", "c")).alias("centres"), F.max("n").alias("n"))
+    size = np.array([len(s) for s in sets])
+    both = shared_counts(sets)
+    linked = both / np.maximum(size[:, None] + size - both, 1) >= least - 1e-12
+    linked &= classes[:, None] != classes
+    if (sides != sides[0]).any():
+        linked &= sides[:, None] != sides
+    if not linked.any():
+        return []
+    linked &= shared_counts(keys) > 0
+    # Classes are numbered in order, so the lowest number stands for all that are joined.
+    names, own = np.unique(classes, return_inverse=True)
+    label = own.copy()
+    for i in np.flatnonzero(linked.any(axis=1)):
+        joined = np.unique(np.append(label[linked[i]], label[i]))
+        label[np.isin(label, joined)] = joined[0]
+    return sorted({(int(names[to]), int(names[of])) for of, to in zip(own, label) if of != to})
+
+
+def _in_cells(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows ``(y, p, q, u, c, slot, keys)``: where the texts of a group meet that has unlinked ones.
+
+    ``members (y, u, k, keys)`` are the groups, ``links (a, b)`` those of their
+    lowest texts; ``c`` is the lowest text of a linked one, else the text itself.
+    A small group is one cell. Of others the linked texts and the rest are dealt
+    out to blocks; each block of the rest meets itself and every other block.
+    """
+    linked = links.select(F.col("a").alias("y"), F.col("b").alias("u"), F.lit(True).alias("linked"))
+    classed = members.withColumn("y", F.col("y.u")).join(linked, ["y", "u"], "left")
+    state = cut_lineage(classed.select("y", "u", "k", F.when(F.col("linked"), F.col("y")).otherwise(F.col("u")).alias("c"), "keys"))
+    inside = F.col("c") == F.col("y")
+    groups = state.groupBy("y").agg(
+        F.count("*").alias("n"), F.sum("k").alias("w"),
+        F.count(F.when(inside, 1)).alias("n_in"), F.sum(F.when(inside, F.col("k"))).alias("w_in"),
     )
-    spread = rows.select("key", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    met = lookup(spread, centres, ["key", "slot"], "n", "x", how="inner")
-    apart = F.filter("centres", lambda m: m["c"] != F.col("c"))
-    return met.select("x", F.explode(F.transform(apart, lambda m: m["x"])).alias("y"))
 
+    def blocks(n: Column, w: Column) -> Column:
+        return F.ceil(F.greatest(n / SLOT, w / SLOT_SHINGLES, F.lit(1))).cast("int")
+
+    # With two rows all pairs are compared.
+    several = groups.where((F.col("n") > F.col("n_in")) & (F.col("n") > 2))
+    whole = (F.col("n") <= 2 * SLOT) & (F.col("w") <= 2 * SLOT_SHINGLES)
+    cut = several.select(
+        "y", "n", whole.alias("whole"),
+        blocks(F.col("n_in"), F.col("w_in")).alias("inner"),
+        blocks(F.col("n") - F.col("n_in"), F.col("w") - F.col("w_in")).alias("outer"),
+    )
+    dealt = F.xxhash64("u")
+    slot = F.when(inside, F.col("outer") + F.pmod(dealt, "inner")).otherwise(F.pmod(dealt, "outer"))
+    last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    opened = lookup(state, cut, ["y"], "n", "u", how="inner").select(
+        "y", "u", "c", "keys",
+        F.when(F.col("whole"), 0).otherwise(slot).cast("int").alias("slot"),
+        F.explode(F.sequence(F.lit(0), F.when(F.col("whole"), 0).otherwise(last))).alias("other"),
+    )
+    return opened.select("y", F.least("slot", "other").alias("p"), F.greatest("slot", "other").alias("q"), "u", "c", "slot", "keys")
+
+
+def joined_classes(cells: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` of text numbers that join the classes of texts in one cell.
+
+    ``found (u, text)`` has the texts; they are turned into shingles once.
+    """
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = [own.tobytes() for own in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(sets, pa.binary())], ["u", "shingles"])
+
+    def links(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows.column("shingles")]
+        keys = [np.array(v, np.int64).view(np.uint64) for v in rows.column("keys").to_pylist()]
+        classes, sides = rows.column("c").to_numpy(), rows.column("slot").to_numpy()
+        ends = np.array(joining(sets, keys, classes, sides, least), np.int64).reshape(-1, 2)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    met = cells.join(found.mapInArrow(as_sets, "u long, shingles binary"), "u")
+    return met.groupBy("y", "p", "q").applyInArrow(links, "a long, b long")
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` of text numbers whose shingle sets reach Jaccard ``least``.
+
+def held_texts(needed: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(u, text)`` of the text numbers ``needed (u)``, in the shared folder.
 
     ``texts (u, t, id)`` names a row that holds each text. The scan for the texts
-    is thinned out by a broadcast of at most ``THINNING`` numbers. A centre of
-    many pairs is sent to a place for each ``PAIRS_PLACE`` of them.
+    is thinned out by a broadcast of at most ``THINNING`` numbers.
     """
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    numbered = lookup(pairs, counts.withColumn("of", F.col("n")), ["a"], "n", "b").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.floor((F.col("of") - 1) / PAIRS_PLACE) + 1).alias("at")
-    )
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
     thin = F.pmod(F.xxhash64("id", "t"), F.lit(THINNING)).alias("_thin")
     wanted = cut_lineage(needed.join(texts, "u").select("u", "t", thin))
     rows = docs.select("text", text_key(F.col("text")).alias("t"), F.col("doc_id").cast("long").alias("id"))
     thinned = rows.select("t", "text", thin).join(F.broadcast(wanted.select("_thin").distinct()), "_thin", "left_semi")
-    found = cut_texts(thinned.join(wanted.select("u", "t"), "t").select("u", "text").dropDuplicates(["u"]))
+    return cut_texts(thinned.join(wanted.select("u", "t"), "t").dropDuplicates(["t"]).select("u", "text"))
+
+
+def verified(pairs: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` of text numbers whose shingle sets reach Jaccard ``least``.
+
+    ``found (u, text)`` has the texts. A centre of many pairs is sent to a place
+    for each ``PAIRS_PLACE`` of them.
+    """
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    numbered = lookup(pairs, counts.withColumn("of", F.col("n")), ["a"], "n", "b").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.floor((F.col("of") - 1) / PAIRS_PLACE) + 1).alias("at")
+    )
     places = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PAIRS_PLACE)))
     none = F.lit(None).cast("long").alias("b")
     left = counts.select("a", places.alias("at")).join(found.withColumnRenamed("u", "a"), "a")
@@ -349,35 +453,25 @@ def classes(marked: DataFrame, docs: DataFrame, least: float = JACCARD) -> DataF
     and reach Jaccard ``least`` joins them; equal texts always are. Null ids
     count only where a class has no other; its class_id is null then.
     """
-    signed = F.unhex(F.first("fingerprint")).alias("signed")
     texts = cut_texts(
-        marked.groupBy("t")
-        .agg(F.min("doc_id").alias("id"), signed, F.first("n_shingles").alias("k"))
-        .withColumn("h", F.pmod(F.xxhash64("t"), F.lit(1 << 30)).cast("int"))
+        marked.withColumn("signed", F.unhex("fingerprint")).groupBy("t")
+        .agg(F.min("doc_id").alias("id"), F.first("signed").alias("signed"), F.first("n_shingles").alias("k"))
         .withColumn("u", F.monotonically_increasing_id())
     )
     named = texts.select("u", "t", "id")
     keyed = band_rows(texts.where("k > 0"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("y")).where(F.col("n") > 1)
-    rows = cut_lineage(lookup(keyed, sizes.withColumn("size", F.col("n")), ["key"], "n", "x", how="inner"))
-    # First everything is compared with the lowest text of its bucket.
-    pairs, links, parts = rows.select("x", "y"), None, None
-    rows, before, number = rows.select("key", "x", F.col("size").alias("n")), 0, 1
-    while True:
-        passed = cut_lineage(verified(cut_lineage(_possible(pairs, least)), docs, named, least))
-        links = passed if links is None else links.unionByName(passed)
-        parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        # With two rows, or no more than there were centres, all pairs are compared.
-        left = rows.where(F.col("n") > max(number, 2)).join(parts.withColumnRenamed("id", "u_"), F.col("x.u") == F.col("u_"), "left")
-        state = left.select("key", "x", "n", F.coalesce("component", "x.u").alias("c"))
-        opened = state.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("n").alias("n"))
-        opened = cut_lineage(opened.where(F.col("lo") < F.col("hi")).select("key", "n", F.lit(True).alias("open")))
-        if opened.isEmpty():
-            break
-        before, number = (0, GROWTH) if number == 1 else (number, number * GROWTH)
-        rows = cut_lineage(lookup(state, opened, ["key"], "n", "x", how="inner").drop("open"))
-        pairs = _with_centres(rows, before, number)
-        rows = rows.drop("c")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    rows = cut_lineage(lookup(keyed, sizes.withColumn("size", F.col("n")), ["key"], "n", "u", how="inner"))
+    # The lowest text of a bucket stands for it; a text is in a group once, with its buckets there.
+    lowest = rows.groupBy("key").agg(F.max("size").alias("n"), F.min(F.struct("u", "k")).alias("y"))
+    grouped = lookup(rows.drop("size"), lowest, ["key"], "n", "u", how="inner").groupBy("y", "u", "k")
+    members = cut_lineage(grouped.agg(F.collect_list("key").alias("keys")))
+    found = held_texts(members.select("u").distinct(), docs, named)
+    # First everything is compared with the lowest text of its group.
+    links = cut_lineage(verified(_possible(members, least), found, least))
+    # Then the texts that it leaves apart are compared with all of the group.
+    links = links.unionByName(joined_classes(_in_cells(members, links), found, least))
+    parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     joined = named.join(parts.withColumnRenamed("id", "u"), "u", "left").withColumn("component", F.coalesce("component", "u"))
     lowest = joined.groupBy("component").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     return lookup(joined, lowest, ["component"], "n", "t").select("t", "class_id")
@@ -392,7 +486,11 @@ def near_duplicates(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     marked = fingerprints(docs)
     found = classes(marked.select("doc_id", "t", "fingerprint", "n_shingles"), docs, least)
     copies = marked.groupBy("t").agg(F.count("*").alias("n"))
-    return lookup(marked, found.join(copies, "t"), ["t"], "n", "doc_id").drop("t", "n_shingles")
+    # Fingerprints move as bytes, half as long as their digits.
+    prints = ["fingerprint", "edited_fingerprint"]
+    packed = marked.withColumns({c: F.unhex(c) for c in prints})
+    done = lookup(packed, found.join(copies, "t"), ["t"], "n", "doc_id").drop("t", "n_shingles")
+    return done.withColumns({c: F.lower(F.hex(c)) for c in prints})
 
 
 @query()

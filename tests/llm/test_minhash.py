@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -139,3 +140,55 @@ def test_no_link_of_a_large_bucket_is_lost(spark, monkeypatch):
     got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(docs).collect()}
     assert got == {i: want[t] for i, t in rows}
     assert len(set(got.values())) > 20
+
+
+def test_shared_numbers_of_all_pairs_are_counted():
+    """Frequent numbers, rare ones, more of them than fit one matrix, and none."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, 40)) for _ in range(150)]
+    sets = [np.concatenate([s, np.unique(r.integers(1000, 4000, 50))]).astype(np.uint64) for s in sets]
+    sets += [sets[0], np.zeros(0, np.uint64), np.array([1 << 63, 5], np.uint64)]
+    for some in (sets, [np.arange(5000, dtype=np.uint64)] * 2, sets[-2:], sets[-2:-1]):
+        got = m.shared_counts(some)
+        for i, a in enumerate(some):
+            for j, b in enumerate(some):
+                assert got[i, j] == (len(np.intersect1d(a, b)) if i < j else 0)
+
+
+def test_links_join_classes_that_share_a_key_on_two_sides():
+    sets = [np.arange(10, dtype=np.uint64)] * 5
+    keys = [np.array(k, np.uint64) for k in ([1], [1, 2], [2], [3], [1])]
+    classes, one = np.array([0, 10, 20, 30, 0]), np.zeros(5, int)
+    assert m.joining(sets, keys, classes, one, 0.8) == [(0, 10), (0, 20)]
+    assert m.joining(sets, keys, classes, np.array([0, 0, 1, 1, 0]), 0.8) == [(10, 20)]
+    assert m.joining(sets, keys, np.zeros(5, int), one, 0.8) == []
+
+
+@pytest.mark.parametrize("slot", [512, 10])
+def test_near_copies_below_the_index_are_not_expanded_into_pairs(spark, monkeypatch, slot):
+    """Nearly all pairs of copies share a band, and few reach Jaccard 0.8."""
+    r = random.Random(23)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(3 if i % 3 else 1):
+            text[r.randrange(80)] = f"z{i}x{r.random()}"
+        texts.append(" ".join(text))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(m, "SLOT", slot)
+    monkeypatch.setattr(m, "PAIRS_PLACE", 16)
+    asked, verified = [], m.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(m, "verified", counted)
+    want = brute_classes(rows, m.JACCARD)
+    got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(docs).collect()}
+    assert got == {i: want[t] for i, t in rows}
+    assert 40 < len(set(got.values())) < 118
+    # A text is compared with the lowest of at most all its buckets; there are 7 140 pairs.
+    assert sum(asked) < 1_000
