@@ -325,3 +325,55 @@ def test_few_records_meet_by_chance(spark):
     for least in (None, 0.5):
         got = {(r[0], r[1]) for r in rs.similar_pairs(table, fields, "title", least, 0.5).collect()}
         assert got == want and len(want) > 5
+
+
+def shared_words(seed, count, common=60, own=4000):
+    """Records of frequent and rare words, some of them near copies of others."""
+    draw = random.Random(seed)
+    sets = []
+    for i in range(count):
+        words = draw.sample(range(common), 12) + draw.sample(range(common, own), 10 + i % 40)
+        if i % 5 == 0 and i:
+            words = [w for w in sets[draw.randrange(i)] if draw.random() < 0.93] + draw.sample(range(common, own), i % 3)
+        sets.append(words)
+    return [(i, " ".join(f"w{w}" for w in words), draw.choice("sr"), draw.choice("ab")) for i, words in enumerate(sets)]
+
+
+def test_blocks_of_records_meet_without_keys(spark, monkeypatch):
+    """All pairs are found wherever blocks and tiles end, and few others are written."""
+    for name, value in (("BLOCK_ROWS", 64), ("TILE_ROWS", 16), ("MEETINGS_HELD", 256)):
+        monkeypatch.setattr(rs, name, value)
+    df = spark.createDataFrame(shared_words(7, 400), "record_id long, title string, source string, authors string")
+    rows = [r.asDict() for r in df.collect()]
+    for weights, threshold in (((0.8, 0.1, 0.1), 0.65), ((0.3, 0.4, 0.3), 0.6)):
+        fields = tuple(rs.Field(n, c, w) for n, c, w in zip(("title", "source", "authors"), ("words", "equal", "equal"), weights))
+        table = rs.comparable(df, fields, "title")
+        want = {
+            (a["record_id"], b["record_id"])
+            for a, b in itertools.combinations(rows, 2)
+            if brute_score(a, b, fields) >= threshold - 1e-12
+        }
+        near = {(r[0], r[1]) for r in rs.near_pairs(rs.sketched(table, fields, threshold), fields, threshold).collect()}
+        assert want and want <= near
+        if weights[0] == 0.8:
+            assert len(near) <= 2 * len(want)
+        got = {(r["left_id"], r["right_id"]) for r in rs.similar_pairs(table, fields, "title", None, threshold).collect()}
+        assert got == want
+
+
+def test_rows_of_one_id_are_one_set_of_words(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(0, words, "s", "a"), (0, words, "s", "a"), (1, words, "s", "b"), (1, words, "s", "b"), (2, words + " more", "r", "a")]
+    df = spark.createDataFrame(rows, "record_id long, title string, source string, authors string")
+    table = rs.comparable(df, THREE, "title")
+    got = [(r["left_id"], r["right_id"]) for r in rs.similar_pairs(table, THREE, "title", None, 0.65).collect()]
+    assert got == [(0, 1)] * 4
+
+
+def test_words_are_kept_as_one_text(spark):
+    df = spark.createDataFrame([(0, "b a, b", "s", None), (1, "?!", None, "x")], "record_id long, title string, source string, authors string")
+    table = rs.comparable(df, THREE, "title")
+    kept = {r["id"]: (r["v"]["title"], r["words"]) for r in table.collect()}
+    assert kept == {0: (["a", "b"], ["a", "b"]), 1: (None, [])}
+    plan = table._jdf.queryExecution().analyzed().toString()
+    assert "split" in plan
